@@ -133,7 +133,8 @@ class Grams:
         np.cumsum(h * up[: self.n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + U(1) * np.asarray(length, np.uint64) * U(C2))
+        salt = U(int(length) * C2 & MASK) if np.isscalar(length) else np.asarray(length, np.uint64) * U(C2)
+        return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + salt)
 
 
 def gram_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
