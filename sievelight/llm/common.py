@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that their Python workers can import it from anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievelight_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as tmp:
+        shutil.copytree(package, f"{tmp}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), package.name), "zip", f"{tmp}/src")
+    sc.addPyFile(made)
+    sc._sievelight_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of each Arrow batch sent to Python workers, for texts of any length."""
+    """Bound the bytes of each Arrow batch sent to Python workers, for texts of any length, and send them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
