@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from sievelight.llm.bpe import op10_bpe
 from sievelight.llm.near_dedup import op9_near_dedup
+from sievelight.llm.substring_dedup import op2_substring_dedup
 
-QUERIES = {"op9_near_dedup": op9_near_dedup}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}
