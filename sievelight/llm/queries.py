@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from sievelight.llm.bpe import op10_bpe
+from sievelight.llm.decontaminate import op6_decontamination
+from sievelight.llm.fingerprint import op7_fingerprint
 from sievelight.llm.near_dedup import op9_near_dedup
+from sievelight.llm.sharding import op3_sharding
 from sievelight.llm.substring_dedup import op2_substring_dedup
+from sievelight.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_sharding": op3_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op7_fingerprint": op7_fingerprint,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
