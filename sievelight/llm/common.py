@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python stay under this many bytes (a longer single text makes a batch of its own).
 BATCH_BYTES = 4 << 20
@@ -84,3 +88,20 @@ def partitions(spark: SparkSession) -> int:
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def range_block(df: DataFrame, key: str, n: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``block`` to a table: about ``2 * n`` ranges of an integer key, later rows in later blocks.
+
+    The cuts are approximate quantiles of ``df``; only they, a number per block, come to the driver, and rows find their block
+    by binary search. Equal keys are in one block.
+    """
+    cuts = sorted({float(int(c)) for c in df.approxQuantile(key, [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)})
+    if not cuts:
+        return lambda rows: rows.withColumn("block", F.lit(0))
+    cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_block")
+
+    def place(rows: DataFrame) -> DataFrame:
+        return cutter.transform(rows.withColumn("_key", F.col(key).cast("double"))).withColumn("block", F.col("_block").cast("int")).drop("_key", "_block")
+
+    return place

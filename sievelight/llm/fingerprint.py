@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches, partitions
+from sievelight.llm.common import bounded_batches, partitions, range_block
 
 BUCKETS = 512
 #: Byte offsets of the triplets that start at a byte.
@@ -117,13 +117,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     bounded_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    ids = rows.select("doc_id")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)))  # a number per block
-    block = F.lit(0)
-    if cuts:
-        bounds = F.array(*(F.lit(int(c)) for c in cuts))
-        block = F.when(F.col("doc_id") < int(cuts[0]), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
-    placed = rows.withColumn("block", block.cast("int"))
+    placed = range_block(rows, "doc_id", n)(rows)
     tie = F.xxhash64("text")
     heads = placed.select("block", "doc_id", tie.alias("tie")).groupBy("block").agg(F.min(F.struct("doc_id", "tie")).alias("head")).orderBy("block").collect()
     if not heads:

@@ -5,18 +5,25 @@ from __future__ import annotations
 from sievelight.llm.bpe import op10_bpe
 from sievelight.llm.decontaminate import op6_decontamination
 from sievelight.llm.fingerprint import op7_fingerprint
+from sievelight.llm import license_scan
+from sievelight.llm.license_scan import op4_license_scan
 from sievelight.llm.near_dedup import op9_near_dedup
 from sievelight.llm.sharding import op3_sharding
 from sievelight.llm.substring_dedup import op2_substring_dedup
+from sievelight.llm.token_counts import op5_token_counts
 from sievelight.llm.toxicity import op1_toxicity
+from sievelight.llm.warc import op8_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprint": op7_fingerprint,
+    "op8_warc": op8_warc,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.ORACLE_SQL}

@@ -12,12 +12,14 @@ place are consecutive and form one segment.
 4. A document loses the maximal spans covered by windows whose first document is smaller than itself.
 
 An anchor with over ``SHARD_SEGMENTS`` distinct segments (a very common passage in ever-changing surroundings) is dealt out again
-by its whole windows, so that no shard grows without bound; its equal windows meet in an aggregate.
+by a second, longer anchor, which parts the windows that reach into the surroundings from the others. What is still over the
+limit is dealt out by its whole windows, whose equals meet in an aggregate, so that no shard grows without bound.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +90,7 @@ def _prints(a: Grams, b: Grams, start: np.ndarray, length) -> list[bytes]:
     return [x.tobytes() for x in both]
 
 
-SEGMENTS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("anchor", pa.int64()), ("print", pa.binary()), ("windows", pa.int64()), ("words", pa.string())])
+SEGMENTS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("anchor", pa.int64()), ("print", pa.binary()), ("windows", pa.int64()), ("words", pa.binary())])
 
 
 def _segments(span: int, gram: int):
@@ -107,9 +109,10 @@ def _segments(span: int, gram: int):
                 key, lo, count, row = key[keep], lo[keep], count[keep], row[keep]
                 if not len(key):
                     continue
-                text = [" ".join(w.text(s, s + c + span - 1)) for s, c in zip(lo.tolist(), count.tolist(), strict=True)]
+                raw = w.data.tobytes()
+                text = [raw[s:e] for s, e in zip(w.start[lo].tolist(), w.end[lo + count + span - 2].tolist(), strict=True)]  # white space as it stands
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[w.row0 + row]), pa.array(lo - w.first[row]), pa.array(key.view(np.int64)), pa.array(_prints(one, two, lo, count + span - 1), pa.binary()), pa.array(count), pa.array(text)],
+                    [pa.array(ids[w.row0 + row]), pa.array(lo - w.first[row]), pa.array(key.view(np.int64)), pa.array(_prints(one, two, lo, count + span - 1), pa.binary()), pa.array(count), pa.array(text, pa.binary())],
                     schema=SEGMENTS,
                 )
 
@@ -122,8 +125,8 @@ FOUND = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("owners", pa
 def _shards(span: int):
     """Streams shards, sorted by anchor: builds each one's automaton and looks every window of its segments up."""
 
-    def owners(prints: list[bytes], texts: list[str], docs: list[int]) -> list[list[int]]:
-        split = [t.split(" ") for t in texts]
+    def owners(prints: list[bytes], texts: list[bytes], docs: list[int]) -> list[list[int]]:
+        split = [t.split() for t in texts]  # bytes.split() cuts at the same six separators
         if len(split) == 1:  # the automaton of one segment finds each of its windows in that segment
             return [[docs[0]] * (len(split[0]) - span + 1)]
         sam = SuffixAutomaton()
@@ -149,6 +152,32 @@ def _shards(span: int):
     return run
 
 
+PARTS = pa.schema([("parent", pa.int64()), ("whole", pa.binary()), ("at", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("print", pa.binary()), ("words", pa.binary())])
+
+
+def _recut(span: int, gram: int):
+    """Cuts segments again by a second, longer anchor: windows that reach far into unlike surroundings part from the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.get_field_index
+            parent, whole, doc, last = (b.column(names(c)) for c in ("anchor", "print", "doc", "last"))
+            keys = parent.to_numpy().view(np.uint64)
+            for w in words(b.column(names("words"))):
+                one, two = Grams(w.hash), Grams(mix(w.hash), SECOND | 1)
+                key, lo, count, row = anchors(w, one, span, gram)
+                take = pa.array(row + w.row0)
+                raw = w.data.tobytes()
+                text = [raw[s:e] for s, e in zip(w.start[lo].tolist(), w.end[lo + count + span - 2].tolist(), strict=True)]
+                both = mix(key ^ mix(keys[row + w.row0])).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [parent.take(take), whole.take(take), pa.array(lo - w.first[row]), doc.take(take), last.take(take), pa.array(both), pa.array(_prints(one, two, lo, count + span - 1), pa.binary()), pa.array(text, pa.binary())],
+                    schema=PARTS,
+                )
+
+    return run
+
+
 WINDOWS = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("nth", pa.int64()), ("doc", pa.int64()), ("window", pa.binary())])
 
 
@@ -168,6 +197,25 @@ def _windows(span: int):
     return run
 
 
+def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> DataFrame:
+    """(anchor, print, nth, owner): the smallest document of each window of distinct segments (anchor, print, doc, last, words)."""
+    shards = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+    sized = distinct.join(shards.select("anchor", "n"), "anchor").select("anchor", "print", "doc", "last", "words", "n")
+    small = sized.where(f"n <= {SHARD_SEGMENTS}").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "print", "doc", "words")
+    by_shard = small.mapInArrow(_shards(span), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner")).where("owner is not null")
+    large = sized.where(f"n > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "last", "words")
+    if again:
+        parts = large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary")
+        whole = parts.groupBy("anchor", "print").agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.any_value("words").alias("words"))
+        found = _owners(whole, span, n, again=False)
+        rest = parts.select("parent", "whole", "at", "anchor", "print").join(found, ["anchor", "print"])
+        return by_shard.unionByName(rest.select(F.col("parent").alias("anchor"), F.col("whole").alias("print"), (F.col("at") + F.col("nth")).cast("int").alias("nth"), "owner"))
+    windows = large.select("anchor", "print", "doc", "words").mapInArrow(_windows(span), "anchor long, print binary, nth long, doc long, window binary")
+    first = windows.groupBy("anchor", "window").agg(F.min("doc").alias("owner"))
+    by_window = windows.join(first, ["anchor", "window"]).select("anchor", "print", F.col("nth").cast("int").alias("nth"), "owner")
+    return by_shard.unionByName(by_window)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The word spans that each document shares with a document of smaller id.
 
@@ -184,19 +232,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted, wanted_path = save(places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("first").alias("firsts")), "places")
 
-    cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(_segments(span, gram), "doc_id long, first long, anchor long, print binary, windows long, words string")
+    cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(_segments(span, gram), "doc_id long, first long, anchor long, print binary, windows long, words binary")
     segments, segments_path = save(cut, "segments")
     distinct = segments.groupBy("anchor", "print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
     distinct, distinct_path = save(distinct, "distinct")
-    shards = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    sized = distinct.join(shards.select("anchor", "n"), "anchor").select("anchor", "print", "doc", "words", "n")
-
-    small = sized.where(f"n <= {SHARD_SEGMENTS}").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "print", "doc", "words")
-    by_shard = small.mapInArrow(_shards(span), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner"))
-    large = sized.where(f"n > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "words").mapInArrow(_windows(span), "anchor long, print binary, nth long, doc long, window binary")
-    first = large.groupBy("anchor", "window").agg(F.min("doc").alias("owner"))
-    by_window = large.join(first, ["anchor", "window"]).select("anchor", "print", F.col("nth").cast("int").alias("nth"), "owner")
-    runs = by_shard.unionByName(by_window).groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
+    by_place = _owners(distinct, span, n)
+    runs = by_place.groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
     owned, owned_path = save(runs, "owners")
 
     hits = (
@@ -211,32 +252,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     return out
 
 
-KEPT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-
 def _cut(with_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, spans = b.column(0), b.column(2)
             counts, gone, kept = [], [], []
-            for w in words(b.column(1)):
-                for r in range(w.rows):
-                    lo, hi = int(w.first[r]), int(w.first[r + 1])
-                    keep = np.ones(hi - lo, bool)
-                    s = spans[w.row0 + r]
-                    if s.is_valid:
-                        edge = np.zeros(hi - lo + 1, np.int64)
-                        ends = s.values.field(0).to_numpy(), s.values.field(1).to_numpy()
-                        good = ends[1] <= hi - lo  # of rows that repeat an id, a shorter text
-                        np.add.at(edge, ends[0][good], 1)
-                        np.add.at(edge, ends[1][good], -1)
-                        keep = np.cumsum(edge)[:-1] == 0
-                    at = np.flatnonzero(keep) + lo
-                    text = " ".join(w.data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True))
-                    counts.append(hi - lo)
-                    gone.append(hi - lo - len(at))
-                    kept.append(hashlib.sha256(text.encode()).hexdigest() if with_id else text)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256" if with_id else "kept"])
+            for r, text in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
+                w = (text or b"").split()  # bytes.split() cuts at the six separators
+                n, s = len(w), spans[r]
+                if s.is_valid:
+                    edge = np.zeros(n + 1, np.int64)
+                    lo, hi = s.values.field(0).to_numpy(), s.values.field(1).to_numpy()
+                    good = hi <= n  # of rows that repeat an id, a shorter text
+                    np.add.at(edge, lo[good], 1)
+                    np.add.at(edge, hi[good], -1)
+                    w = list(itertools.compress(w, (np.cumsum(edge)[:-1] == 0).tolist()))
+                counts.append(n)
+                gone.append(n - len(w))
+                left = b" ".join(w)
+                kept.append(hashlib.sha256(left).hexdigest() if with_id else left.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256" if with_id else "kept"])
 
     return run
 

@@ -84,7 +84,10 @@ class Words:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    if pa.types.is_binary(column.type):
+        column = column.fill_null(b"").cast(pa.large_binary())
+    else:
+        column = column.fill_null("").cast(pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
