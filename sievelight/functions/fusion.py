@@ -50,7 +50,7 @@ def explain(pattern: Column, pattern_reason: Column, embedding: Column, perplexi
     """One sentence: the detectors over their cut-offs, strongest first."""
 
     def two(x: Column) -> Column:
-        return F.format_number(x, "0.00")
+        return F.format_string("%.2f", F.bround(x, 2))
 
     parts = F.array(
         F.when(pattern > 0.5, F.struct(pattern.alias("s"), F.lit(0).alias("i"), F.regexp_replace(pattern_reason, "^flagged: ", "").alias("t"))),

@@ -48,7 +48,7 @@ def fit_logistic(rows: DataFrame, features: list[str] | str, c: float = 1.0, bal
     weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])) if balanced else F.lit(1.0)
     ready = assembled(rows, features).withColumn("_weight", weight)
     total = float(n)  # both weightings sum to n
-    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-12).fit(ready)
+    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
 
 
 def assembled(rows: DataFrame, features: list[str] | str) -> DataFrame:
