@@ -68,6 +68,8 @@ class Automaton:
 
     def count(self, word: str) -> int:
         """Number of greedy pieces of a word, or -1 if some part is in no piece."""
+        if not word:
+            return 0
         child, link, pops = self.child, self.link, self.pops
         at = n = 0
         for c in word:

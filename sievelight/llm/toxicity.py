@@ -74,20 +74,21 @@ def units(points: np.ndarray, bounds: np.ndarray) -> Units:
     """Units of rows given as code points with row bounds."""
     known = np.minimum(points, 0x2FFF)
     cls = np.where(points < 0x3000, CLASS[known], 28 + points % (OPEN - 28)).astype(np.uint8)
-    blank = BLANK[known]
+    cls_all, blank = cls, BLANK[known]
     solid = np.flatnonzero(cls > 0)
     cls = cls[solid]
     word = np.cumsum(blank)[solid]  # changes where white space was
     row = np.searchsorted(bounds, solid, "right") - 1
     ends = np.cumsum(STOP[known])[solid]
+    marks = np.cumsum(~blank & (cls_all == 0))[solid]
     if not len(solid):
         return Units(cls, np.zeros(1, np.int64), row, ends)
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(cls)))
-    # runs of one-character words in a row and sentence are one unit
+    # runs of one-character words with nothing but white space between them are one unit
     one = size == 1
-    joined = np.concatenate([[False], one[1:] & one[:-1] & (row[first][1:] == row[first][:-1]) & (ends[first][1:] == ends[first][:-1])])
+    joined = np.concatenate([[False], one[1:] & one[:-1] & (row[first][1:] == row[first][:-1]) & (marks[first][1:] == marks[first][:-1])])
     first = first[~joined]
     size = np.diff(np.append(first, len(cls)))
     # each unit gets its end marks
