@@ -30,7 +30,7 @@ from sievelight.llm.textkit import Grams, U, mix
 LENGTH, SPAN, DECAY, LANDMARKS = 4, 6, 0.85, 192
 #: Labelled rows used for fitting: an upper bound, and of the text of each the whole.
 FIT_ROWS = 4000
-FIT_CHARS = 10_000_000
+FIT_CHARS = 6_000_000
 CLASSES = 40
 OPEN, CLOSE = CLASSES - 2, CLASSES - 1  # the marks at the ends of a unit
 TOP = 4
@@ -240,14 +240,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(table, 0.0, np.append(np.zeros(TOP), np.log((share + 1e-6) / (1 - share + 1e-6))))
-    parts = []
+    parts, hashes = [], []
     for lo, some in pieces(texts):
         parts.append(units(*points_of(some)))
         parts[-1].row += lo
+        hashes.append(unit_hash(parts[-1]))
     u = join(parts)
+    del parts
     if not len(u.row):
         return Model(table, 0.0, np.zeros(TOP + 1))
-    _, place, unit = np.unique(unit_hash(u), return_index=True, return_inverse=True)
+    _, place, unit = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     kinds = take(u, place)  # the distinct units
     n = len(place)
     new = np.concatenate([[True], (u.row[1:] != u.row[:-1]) | (u.sentence[1:] != u.sentence[:-1])])
@@ -260,8 +262,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     with_unit = np.bincount(pair % n, y[pair // n], n), np.bincount(pair % n, 1 - y[pair // n], n)
     at, code, _ = next(iter(subsequences(kinds)))
     owner = np.repeat(np.arange(n), np.diff(kinds.first))[at]
-    bad = np.bincount(code, with_unit[0][owner], CLASSES**LENGTH)
-    good = np.bincount(code, with_unit[1][owner], CLASSES**LENGTH)
+    kept, code = np.unique(code, return_inverse=True)
+    bad = np.bincount(code, with_unit[0][owner], len(kept))
+    good = np.bincount(code, with_unit[1][owner], len(kept))
     odds = np.where(bad >= 3, np.log((bad + 0.1) / y.sum()) - np.log((good + 0.5) / (len(y) - y.sum())), -2.0)
     worth = np.maximum(odds[code], -2.0) * np.sqrt(np.maximum(bad[code], 1))
     grams = np.bincount(owner, minlength=n)
