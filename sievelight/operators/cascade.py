@@ -37,7 +37,8 @@ def choose_split(train: DataFrame, stages: list[str], budget: float, units: int
     us = [f"u{i}" for i in range(1, len(stages) + 1)]
     pos = F.col("label") == 1
     scored = counted.crossJoin(F.broadcast(splits)).groupBy(*us).agg(
-        (F.sum(F.when(pos & hit, F.col("k")).otherwise(0)) / F.sum(F.when(pos, F.col("k")).otherwise(0))).alias("recall"), (F.sum(F.when(~pos & hit, F.col("k")).otherwise(0)) / F.sum(F.when(~pos, F.col("k")).otherwise(0))).alias("fpr")
+        F.coalesce(F.try_divide(F.sum(F.when(pos & hit, F.col("k")).otherwise(0)), F.sum(F.when(pos, F.col("k")))), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(F.sum(F.when(~pos & hit, F.col("k")).otherwise(0)), F.sum(F.when(~pos, F.col("k")))), F.lit(0.0)).alias("fpr"),
     )
     best = F.max(F.struct("recall", (-F.col("fpr")).alias("low"), *us)).alias("b")
     return scored.agg(best).select(*(F.col(f"b.{u}").alias(u) for u in us), F.col("b.recall").alias("train_recall"), (-F.col("b.low")).alias("train_fpr"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.operators.threshold import _ratio, confusion, cumulative, with_metrics
+from sievelight.operators.threshold import confusion, cumulative, with_metrics
 
 
 def rates_by(flagged: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def rates_by(flagged: DataFrame) -> DataFrame:
 
 def precision_at(tpr: Column, fpr: Column, n_clean: Column, prevalence: float) -> Column:
     """Precision at a prevalence; no false alarm counts as the rule of three."""
-    f = F.when(fpr == 0, F.lit(3.0) / n_clean).otherwise(fpr)
-    return tpr * prevalence / (tpr * prevalence + f * (1 - prevalence))
+    f = F.when(fpr == 0, F.try_divide(F.lit(3.0), n_clean)).otherwise(fpr)
+    return F.try_divide(tpr * prevalence, tpr * prevalence + f * (1 - prevalence))
 
 
 def false_alarms_per_10k(fpr: Column) -> Column:
@@ -38,7 +38,7 @@ def roc_auc(scores: DataFrame, by: list[str]) -> DataFrame:
 
 def roc_curve(scores: DataFrame) -> DataFrame:
     c = cumulative(scores)
-    return c.select("method", "score", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"))
+    return c.select("method", "score", F.try_divide("tp", "pos").alias("tpr"), F.try_divide("fp", "neg").alias("fpr"))
 
 
 def best_case_recall(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -116,4 +116,17 @@ def domain_shortcuts(rows: DataFrame, most: float = 0.9) -> DataFrame:
     return rows.groupBy("domain").agg(F.count_if(F.col("label") == 0).alias("clean"), n1.alias("poisoned"), F.round(F.greatest(n1, F.count(F.lit(1)) - n1) / F.count(F.lit(1)), 6).alias("share")).withColumn("risk", (F.col("share") > most).cast("int"))
 
 
-__all__ = ["_ratio"]
+
+def mean_curve(curve: DataFrame, steps: int) -> DataFrame:
+    """(grid, tpr, curves): linear interpolation of each method's (fpr, tpr) at i / steps, averaged over methods.
+
+    For each grid place only the nearest points at or below and at or above are kept, by aggregates.
+    """
+    points = curve.select("method", "fpr", "tpr").unionAll(curve.select("method", F.lit(0.0), F.lit(0.0)).distinct())
+    g = points.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("grid", F.col("grid") / steps)
+    lo = F.max(F.when(F.col("fpr") <= F.col("grid"), F.struct("fpr", "tpr"))).alias("lo")
+    hi = F.min(F.when(F.col("fpr") >= F.col("grid"), F.struct("fpr", (-F.col("tpr")).alias("down")))).alias("hi")
+    near = g.groupBy("method", "grid").agg(lo, hi)
+    slope = F.try_divide(-F.col("hi.down") - F.col("lo.tpr"), F.col("hi.fpr") - F.col("lo.fpr"))
+    value = F.when(F.col("hi").isNull() | (F.col("hi.fpr") <= F.col("lo.fpr")), F.col("lo.tpr")).otherwise(F.col("lo.tpr") + slope * (F.col("grid") - F.col("lo.fpr")))
+    return near.withColumn("v", value).groupBy("grid").agg(F.avg("v").alias("tpr"), F.count("v").alias("curves"))

@@ -625,3 +625,6 @@ def missing_scores(spark, d):
 @query()
 def cache_fingerprint(spark, d):
     return incremental.fingerprint(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+from sievelight.plans import more  # noqa: E402, F401  registers the reports
