@@ -3,15 +3,16 @@
 Words are lower-cased and stripped of ASCII punctuation at their ends. An item's window is as many consecutive words of a
 document as the item has. Windows that share no word shingle with any item have a similarity of exactly 0, so only windows around
 places with an item's shingle are fingerprinted. A fingerprint is the 64-bit SimHash of the window's words. The index cuts
-fingerprints into ``BLOCKS`` blocks and lists each item under every value of each block within ``RADIUS // BLOCKS`` bits, so by
-the pigeonhole principle a look-up of a window's own block values returns every item within ``RADIUS`` bits. Candidates are
+fingerprints into ``BLOCKS`` blocks and lists items by the value of each block. A window looks up every value within
+``RADIUS // BLOCKS`` bits of its own in each block, so by the pigeonhole principle it gets every item within ``RADIUS`` bits.
+Candidates are
 verified exactly: a shingle weighs the number of times it occurs, and the similarity is the sum of the smaller weights over
 the sum of the larger ones.
 """
 
 from __future__ import annotations
 
-import itertools
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +27,8 @@ from sievelight.llm.textkit import Grams, U, gram_starts, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 15, 4
-#: Items handled by one pass over the documents; more items take further passes, each with an index of bounded size.
-ITEM_BLOCK = 2000
-#: An item longer than this many words is compared by windows of its whole size like any other; the number only bounds a pass.
-ITEM_CHARS = 20_000_000
+#: Items and characters of items handled by one pass over the documents, which bounds what is broadcast; more take more passes.
+ITEM_BLOCK, ITEM_CHARS = 10_000, 3_000_000
 BITS = np.arange(64, dtype=np.uint64)
 PUNCT = np.zeros(256, bool)
 PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
@@ -37,8 +36,6 @@ PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 def normal(column: pa.Array) -> pa.Array:
     """Lower-case texts with punctuation at word ends turned into spaces."""
-    import re
-
     ends = re.compile(r"(?<![^\s])[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+(?![^\s])")
     return pa.array([ends.sub(" ", t.lower()) if t else "" for t in column.to_pylist()], pa.large_string())
 
@@ -73,12 +70,15 @@ class Index:
     weights: list[Counter]
     known: np.ndarray
     having: dict[int, list[tuple[int, int]]]
-    blocks: list[dict[int, list[int]]]
+    blocks: list[tuple[np.ndarray, list[list[int]]]]  # per block its distinct values and the items of each
 
     def within(self, fingerprint: int) -> list[int]:
         """Every item whose fingerprint is within RADIUS bits."""
-        step = 64 // BLOCKS
-        found = {i for k, table in enumerate(self.blocks) for i in table.get(fingerprint >> (k * step) & ((1 << step) - 1), ())}
+        step, found = 64 // BLOCKS, set()
+        for k, (values, items) in enumerate(self.blocks):
+            own = np.uint64(fingerprint >> (k * step) & ((1 << step) - 1))
+            for at in np.flatnonzero(np.bitwise_count(values ^ own) <= RADIUS // BLOCKS).tolist():
+                found.update(items[at])
         return [i for i in sorted(found) if (int(self.prints[i]) ^ fingerprint).bit_count() <= RADIUS]
 
 
@@ -96,16 +96,12 @@ def build(ids: list[int], texts: list[str]) -> Index:
                 size.append(len(h))
                 prints.append(simhash(h))
                 weights.append(Counter(s.tolist()))
-    step, near = 64 // BLOCKS, RADIUS // BLOCKS
-    flips = [sum(1 << b for b in c) for n in range(near + 1) for c in itertools.combinations(range(step), n)]
-    blocks: list[dict[int, list[int]]] = []
+    step, blocks = 64 // BLOCKS, []
     for k in range(BLOCKS):
         table: dict[int, list[int]] = defaultdict(list)
         for i, p in enumerate(prints):
-            own = p >> (k * step) & ((1 << step) - 1)
-            for f in flips:
-                table[own ^ f].append(i)
-        blocks.append(dict(table))
+            table[p >> (k * step) & ((1 << step) - 1)].append(i)
+        blocks.append((np.array(list(table), np.uint64), list(table.values())))
     return Index(kept, np.array(size, np.int64), np.array(prints, np.uint64), weights, np.sort(np.array(list(having), np.uint64)), dict(having), blocks)
 
 

@@ -1,11 +1,11 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Shards are made of cells of bounded size, whose row counts are fixed in advance. The rows that each input partition sends to each
-cell are drawn from the multivariate hypergeometric distribution that a uniform random permutation of all rows would give, so
-the counts add up exactly without any row being looked at. Each partition deals its rows to its cells in random order (the
-local permutation), one exchange brings a cell's rows together, and a second random order inside the cell gives the slots. All
-randomness comes from the seed, the partition number and the row's place in its sorted partition: a task that runs again after a
-lost executor deals its rows alike.
+The rows that each input partition sends to each shard are drawn from the multivariate hypergeometric distribution that a uniform
+random permutation of all rows would give, so shard sizes are exact without any row being looked at. Each partition deals its
+rows to the shards in random order (the local permutation); one exchange brings them together; a second random order in the
+shard gives the slots. That order is by random keys, cut into key ranges of bounded size, so no task sorts a whole shard: the
+counts of the ranges give each range its first slot. All randomness comes from the seed, the partition number and the row's place
+in its sorted partition, so a task that runs again after a lost executor deals its rows alike.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from sievelight.llm.common import bounded_batches
 
-#: Rows of a cell at most; a cell is ordered within one task.
-CELL_ROWS = 100_000
-#: The matrix is computed a row at a time on the driver; it stays under this many counts.
+#: Mean rows of a key range; a range is ordered within one task.
+RANGE_ROWS = 50_000
+#: The matrix has a count per input partition and shard; it stays under this many.
 MATRIX_CELLS = 20_000_000
+KEY_BITS = 62
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -31,26 +32,13 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def cell_sizes(rows: int, shards: int, most: int = CELL_ROWS) -> tuple[list[int], list[int], list[int]]:
-    """(rows, shard, first slot) of each cell; every shard is cut into equal cells of ``most`` rows or fewer."""
-    size, shard, slot = [], [], []
-    for s, n in enumerate(shard_sizes(rows, shards)):
-        at = 0
-        for part in shard_sizes(n, max(1, -(-n // most))):
-            size.append(part)
-            shard.append(s)
-            slot.append(at)
-            at += part
-    return size, shard, slot
-
-
-def communication_matrix(partition_rows: list[int], cells: list[int], seed: int) -> np.ndarray:
-    """Counts[p, c]: rows that partition p sends to cell c, as in a uniform permutation; rows and columns sum exactly."""
-    if len(partition_rows) * len(cells) > MATRIX_CELLS:
-        raise ValueError(f"{len(partition_rows)} partitions by {len(cells)} cells: raise CELL_ROWS or coalesce the input")
+def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int) -> np.ndarray:
+    """Counts[p, s]: rows that partition p sends to shard s, as in a uniform permutation; rows and columns sum exactly."""
+    if len(partition_rows) * len(sizes) > MATRIX_CELLS:
+        raise ValueError(f"{len(partition_rows)} partitions by {len(sizes)} shards: coalesce the input first")
     rng = np.random.default_rng(seed)
-    left = np.array(cells, np.int64)
-    out = np.zeros((len(partition_rows), len(cells)), np.int64)
+    left = np.array(sizes, np.int64)
+    out = np.zeros((len(partition_rows), len(sizes)), np.int64)
     for p, n in enumerate(partition_rows):
         out[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if n else 0
         left -= out[p]
@@ -58,7 +46,7 @@ def communication_matrix(partition_rows: list[int], cells: list[int], seed: int)
 
 
 def _deal(shared, seed: int):
-    """Appends to each row its cell and a random order; rows of a partition come sorted."""
+    """Appends to each row its shard and a random key; rows of a partition come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = labels = keys = None
@@ -69,9 +57,9 @@ def _deal(shared, seed: int):
                 counts = shared.value[part]
                 rng = np.random.default_rng([seed, part])
                 labels = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
-                keys = rng.integers(0, 2**63, len(labels), dtype=np.int64)
+                keys = rng.integers(0, 1 << KEY_BITS, len(labels), dtype=np.int64)
             to = at + b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[at:to]), pa.array(keys[at:to])], names=[*b.schema.names, "_cell", "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[at:to]), pa.array(keys[at:to])], names=[*b.schema.names, "_shard", "_key"])
             at = to
 
     return run
@@ -91,13 +79,17 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, order: list[str] | None =
     keyed = df.select(F.spark_partition_id().alias("_part"), "*")
     counted = {r["_part"]: r["n"] for r in keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number per partition
     rows = sum(counted.values())
-    size, shard, first = cell_sizes(rows, shards)
-    matrix = communication_matrix([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], size, seed)
-    schema = keyed.schema.add("_cell", T.IntegerType()).add("_key", T.LongType())
+    sizes = shard_sizes(rows, shards)
+    matrix = communication_matrix([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], sizes, seed)
+    schema = keyed.schema.add("_shard", T.IntegerType()).add("_key", T.LongType())
     dealt = keyed.sortWithinPartitions(*(order or df.columns)).mapInArrow(_deal(spark.sparkContext.broadcast(matrix), seed), schema)
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "_part")) - 1
-    cells = spark.createDataFrame([(i, s, f) for i, (s, f) in enumerate(zip(shard, first, strict=True))], "_cell int, shard int, _first long")
-    return dealt.withColumn("_place", place).join(F.broadcast(cells), "_cell").withColumn("slot", (F.col("_first") + F.col("_place")).cast("long")).select(*df.columns, "shard", "slot")
+    bits = max(0, (max(sizes) // RANGE_ROWS).bit_length())
+    ranged = dealt.withColumn("_range", F.shiftright("_key", KEY_BITS - bits).cast("int"))
+    counts = ranged.groupBy("_shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("_shard").orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_shard", "_range").orderBy("_key", "_part")) - 1
+    out = ranged.withColumn("_place", place).join(first, ["_shard", "_range"])
+    return out.withColumn("slot", F.col("_first") + F.col("_place")).select(*df.columns, F.col("_shard").alias("shard"), "slot")
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

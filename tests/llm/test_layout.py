@@ -4,7 +4,6 @@ import base64
 import hashlib
 import json
 import zlib
-from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -19,20 +18,16 @@ SF = "/root/testdata/sf0.001"
 
 def test_matrix_sums_exactly():
     rows = [0, 100, 7, 1000, 1]
-    size, shard, first = sharding.cell_sizes(sum(rows), 8, 50)
+    size = sharding.shard_sizes(sum(rows), 8)
     m = sharding.communication_matrix(rows, size, 1)
     assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == size and m.min() >= 0
-    per = Counter()
-    for n, s, f in zip(size, shard, first, strict=True):
-        assert f == per[s] and n <= 50
-        per[s] += n
-    assert max(per.values()) - min(per.values()) <= 1
+    assert sum(size) == sum(rows) and max(size) - min(size) <= 1
     mean = np.mean([sharding.communication_matrix([30, 70], [50, 50], s)[0, 0] for s in range(400)])
     assert abs(mean - 15) < 0.6  # hypergeometric mean
 
 
 def test_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CELL_ROWS", 40)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
     df = spark.range(0, 1003, 1, 7).selectExpr("id", "cast(null as string) as text", "id as _place", "1 as slot")
     rows = sharding.shuffle(df, 8, seed=5).collect()
     again = sharding.shuffle(df, 8, seed=5).collect()
