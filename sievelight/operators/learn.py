@@ -39,7 +39,7 @@ def term_document_frequency(rows: DataFrame, least: int = 3) -> DataFrame:
     return out.where(F.col("clean") + F.col("poisoned") >= least)
 
 
-def fit_logistic(rows: DataFrame, features: list[str] | str, c: float = 1.0, balanced: bool = True, label: str = "label") -> LogisticRegressionModel:
+def fit_logistic(rows: DataFrame, features: list[str] | str, c: float = 1.0, balanced: bool = True, label: str = "label", iterations: int = 200, tol: float = 1e-10) -> LogisticRegressionModel:
     """The L2 logistic regression of strength 1 / C on the sum of losses, optionally with class weights n / (2 n_c)."""
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
@@ -48,7 +48,7 @@ def fit_logistic(rows: DataFrame, features: list[str] | str, c: float = 1.0, bal
     weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])) if balanced else F.lit(1.0)
     ready = assembled(rows, features).withColumn("_weight", weight)
     total = float(n)  # both weightings sum to n
-    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
+    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=tol).fit(ready)
 
 
 def assembled(rows: DataFrame, features: list[str] | str) -> DataFrame:
