@@ -25,7 +25,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def read_text_dir(spark: SparkSession, path: str, label: int, source: str) -> DataFrame:
     """One row per .txt file; the attack type is the file name's prefix, ``clean`` for label 0."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
     kind = F.lit("clean") if label == 0 else F.substring_index("name", "_", 1)
     return make_rows(files.select(F.concat(F.lit(f"{source}/"), "name").alias("id"), F.col("value").alias("text"), F.lit(label).alias("label"), F.lit(source).alias("source"), kind.alias("attack_type"), F.lit("").alias("domain"), F.lit(0).alias("length"), F.lit("").alias("group"), F.lit("").alias("meta")))
 
