@@ -204,11 +204,11 @@ def pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def _hinge(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, reg: float, steps: int = 150) -> np.ndarray:
     """A linear support vector machine (squared hinge) by accelerated full-gradient descent; the last weight is the bias.
 
-    Row i counts pos[i] times as positive and neg[i] times as negative.
+    Row i counts pos[i] times as positive and neg[i] times as negative; the last column of x is 1.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     pos, neg = ((v / (pos.sum() + neg.sum())).astype(np.float32) for v in (pos, neg))
-    bound = 2 * float(np.linalg.eigvalsh(x.T @ (x * (pos + neg)[:, None]))[-1]) + reg
+    gram = sum(x[lo : lo + 8192].T @ (x[lo : lo + 8192] * (pos + neg)[lo : lo + 8192, None]) for lo in range(0, len(x), 8192))
+    bound = 2 * float(np.linalg.eigvalsh(gram)[-1]) + reg
     w = look = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         m = x @ look
@@ -284,10 +284,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     onto = land.T @ (basis[:, ok] / np.sqrt(values[ok]))  # from subsequences to landmark coordinates
 
     def embed(which: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), onto.shape[1]), np.float32)
+        out = np.zeros((len(which), onto.shape[1] + 1), np.float32)
+        out[:, -1] = 1
         for lo in range(0, len(which), 4000):
             row, code, value = sparse(take(kinds, which[lo : lo + 4000]), vocabulary)
-            np.add.at(out[lo : lo + 4000], row, (onto[np.searchsorted(vocabulary, code)] * value[:, None]).astype(np.float32))
+            np.add.at(out[lo : lo + 4000, :-1], row, (onto[np.searchsorted(vocabulary, code)] * value[:, None]).astype(np.float32))
         return out
 
     w = np.zeros(onto.shape[1] + 1)
