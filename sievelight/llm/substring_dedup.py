@@ -219,8 +219,8 @@ def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> DataF
 def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The word spans that each document shares with a document of smaller id.
 
-    Returns (doc_id, spans array<struct<from long, to long>>): word numbers from 0, ``to`` excluded, for the windows of ``span``
-    words whose sequence also starts in a smaller document. Spans may touch or overlap. Documents without any are not returned.
+    Returns (doc_id, spans array<struct<from long, to long>>): word numbers from 0, ``to`` excluded, for runs of windows of
+    ``span`` words whose sequence also starts in a smaller document. Spans may touch or overlap. Documents without any are not returned.
     Null, empty and short texts share nothing. Rows with a null id are ignored; rows that repeat an id are one document in what
     they own, and the spans of all of them are given under that id.
     """
@@ -237,14 +237,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     distinct = segments.groupBy("anchor", "print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
     distinct, distinct_path = save(distinct, "distinct")
     by_place = _owners(distinct, span, n)
-    runs = by_place.groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
-    owned, owned_path = save(runs, "owners")
+    by_owner = by_place.groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
+    # consecutive windows of one owner are one run, so that what follows has a row per run and not per window
+    heads = F.expr("filter(nths, (x, i) -> i = 0 or nths[i - 1] <> x - 1)")
+    tails = F.expr("filter(nths, (x, i) -> i = size(nths) - 1 or nths[i + 1] <> x + 1)")
+    owned, owned_path = save(by_owner.select("anchor", "print", "owner", F.arrays_zip(heads.alias("head"), tails.alias("tail")).alias("runs")), "owners")
 
     hits = (
         segments.select("doc_id", "first", "anchor", "print")
         .join(owned, ["anchor", "print"])
         .where("owner < doc_id")
-        .select("doc_id", F.explode(F.expr(f"transform(nths, x -> named_struct('from', first + x, 'to', first + x + {span}))")).alias("s"))
+        .select("doc_id", F.explode(F.expr(f"transform(runs, r -> named_struct('from', first + r.head, 'to', first + r.tail + {span}))")).alias("s"))
     )
     merged = hits.groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
     out, _ = save(merged, "spans")
