@@ -30,6 +30,8 @@ RADIUS, BLOCKS = 15, 4
 #: Items and characters of items handled by one pass over the documents, which bounds what is broadcast; more take more passes.
 ITEM_BLOCK, ITEM_CHARS = 10_000, 3_000_000
 BITS = np.arange(64, dtype=np.uint64)
+#: Words whose bits are summed at a time; a text of any length needs no more memory than this and its hashes.
+STRETCH = 1 << 15
 PUNCT = np.zeros(256, bool)
 PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
@@ -46,6 +48,20 @@ def simhash(h: np.ndarray) -> int:
     return int((U(1) << BITS[votes > 0]).sum()) if len(h) else 0
 
 
+def simhashes(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """SimHash of each window h[s:e], with ascending s and e, from vote sums over stretches of about ``STRETCH`` words."""
+    out = np.zeros(len(s), np.uint64)
+    lo = 0
+    while lo < len(s):
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + STRETCH, "right")))
+        votes = (h[s[lo] : e[hi - 1], None] >> BITS) & U(1)
+        sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes, axis=0, dtype=np.int64)])
+        a, b = s[lo:hi] - s[lo], e[lo:hi] - s[lo]
+        out[lo:hi] = ((2 * (sums[b] - sums[a]) > (b - a)[:, None]).astype(np.uint64) << BITS).sum(axis=1, dtype=np.uint64)
+        lo = hi
+    return out
+
+
 def shingles(h: np.ndarray) -> np.ndarray:
     """Shingle hashes of a word sequence; a shorter one is a shingle itself."""
     n = len(h)
@@ -114,14 +130,10 @@ def _hits(index: Index, h: np.ndarray, places: np.ndarray, codes: np.ndarray) ->
             size = int(index.size[i])
             near = max(1, size // 10)  # a few words more or fewer before the place
             wanted[size].update(range(max(0, p - at - near), min(max(0, n - size), p - at + near) + 1))
-    votes = ((h[:, None] >> BITS) & U(1)).astype(np.int32)
-    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes, axis=0)])
     for size, starts in sorted(wanted.items()):
         s = np.array(sorted(starts), np.int64)
         e = np.minimum(s + size, n)
-        bits = 2 * (sums[e] - sums[s]) > (e - s)[:, None]
-        prints = (bits.astype(np.uint64) << BITS).sum(axis=1, dtype=np.uint64)
-        for first, last, print_ in zip(s.tolist(), e.tolist(), prints.tolist(), strict=True):
+        for first, last, print_ in zip(s.tolist(), e.tolist(), simhashes(h, s, e).tolist(), strict=True):
             mine = None
             for i in index.within(print_):
                 if index.size[i] != size:

@@ -215,6 +215,29 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+#: The rows of ``op9_near_dedup`` from all pairs of distinct sets that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM g GROUP BY doc_id),
+class AS (SELECT h, min(doc_id) AS rep, min(n) AS n FROM sets GROUP BY h),
+rg AS (SELECT rep, n, s FROM class JOIN g ON g.doc_id = class.rep),
+pair AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM rg a JOIN rg b USING (s) WHERE a.rep < b.rep GROUP BY a.rep, b.rep),
+link AS (SELECT a, b FROM pair WHERE 100 * shared >= 85 * (na + nb - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rep AS a, rep AS b FROM class UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+component AS (SELECT a AS rep, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN class ON class.h = sets.h LEFT JOIN component ON component.rep = class.rep
+"""
+
+
 def keep_first(docs: DataFrame, num: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, all columns unchanged."""
     ids = near_duplicates(docs, num=num)

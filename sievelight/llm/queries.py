@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from sievelight.llm import license_scan, near_dedup, substring_dedup, warc
 from sievelight.llm.bpe import op10_bpe
 from sievelight.llm.decontaminate import op6_decontamination
 from sievelight.llm.fingerprint import op7_fingerprint
-from sievelight.llm import license_scan
 from sievelight.llm.license_scan import op4_license_scan
 from sievelight.llm.near_dedup import op9_near_dedup
 from sievelight.llm.sharding import op3_sharding
@@ -26,4 +26,9 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_license_scan": license_scan.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_license_scan": license_scan.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
+}

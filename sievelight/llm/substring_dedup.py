@@ -296,6 +296,27 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 
 
+#: The rows of ``op2_substring_dedup`` from every window of every document.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+),
+owner AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN owner USING (h) WHERE lo < win.doc_id),
+span AS (SELECT doc_id, i, least(i + 50, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 50)) AS e FROM hit),
+gone AS (SELECT doc_id, unnest(range(i, e)) AS i FROM span),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The rows of ``docs`` with repeated spans removed from the text: the columns of ``docs``, n_chars made anew.
 

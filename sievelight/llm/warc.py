@@ -239,3 +239,16 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
     return read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+#: The rows of ``op8_warc``: each five hex digits of a SHA-1 are four base-32 digits.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS one FROM pages),
+q AS (SELECT *, sha1(h) AS hex FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, k // 4 * 5 + 1, 5) AS BIGINT) >> (15 - k % 4 * 5)) & 31 AS INTEGER) + 1, 1)
+    for k in range(32)], '') AS payload_digest,
+  CASE WHEN one < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN one < page_id THEN one END AS refers_to
+FROM q
+"""

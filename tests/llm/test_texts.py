@@ -262,6 +262,15 @@ def test_decontamination(frame):
     assert decontaminate.contaminated(frame(docs), frame([]).selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def test_simhashes_by_stretches(monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 40)
+    h = np.random.default_rng(3).integers(0, 2**63, 300, dtype=np.uint64)
+    for size in (1, 7, 39, 40, 90):
+        s = np.array([0, 1, 5, 6, 50, 120, 121, 200, 209], np.int64)
+        found = decontaminate.simhashes(h, s, np.minimum(s + size, len(h)))
+        assert found.tolist() == [decontaminate.simhash(h[a : min(a + size, len(h))]) for a in s.tolist()]
+
+
 def test_hamming_index_returns_all_within_radius():
     rng = random.Random(1)
     index = decontaminate.build(list(range(40)), [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(40)])
