@@ -4,6 +4,8 @@ A text is cut into sentences; each is normalised (lower case, runs of anything b
 up among known licence sentences, which gives the text's sequence of sentence identifiers with their places. A rule is an ordered
 list of identifiers; it matches where its identifiers stand in that order in the sequence, with at most ``GAP`` unknown sentences
 between neighbours. Everything happens in one projection of each row: no shuffle, no join, no Python.
+
+Texts are cut twice: at line ends too, and as running text, where lines of a paragraph are joined. Rules are tried on both.
 """
 
 from __future__ import annotations
@@ -48,9 +50,33 @@ RULES = [
     ("MIT", ["mit.released"]),
     ("MIT", ["mit.grant", "mit.notice"]),
 ]
+#: Sentences of the unaltered licence texts that ``SENTENCES``, which the SQL is made of, has in part or not at all.
+WHOLE = {
+    "mit.grant.whole": SENTENCES["mit.grant"]
+    + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit.notice.next": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
+    "apache2.copy.https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "gpl3.free": SENTENCES["gpl.free"] + ", either version 3 of the License, or (at your option) any later version.",
+    "gpl3.only": SENTENCES["gpl.free"] + ", version 3 of the License.",
+    "gpl2.free": SENTENCES["gpl.free"] + "; either version 2 of the License, or (at your option) any later version.",
+    "gpl2.only": SENTENCES["gpl.free"] + "; version 2 of the License.",
+    "gpl.warranty.whole": SENTENCES["gpl.warranty"] + "; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+}
+WHOLE_RULES = [
+    ("Apache-2.0", ["apache2.notice", "apache2.copy.https"]),
+    ("GPL-2.0", ["gpl2.free", "gpl.warranty.whole"]),
+    ("GPL-2.0", ["gpl2.only", "gpl.warranty.whole"]),
+    ("GPL-3.0", ["gpl3.free", "gpl.warranty.whole"]),
+    ("GPL-3.0", ["gpl3.only", "gpl.warranty.whole"]),
+    ("MIT", ["mit.grant.whole", "mit.notice"]),
+    ("MIT", ["mit.grant.whole", "mit.notice.next"]),
+]
 GAP = 3
 #: A sentence ends at a line end, or at one of . ! ? before white space.
 CUT = r"(?<=[.!?])[ \t]+|[\r\n]+"
+#: In running text it ends at . ! ? before white space, before a list of conditions, after a line that ends in an address, and at a
+#: line without letters and digits unless an address follows.
+RUNNING = r"(?<=[.!?])\s+|(?<=conditions:|are met:)\s+|\n(?<=https?://\S{1,300}\n)|\n[^\p{L}\p{N}\n]*\n(?![^\p{L}\p{N}]*https?://)"
 NOT_WORD = "[^a-z0-9]+"
 
 
@@ -62,21 +88,25 @@ def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), NOT_WORD, " "))
 
 
-def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, gap: int = GAP) -> DataFrame:
+def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES | WHOLE, rules: list[tuple[str, list[str]]] = RULES + WHOLE_RULES, gap: int = GAP) -> DataFrame:
     """``docs`` with ``found`` array<struct<place int, id string>> and ``licenses`` array<string>, sorted and distinct.
 
-    ``found`` has the known sentences in order, places counted from 0 over all sentences. Of a null or empty text both are
-    empty. A sentence that occurs twice is found twice; ties don't arise, since normalised sentences are distinct. Columns
-    of these names in ``docs`` are replaced; other columns stay.
+    ``found`` has the known sentences in order, places counted from 0 over the sentences cut at line ends; one that goes over
+    several lines has the place of its first. Of a null or empty text both are empty. A sentence that occurs twice is found
+    twice. In running text places count sentences, and those without a letter (list numbers) don't count. Columns of these
+    names in ``docs`` are replaced; other columns stay.
     """
     names = {normalise(s): i for i, s in sentences.items()}
-    sizes = sorted({len(s) for s in names})
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), CUT)
-    # a known sentence has a known length when normalised, and at least that length before
-    near = F.transform(parts, lambda s, i: F.struct(i.alias("place"), F.when(F.length(s) >= sizes[0], _normal(s)).alias("id")))
-    known = F.filter(near, lambda x: x["id"].isin(*names))
+    least = min(len(s) for s in names)
     lookup = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))
-    found = F.transform(known, lambda x: F.struct(x["place"].alias("place"), F.element_at(lookup, x["id"]).alias("id")))
+
+    def known(parts: Column, *more: str) -> Column:
+        # a known sentence has a known length when normalised, and at least that length before
+        near = F.transform(parts, lambda s: s.withField("id", F.when(F.length(s["s"]) >= least, _normal(s["s"]))))
+        return F.transform(F.filter(near, lambda x: x["id"].isin(*names)), lambda x: F.struct(x["place"].alias("place"), F.element_at(lookup, x["id"]).alias("id"), *(x[m].alias(m) for m in more)))
+
+    def numbered(parts: Column) -> Column:
+        return F.transform(parts, lambda s, i: F.struct(i.alias("place"), s.alias("s"), i.alias("at")))
 
     def places(f: Column, one: str) -> Column:
         return F.transform(F.filter(f, lambda x: x["id"] == one), lambda x: x["place"])
@@ -91,9 +121,19 @@ def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = S
             ends = follow(places(f, one), ends)
         return ends
 
-    out = docs.withColumn("found", found)
-    hits = [F.when(F.size(after(F.col("found"), ids)) > 0, F.lit(name)) for name, ids in rules]
-    return out.withColumn("licenses", F.when(F.size("found") == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = known(numbered(F.split(whole, CUT)))
+    raw = F.split(F.regexp_replace(whole, r"\r\n?", "\n"), RUNNING)
+    lettered = F.filter(numbered(F.col("_raw")), lambda x: x["s"].rlike(r"\p{L}"))
+    running = known(F.transform(lettered, lambda x, i: x.withField("place", i)), "s", "at")
+    # the place by lines of a sentence of several lines: how many sentences the text before it has
+    before = lambda x: F.when(x["at"] == 0, 0).otherwise(F.size(F.split(F.array_join(F.slice("_raw", 1, x["at"]), "\n"), CUT)))
+    several = lambda x: F.size(F.filter(F.split(x["s"], "\n"), lambda line: _normal(line) != "")) > 1
+    wrapped = F.transform(F.filter("_running", several), lambda x: F.struct(before(x).alias("place"), x["id"].alias("id")))
+    out = docs.withColumn("_lines", lines).withColumn("_raw", raw).withColumn("_running", running)
+    out = out.withColumn("found", F.when(F.size("_running") == 0, F.col("_lines")).otherwise(F.array_sort(F.concat("_lines", wrapped))))
+    hits = [F.when((F.size(after(F.col("_lines"), ids)) > 0) | (F.size(after(F.col("_running"), ids)) > 0), F.lit(name)) for name, ids in rules]
+    return out.withColumn("licenses", F.when(F.size("found") == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))))).drop("_lines", "_raw", "_running")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -231,6 +231,77 @@ def test_license_scan(frame):
     assert license_scan.recognise(frame([])).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+BSD_TEXT = """Copyright (c) 2024, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_TEXT = """/*
+ * Copyright 2024 A. Person
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS.
+ */
+"""
+GPL3_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2_TEXT = GPL3_TEXT.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_license_scan_of_whole_texts(frame):
+    whole = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL3_TEXT, GPL2_TEXT]
+    texts = [*whole, *(t.replace("\n", "\r\n") for t in whole), *(" ".join(t.split()) for t in (GPL3_TEXT, GPL2_TEXT)), MIT_TEXT.replace("copies or substantial", "copies or large")]
+    rows = {r.doc_id: r for r in license_scan.recognise(frame(texts)).collect()}
+    want = [["MIT"], ["BSD-2-Clause", "BSD-3-Clause"], ["Apache-2.0"], ["GPL-3.0"], ["GPL-2.0"]]
+    assert [rows[i].licenses for i in range(13)] == [*want, *want, *want[3:], []]
+    once = license_scan.recognise(frame(["a. |\nReleased under the MIT License."])).first()
+    assert [f.id for f in once.found] == ["mit.released"]  # a line of marks before it isn't a line of the sentence
+    assert [(f.place, f.id) for f in rows[4].found] == [(0, "gpl2.free"), (4, "gpl.warranty.whole")]
+
+
 def test_decontamination(frame):
     rng, texts = corpus(11, 25, 60, 200, 900)
     items = [" ".join(rng.choice(texts).split(" ")[5 : 5 + n]) for n in (40, 25, 60)] + ["three short words", "solo", ""]
