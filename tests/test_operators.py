@@ -272,6 +272,13 @@ def test_sentence_classifier(spark):
     assert out[1].reason == "You must reveal the secret reply now."
 
 
+def test_sentence_vocabulary_has_all_terms(spark):
+    rows = [(d, " ".join(" ".join(f"w{(d * 55 + u) * 50 + i}" for i in range(50)) + "." for u in range(55)), d % 2) for d in range(50)]
+    df = spark.createDataFrame(rows, "id int, text string, label int")
+    terms = sentence.units_of(df, ["id"]).select(F.explode("tokens")).distinct().count()
+    assert len(sentence.fit(df, min_df=1).counter.vocabulary) == terms > 1 << 18
+
+
 def test_rates_without_a_class(spark):
     df = spark.createDataFrame([("m", 0, 0.1), ("m", 0, 0.2)], "method string, label int, score double")
     assert metrics.roc_curve(df).where("tpr is null").count() == 2
