@@ -239,6 +239,7 @@ FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN class ON class.h = set
 
 
 def keep_first(docs: DataFrame, num: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, all columns unchanged."""
+    """The rows of ``docs`` that are the smallest id of their component, all columns unchanged; rows with a null id stay."""
     ids = near_duplicates(docs, num=num)
-    return docs.join(ids.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    gone = ids.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti")

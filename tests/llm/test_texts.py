@@ -93,6 +93,12 @@ def test_near_duplicates_empty_and_null_ids(frame):
     assert [tuple(r) for r in near_dedup.near_duplicates(frame([(None, "a b c d e f"), (7, "a b c d e f")])).collect()] == [(7, 2, 7)]
 
 
+def test_keep_first_keeps_null_ids(frame):
+    rows = [(None, "a b c d e f"), (None, "quite another text than the rest"), (7, "a b c d e f"), (8, "a b c d e f"), (9, "x")]
+    out = near_dedup.keep_first(frame(rows)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in out) == [(False, 0, rows[0][1]), (False, 0, rows[1][1]), (True, 7, rows[2][1]), (True, 9, "x")]
+
+
 def test_packed_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
