@@ -86,7 +86,7 @@ def corrupt(text: Column, seed: str, drop: list[str], size: int = 3) -> Column:
     w = words(text)
     keyed = F.transform(w, lambda x, i: F.struct(F.floor(i / size).alias("window"), F.md5(F.concat(F.lit(seed), F.lit("|"), i.cast("string"), F.lit("|"), x)).alias("key"), x.alias("word")))
     kept = F.filter(F.array_sort(keyed), lambda x: ~(F.lower(x["word"]).isin(drop) & (F.substring(x["key"], 1, 1) < "8")))
-    return F.concat(F.initcap(F.element_at(F.transform(kept, lambda x: x["word"]), 1)), F.lit(" "), F.array_join(F.slice(F.transform(kept, lambda x: x["word"]), 2, 1000000), " "), F.lit("."))
+    return F.concat(F.initcap(F.element_at(F.transform(kept, lambda x: x["word"]), 1)), F.lit(" "), F.array_join(F.slice(F.transform(kept, lambda x: x["word"]), F.lit(2), F.size(kept)), " "), F.lit("."))
 
 
 def clipped_display(text: Column, most: int = 200) -> Column:

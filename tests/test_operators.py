@@ -279,6 +279,12 @@ def test_sentence_vocabulary_has_all_terms(spark):
     assert len(sentence.fit(df, min_df=1).counter.vocabulary) == terms > 1 << 18
 
 
+def test_corrupt_keeps_all_words(spark):
+    n = 1_000_010
+    row = spark.range(1).select(F.repeat(F.lit("ab "), n).alias("t")).select(F.size(F.split(T.corrupt(F.col("t"), "s", []), " ")).alias("n")).first()
+    assert row.n == n
+
+
 def test_rates_without_a_class(spark):
     df = spark.createDataFrame([("m", 0, 0.1), ("m", 0, 0.2)], "method string, label int, score double")
     assert metrics.roc_curve(df).where("tpr is null").count() == 2
