@@ -31,6 +31,8 @@ LENGTH, SPAN, DECAY, LANDMARKS = 4, 6, 0.85, 192
 #: Labelled rows used for fitting: an upper bound, and of the text of each the whole.
 FIT_ROWS = 4000
 FIT_CHARS = 6_000_000
+#: Labelled documents of each class that are drawn first, so that both are there.
+LEAST = 50
 CLASSES = 40
 OPEN, CLOSE = CLASSES - 2, CLASSES - 1  # the marks at the ends of a unit
 TOP = 4
@@ -335,25 +337,59 @@ def _scores(shared):
     return run
 
 
+def fitting(sizes: list[int], copies: list[int], toxic: list[bool]) -> list[int]:
+    """How many copies of each text, in drawing order, are taken within ``FIT_CHARS``; a text that doesn't fit is passed over.
+
+    Texts over a twentieth of the bound come last, the shorter first; the first ``LEAST`` of each class come in turns before all.
+    """
+    late = [s if s > FIT_CHARS // 20 else 0 for s in sizes]
+    order = sorted(range(len(sizes)), key=lambda i: (late[i], i))
+    seen, turn = [0, 0], {}
+    for i in order:
+        turn[i] = min(seen[toxic[i]], LEAST)
+        seen[toxic[i]] += 1
+    order.sort(key=lambda i: (turn[i], late[i], i))
+    size, out = 0, [0] * len(sizes)
+    for i in order:
+        one = max(sizes[i], 1)
+        # in a class's turn one copy, so that the other class has room
+        out[i] = min(1 if turn[i] < LEAST else copies[i], (FIT_CHARS - size) // one)
+        size += out[i] * one
+    for i in order:
+        more = min(copies[i] - out[i], (FIT_CHARS - size) // max(sizes[i], 1))
+        out[i] += more
+        size += more * max(sizes[i], 1)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "text", id: str = "doc_id", held_out: bool = True) -> Model:
-    """Fits on at most ``rows`` labelled documents: those with the smallest crc32 remainders, toxic and clean alike.
+    """Fits on at most ``rows`` labels, those with the smallest hashes, and the first ``LEAST`` of each class by hash.
 
-    With ``held_out`` rows whose crc32(id) mod 5 is 0 are never used. Null ids, labels and texts are left out.
+    The texts have at most ``FIT_CHARS`` characters in all (see ``fitting``). With ``held_out`` rows whose crc32(id) mod 5 is 0
+    are never used. Null ids, labels and texts are left out. ValueError if the texts of one of two classes don't fit.
     """
     usable = labels.select(F.col(id).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
         usable = usable.where("crc32(cast(doc_id as string)) % 5 <> 0")
-    drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
-    got = source.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-    texts, y, size = [], [], 0
-    for r in got.toLocalIterator():
-        if size + len(r.text) > FIT_CHARS:
-            break
-        size += len(r.text)
-        texts.append(r.text)
-        y.append(int(r.toxic > 0))
-    return fit(texts, np.array(y))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    classes = [usable.where(c).orderBy(*order).limit(LEAST) for c in ("toxic > 0", "toxic <= 0")]
+    drawn = usable.orderBy(*order).limit(rows).unionByName(classes[0]).unionByName(classes[1]).distinct()
+    sized = source.select("doc_id", F.length("text").alias("n")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "n", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    found = sorted(sized.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r.h, r.doc_id, r.n))
+    left = fitting([r.n for r in found], [r.copies for r in found], [r.toxic > 0 for r in found])
+    if len({r.toxic > 0 for r in found}) != len({r.toxic > 0 for r, k in zip(found, left, strict=True) if k}):
+        raise ValueError(f"the texts of a class have more than {FIT_CHARS} characters each")
+    place = {(r.doc_id, r.n): i for i, r in enumerate(found) if left[i]}
+    got = []
+    if place:
+        chosen = docs.sparkSession.createDataFrame(list(place), "doc_id long, n int")
+        for r in source.withColumn("n", F.length("text")).join(F.broadcast(chosen), ["doc_id", "n"]).repartition(8).toLocalIterator():
+            if left[i := place[r.doc_id, r.n]]:
+                left[i] -= 1
+                got.append((i, r.text))
+    got.sort()
+    return fit([t for _, t in got], np.array([int(found[i].toxic > 0) for i, _ in got]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -394,6 +394,20 @@ def test_toxicity_one_class_and_empty(frame):
     assert toxicity.fit([], np.array([])).table.sum() == 0
 
 
+def test_toxicity_passes_over_texts_that_do_not_fit(frame, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 4000)
+    drawn = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: drawn.update(zip(texts, y, strict=True)))
+    every = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for long in range(8):  # whichever comes first in hash order
+        drawn.clear()
+        texts = [(i, "z" * 5000 if i % 8 == long else f"text {i}") for i in range(40)]
+        toxicity.train(frame(texts), every, held_out=False)
+        assert drawn == {t: i % 2 for i, t in texts if i % 8 != long}
+    with pytest.raises(ValueError):
+        toxicity.train(frame([(i, "z" * 5000 if i % 2 else f"text {i}") for i in range(40)]), every, held_out=False)
+
+
 def test_kernel_is_the_subsequence_kernel():
     """Folded margins equal the kernel by its definition."""
     import itertools
