@@ -7,6 +7,7 @@ import math
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -54,10 +55,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+#: Seconds between two releases; in less time little can be written.
+RELEASE_S = 8
+_released = 0.0
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished shuffles, so that executors delete their files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _released
+    if time.monotonic() - _released > RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -82,6 +91,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: A key with over a HOTth of a table's rows is hot; a table can have HOT of them at most.
+HOT = 4096
+
+
+def spread_join(left: DataFrame, keyed: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
+    """``left`` joined with ``keyed``, which has each key once and in ``count`` how many of the ``rows`` rows of ``left`` have it.
+
+    The rows of hot keys are joined where they are, with the at most ``HOT`` hot rows of ``keyed`` broadcast; only rows of other
+    keys are shuffled, so no task gets more than its share. ``keyed`` is read three times: give a saved table.
+    """
+    is_hot = F.col(count) * HOT >= rows
+    hot, cold = keyed.where(is_hot).drop(count), keyed.where(~is_hot).drop(count)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,34 +2,43 @@
 
 One pass over the texts makes, per document, the 64-bit minima of ``HASHES`` hash functions over its word shingles. Bands of
 ``ROWS`` minima give bucket keys; of each minimum only the low ``BITS`` bits are kept, packed as bit planes, and two
-signatures are compared by population counts, corrected for chance agreement. Documents with the same shingle set are one
-class, represented by their smallest id, before anything is paired.
-
-Pairs are never expanded inside a bucket. Buckets give star edges to their smallest member; their connected components are
-the candidate groups, and a group's texts meet once. A group beyond ``BLOCK_ROWS`` members or ``BLOCK_SHINGLES`` shingles is
-dealt into blocks, and each pair of blocks is a task of bounded size, so every pair of a group is looked at somewhere, whatever
-its size. A task skips pairs that are already connected inside it, drops pairs whose estimate is ``MARGIN`` below the
-threshold, confirms the others on full shingle sets and returns at most one edge per member.
+signatures are compared by population counts, corrected for chance agreement. Both are written with the document's id; no
+later step makes them again. Documents with the same shingle set are one class, represented by their smallest id, before
+anything is paired.
+
+1. In every bucket each member is paired with the smallest one, the hub: at most ``BANDS`` pairs a member, whatever the bucket's
+   size. Pairs whose estimate is ``MARGIN`` below the threshold go; for the others the texts meet, in tasks of one hub and at
+   most ``BLOCK_ROWS`` members, and are confirmed on full shingle sets. The links join most members into components.
+2. Buckets that still hold members of two components are compared by their written signatures alone, in tiles of bounded
+   size: members of one component are never compared with each other, nor those that met in an earlier band. Only members with a
+   partner left get their texts, meet in their tile, and are confirmed; a tile returns at most one edge per member.
+
+Confirmation hashes words with a key drawn anew in each run, so texts can't be made up to look alike.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches, drop, partitions, save
+from sievelight.llm.common import bounded_batches, drop, partitions, save, spread_join
 from sievelight.llm.components import components
-from sievelight.llm.textkit import Grams, U, gram_starts, mix, words
+from sievelight.llm.textkit import KEY, Grams, U, gram_starts, mix, words
 
 SHINGLE = 5
-BANDS, ROWS, BITS = 24, 6, 4
+#: A pair at a similarity of 0.8 shares no band with probability 1.5e-5, one at 0.85 with 7e-8.
+BANDS, ROWS, BITS = 28, 5, 4
 HASHES = BANDS * ROWS
-#: Five standard errors of the corrected estimate at a similarity of 0.85.
+#: Over four standard errors of the corrected estimate at a similarity of 0.8.
 MARGIN = 0.15
+#: Members, and their shingles, that one task confirms or compares at a time.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 _rng = np.random.default_rng(9)
 MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
@@ -37,9 +46,29 @@ ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 STEP = 1 << 16
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row: k-word shingles, or with fewer words the whole sequence as one."""
-    for w in words(column, lower=True):
+def keyed_sets(column: pa.Array, k: int = SHINGLE, key: bytes = KEY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each row and the second hash of each: k-word shingles, or with fewer words the
+    whole sequence as one."""
+    for w in words(column, lower=True, key=key):
+        one, two = Grams(w.hash), Grams(w.other)
+        starts, per = gram_starts(w.first, k)
+        n = np.diff(w.first)
+        short = np.flatnonzero((per == 0) & (n > 0))
+        whole = dict(zip(short.tolist(), zip(one.of(w.first[short], n[short]), two.of(w.first[short], n[short]), strict=True), strict=True))
+        full, other = one.of(starts, k), two.of(starts, k)
+        at = np.concatenate([[0], np.cumsum(per)])
+        for r in range(w.rows):
+            if per[r]:
+                s, first = np.unique(full[at[r] : at[r + 1]], return_index=True)
+                yield s, other[at[r] : at[r + 1]][first]
+            else:
+                pair = [whole[r]] if r in whole else []
+                yield np.array([p[0] for p in pair], np.uint64), np.array([p[1] for p in pair], np.uint64)
+
+
+def shingle_sets(column: pa.Array, k: int = SHINGLE, key: bytes = KEY) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each row."""
+    for w in words(column, lower=True, key=key):
         grams = Grams(w.hash)
         starts, per = gram_starts(w.first, k)
         n = np.diff(w.first)
@@ -48,10 +77,7 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
         full = grams.of(starts, k)
         at = np.concatenate([[0], np.cumsum(per)])
         for r in range(w.rows):
-            if per[r]:
-                yield np.unique(full[at[r] : at[r + 1]])
-            else:
-                yield np.array([whole[r]] if r in whole else [], np.uint64)
+            yield np.unique(full[at[r] : at[r + 1]]) if per[r] else np.array([whole[r]] if r in whole else [], np.uint64)
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -86,88 +112,208 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (agree - chance) / (1 - chance)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same_set", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same_set", pa.binary()), ("bands", pa.list_(pa.int64())), ("sign", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, sets = b.column(0), list(shingle_sets(b.column(1)))
-        sizes = np.array([len(s) for s in sets], np.int64)
+        ids, sets = b.column(0), list(keyed_sets(b.column(1)))
+        sizes = np.array([len(s) for s, _ in sets], np.int64)
         some = np.flatnonzero(sizes)
         keys: list = [None] * len(sets)
         prints: list = [None] * len(sets)
+        signs: list = [None] * len(sets)
         if len(some):
-            low = minima([sets[i] for i in some])
+            low = minima([sets[i][0] for i in some])
             band = np.zeros((len(some), BANDS), np.uint64)
             for r in range(ROWS):
                 band = mix(band ^ low[:, r::ROWS]) + U(r)
             band = mix(band + np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+            packed = pack(low)
             for i, r in enumerate(some.tolist()):
-                s, keys[r] = sets[r], band[i].tolist()
-                prints[r] = np.array([len(s), mix(s).sum(), mix(s ^ U(0xA5A5A5A5)).sum()], np.uint64).tobytes()
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=SIGNED)
-
-
-def _confirm(ids: np.ndarray, texts: pa.Array, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that connect what is linked in a task: all pairs if ``side`` is constant, else pairs across the sides."""
-    order = np.argsort(ids, kind="stable")
-    sets = list(shingle_sets(texts))
-    ids, side, sets = ids[order], side[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets])
-    sign = pack(minima(sets))
-    group, edges, two = np.arange(len(ids)), [], side.min() != side.max()
-    least = num / den - MARGIN
-    for i in range(len(ids) - 1):
-        may = group[i + 1 :] != group[i]
-        if two:
-            may &= side[i + 1 :] != side[i]
-        rest = size[i + 1 :]
-        may &= np.minimum(rest, size[i]) * den >= np.maximum(rest, size[i]) * num
-        js = np.flatnonzero(may) + i + 1
-        if not len(js):
-            continue
-        guess = estimate(sign[i], sign[js])
-        for j in js[np.argsort(-guess, kind="stable")[: int((guess >= least).sum())]].tolist():
-            if group[j] == group[i]:
+                keys[r], signs[r] = band[i].tolist(), packed[i].tobytes()
+                prints[r] = blake2b(np.concatenate(sets[r]).tobytes(), digest_size=24).digest()
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], schema=SIGNED)
+
+
+def unpack(signs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint64).reshape(len(signs), BITS, -1)
+
+
+def alike(one: np.ndarray, two: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold."""
+    return np.minimum(one, two) * den >= np.maximum(one, two) * num
+
+
+def _prune(num: int, den: int):
+    """Keeps the pairs (a, b) whose sizes and written signatures may reach the threshold, and those of an id that has two texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both * den >= num * (size[i] + size[j] - both):
-                edges.append((int(ids[i]), int(ids[j])))
-                group[group == group[j]] = group[i]
-    return edges
+            known = b.column(b.schema.get_field_index("sign_a")).is_valid()
+            some = b.filter(known)
+            keep = [b.filter(pc.invert(known))]
+            if some.num_rows:
+                one, two = (unpack(some.column(some.schema.get_field_index(c)).to_pylist()) for c in ("sign_a", "sign_b"))
+                na, nb = (some.column(some.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
+                keep.append(some.filter(pa.array(alike(na, nb, num, den) & (estimate(one, two) >= num / den - MARGIN))))
+            yield from (k.select(["a", "b", "n_b"]) for k in keep)
+
+    return run
+
+
+def linked(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both * den >= num * (len(one) + len(two) - both)
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _tasks(num: int, den: int):
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``keys``; rows come sorted by them."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(k[:, lo].tolist())
+            if key != now and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], schema=EDGES)
+
+
+def _spokes(num: int, den: int, key: bytes):
+    """Confirms each member against the hub, which is the group's id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for t in grouped(batches, ["hub", "block"]):
+            ids, hub = t["doc_id"].to_numpy(), t["hub"][0].as_py()
+            sets = list(shingle_sets(whole(t["text"]), key=key))
+            centre = [s for i, s in zip(ids.tolist(), sets, strict=True) if i == hub]
+            yield _edges([(hub, i) for i, s in zip(ids.tolist(), sets, strict=True) if i != hub and any(linked(c, s, num, den) for c in centre)])
 
-        def flush():
-            t = pa.Table.from_batches(held).combine_chunks()
-            e = _confirm(t["doc_id"].to_numpy(), t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0), t["side"].to_numpy(), num, den)
-            a = np.array(e, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], schema=EDGES)
+    return run
 
-        for b in batches:
-            k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("grp", "bi", "bj")])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi == lo:
+
+def _partners(num: int, den: int):
+    """Members of a tile that have, by signature, a partner of another component which they don't meet in an earlier band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["band", "one", "two"]):
+            side, grp, size = (t[c].to_numpy() for c in ("side", "component", "n_shingles"))
+            nth = t["nth"][0].as_py()
+            sign = unpack(t["sign"].to_pylist())
+            bands = whole(t["bands"]).flatten().to_numpy().reshape(len(side), -1)[:, :nth]
+            across = side.min() != side.max()
+            flag = np.zeros(len(side), bool)
+            for i in range(len(side) - 1):
+                may = (grp[i + 1 :] != grp[i]) & alike(size[i + 1 :], size[i], num, den)
+                if across:
+                    may &= side[i + 1 :] != side[i]
+                js = np.flatnonzero(may) + i + 1
+                js = js[estimate(sign[i], sign[js]) >= num / den - MARGIN]
+                if nth and len(js):
+                    js = js[~(bands[js] == bands[i]).any(axis=1)]
+                if len(js):
+                    flag[i] = True
+                    flag[js] = True
+            if flag.any():
+                yield pa.RecordBatch.from_struct_array(t.select(["band", "one", "two", "side", "doc_id", "component"]).filter(pa.array(flag)).to_struct_array().combine_chunks())
+
+    return run
+
+
+def _tiles(num: int, den: int, key: bytes):
+    """Edges that connect what is linked in a tile: between its sides if it has two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["band", "one", "two"]):
+            ids, side, group = (t[c].to_numpy() for c in ("doc_id", "side", "component"))
+            group = group.copy()
+            sets = list(shingle_sets(whole(t["text"]), key=key))
+            size = np.array([len(s) for s in sets])
+            sign = pack(minima(sets)) if size.min() else None
+            edges, across = [], side.min() != side.max()
+            for i in range(len(ids) - 1):
+                may = (group[i + 1 :] != group[i]) & alike(size[i + 1 :], size[i], num, den)
+                if across:
+                    may &= side[i + 1 :] != side[i]
+                js = np.flatnonzero(may) + i + 1
+                if not len(js):
                     continue
-                now = tuple(k[:, lo].tolist())
-                if now != key and held:
-                    yield flush()
-                    held.clear()
-                key = now
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield flush()
+                guess = estimate(sign[i], sign[js]) if sign is not None else np.ones(len(js))
+                for j in js[np.argsort(-guess, kind="stable")[: int((guess >= num / den - MARGIN).sum())]].tolist():
+                    if group[j] != group[i] and linked(sets[i], sets[j], num, den):
+                        edges.append((int(ids[i]), int(ids[j])))
+                        group[group == group[j]] = group[i]
+            yield _edges(edges)
 
     return run
 
 
+def _confirm_spokes(stars: DataFrame, source: DataFrame, num: int, den: int, key: bytes) -> tuple[DataFrame, str]:
+    """Links (a, b) among the pairs (a, b, n_b), a being the hub: hubs meet their members in blocks of bounded size."""
+    spark, n = stars.sparkSession, partitions(stars.sparkSession)
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_b") / BLOCK_SHINGLES)).cast("int")
+    hubs, path = save(stars.groupBy("a").agg(size.alias("blocks"), F.count(F.lit(1)).alias("n")), "hubs")
+    spokes = spread_join(stars.select("a", "b"), hubs, "a", stars.count()).select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("doc_id"))
+    centres = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"))
+    dealt, dealt_path = save(spokes.unionByName(centres), "dealt")
+    met = dealt.join(source, "doc_id").repartition(n, "hub", "block").sortWithinPartitions("hub", "block").select("doc_id", "text", "hub", "block")
+    out, links_path = save(met.mapInArrow(_spokes(num, den, key), "a long, b long"), "links")
+    drop(spark, path, dealt_path)
+    return out, links_path
+
+
+def _residual(banded: DataFrame, hubs: DataFrame, found: DataFrame, rows: int) -> tuple[DataFrame, list[str]]:
+    """Tiles of the buckets in which members other than the hub are in two components.
+
+    A component with over ``BLOCK_ROWS`` members in a bucket has cells of its own, the others share cells; every two cells meet in
+    a tile, except cells of the same component.
+    """
+    many = hubs.where("n > 2")
+    inside = spread_join(banded, many, "band", rows).where("doc_id <> hub").drop("hub")
+    named, named_path = save(inside.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets")
+    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "n")
+    split, split_path = save(split.withColumn("members", F.col("n")), "split")
+    left, left_path = save(spread_join(named, split, "band", named.count()), "left")
+    rows = left.count()
+    per, per_path = save(left.groupBy(F.xxhash64("band", "component").alias("both")).agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.col("n")), "per")
+    big = F.col("own") >= BLOCK_ROWS
+    cell = spread_join(left.withColumn("both", F.xxhash64("band", "component")), per, "both", rows).select(
+        "band", "nth", "doc_id", "component", F.when(big, F.col("component")).alias("of"),
+        F.pmod(F.xxhash64(F.when(big, F.col("doc_id")).otherwise(F.col("component"))), F.ceil(F.when(big, F.col("own")).otherwise(F.col("members")) / BLOCK_ROWS)).cast("int").alias("part"),
+    )
+    cell, cell_path = save(cell.withColumn("cell", F.xxhash64("of", "part")), "cell")
+    cells = cell.groupBy("band").agg(F.collect_set(F.struct("cell", "of")).alias("cells"), F.count(F.lit(1)).alias("n"))
+    cells, cells_path = save(cells, "cells")
+    partners = F.expr("filter(cells, x -> x.of is null or of is null or x.of <> of)")
+    tiles = (
+        spread_join(cell, cells, "band", rows)
+        .withColumn("other", F.explode(partners))
+        .select("band", "nth", "doc_id", "component", F.least("cell", "other.cell").alias("one"), F.greatest("cell", "other.cell").alias("two"), (F.col("cell") > F.col("other.cell")).cast("int").alias("side"))
+    )
+    return tiles, [named_path, split_path, left_path, per_path, cell_path, cells_path]
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", num: int = 80, den: int = 100) -> DataFrame:
     """Link rows of ``docs`` whose shingle sets have den * intersection >= num * union, and give their components.
 
@@ -179,34 +325,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", num
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    n, key = partitions(spark), secrets.token_bytes(16)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    signed, signed_path = save(source.mapInArrow(_sign, "doc_id long, n_shingles long, same_set binary, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("same_set").agg(F.min("doc_id").alias("rep"))
-    reps, reps_path = save(classes.select("same_set", "rep"), "classes")
-
-    banded = signed.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    stars = banded.join(hubs.select("band", "hub"), "band").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    member, member_path = save(components(stars, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
-
-    sized = member.join(signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
-    blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("doc_id") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = (
-        member.join(blocks, "grp")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "grp", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    )
-    n = partitions(spark)
-    met = dealt.join(source, "doc_id").repartition(n, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").select("doc_id", "text", "grp", "bi", "bj", "side")
-    # a block of its own is one side: compare all pairs; two blocks: only across
-    links, links_path = save(met.mapInArrow(_tasks(num, den), "a long, b long"), "links")
-
-    found = components(links, "linked")
-    rows = signed.select("doc_id", "n_shingles", "same_set").join(reps, "same_set", "left")
-    out = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    signed, signed_path = save(source.mapInArrow(_sign, "doc_id long, n_shingles long, same_set binary, bands array<long>, sign binary"), "signed")
+    reps, reps_path = save(signed.where("n_shingles > 0").groupBy("same_set").agg(F.min("doc_id").alias("rep")).select("same_set", "rep"), "classes")
+    slim, slim_path = save(signed.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "same_set"], "left_semi").dropDuplicates(["doc_id", "same_set"]).drop("same_set"), "signatures")
+
+    banded = slim.select("doc_id", F.posexplode("bands").alias("nth", "band"))
+    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").drop("last")
+    hubs, hubs_path = save(buckets, "buckets")
+    rows = slim.count() * BANDS
+    stars = spread_join(banded, hubs, "band", rows).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars, stars_path = save(stars, "stars")
+    named = lambda c: slim.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
+    with_b, with_b_path = save(stars.join(named("b"), "b"), "spokes")
+    centres, centres_path = save(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(named("a"), "a").groupBy("a", "n").agg(F.max("n_a").alias("n_a"), F.when(F.count(F.lit(1)) == 1, F.max("sign_a")).alias("sign_a")), "centres")
+    pairs, pairs_path = save(spread_join(with_b, centres, "a", with_b.count()).mapInArrow(_prune(num, den), "a long, b long, n_b long").dropDuplicates(["a", "b"]), "pairs")
+    first, first_path = _confirm_spokes(pairs, source, num, den, key)
+    drop(spark, stars_path, with_b_path, centres_path, pairs_path)
+
+    found, found_path = save(components(first, "linked"), "found")
+    tiles, paths = _residual(banded, hubs, found, rows)
+    shown = tiles.join(slim, "doc_id").repartition(n, "band", "one", "two").sortWithinPartitions("band", "one", "two")
+    left = shown.select("band", "nth", "one", "two", "side", "doc_id", "component", "n_shingles", "sign", "bands").mapInArrow(_partners(num, den), "band long, one long, two long, side int, doc_id long, component long")
+    left, left_path = save(left, "partners")
+    met = left.join(source, "doc_id").repartition(n, "band", "one", "two").sortWithinPartitions("band", "one", "two").select("doc_id", "text", "band", "one", "two", "side", "component")
+    second, second_path = save(met.mapInArrow(_tiles(num, den, key), "a long, b long"), "links")
+
+    found, last_path = save(components(first.unionByName(second), "linked"), "found")
+    out = signed.select("doc_id", "n_shingles", "same_set").join(reps, "same_set", "left")
+    out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     out, _ = save(out, "near")
-    drop(spark, signed_path, reps_path, member_path, links_path)
+    drop(spark, signed_path, reps_path, slim_path, hubs_path, first_path, found_path, *paths, left_path, second_path, last_path)
     return out
 
 

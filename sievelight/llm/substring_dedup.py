@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.automaton import SuffixAutomaton
 from sievelight.llm.common import bounded_batches, drop, partitions, save
-from sievelight.llm.textkit import C2, Grams, Words, mix, words
+from sievelight.llm.textkit import Grams, Words, mix, words
 
 SPAN, GRAM = 50, 16
 SHARD_SEGMENTS = 512
-SECOND = C2 ^ 0x5DEECE66C  # another odd base
 
 
 def anchors(w: Words, grams: Grams, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +99,7 @@ def _segments(span: int, gram: int):
         for b in batches:
             ids, wanted = b.column(0).to_numpy(), b.column(2)
             for w in words(b.column(1)):
-                one, two = Grams(w.hash), Grams(mix(w.hash), SECOND | 1)
+                one, two = Grams(w.hash), Grams(w.other)
                 key, lo, count, row = anchors(w, one, span, gram)
                 if not len(key):
                     continue
@@ -164,7 +163,7 @@ def _recut(span: int, gram: int):
             parent, whole, doc, last = (b.column(names(c)) for c in ("anchor", "print", "doc", "last"))
             keys = parent.to_numpy().view(np.uint64)
             for w in words(b.column(names("words"))):
-                one, two = Grams(w.hash), Grams(mix(w.hash), SECOND | 1)
+                one, two = Grams(w.hash), Grams(w.other)
                 key, lo, count, row = anchors(w, one, span, gram)
                 take = pa.array(row + w.row0)
                 raw = w.data.tobytes()
@@ -187,7 +186,7 @@ def _windows(span: int):
             names = b.schema.get_field_index
             anchor, prints, doc = (b.column(names(c)) for c in ("anchor", "print", "doc"))
             for w in words(b.column(names("words"))):
-                one, two = Grams(w.hash), Grams(mix(w.hash), SECOND | 1)
+                one, two = Grams(w.hash), Grams(w.other)
                 per = np.diff(w.first) - span + 1
                 row = np.repeat(np.arange(w.rows), per)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)

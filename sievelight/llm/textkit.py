@@ -1,51 +1,34 @@
 """Vectorised words and hashes over Arrow text columns.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which in UTF-8 is the regular expression
-``[^\\x20\\x09-\\x0D]+`` on characters. All hashing is positional polynomial hashing modulo 2^64 over random byte (or word)
-values followed by a bit mixer, from prefix sums, so each word, n-gram and window costs a few vector operations.
+``[^\\x20\\x09-\\x0D]+`` on characters. The distinct words of a slice are found by an exact dictionary and each gets a keyed
+128-bit BLAKE2 digest, of which ``hash`` and ``other`` are the halves; so no choice of words makes two of them equal. Hashes of
+word n-grams are made by doubling: that of 2k words mixes those of its halves, and a mixing step isn't linear, so no arrangement
+of two words (as with polynomial hashes) makes n-grams collide either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 SLICE = 1 << 20
-_rng = np.random.default_rng(20240229)
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: At most 16 bytes.
+KEY = b"sievelight words"
 SEP = np.zeros(256, bool)
 SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-B1, B2, C1, C2 = (int(x) | 1 for x in _rng.integers(2**61, 2**63, 4, dtype=np.uint64))
+_rng = np.random.default_rng(20240229)
+C1, C2 = (int(x) | 1 for x in _rng.integers(2**61, 2**63, 2, dtype=np.uint64))
 MASK = (1 << 64) - 1
 
 
-class _Powers:
-    """base^i and base^-i modulo 2^64, extended as longer texts come."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-@cache
-def _powers(base: int) -> _Powers:
-    return _Powers(base)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> U(32))
@@ -70,6 +53,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    other: np.ndarray
 
     @property
     def rows(self) -> int:
@@ -93,8 +77,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """Words with 64-bit hashes, in slices of whole rows of about ``SLICE`` bytes."""
+def word_digests(solid: np.ndarray, lengths: np.ndarray, key: bytes = KEY) -> np.ndarray:
+    """Both halves of the keyed digest of each word: ``solid`` has the words' bytes without separators. Shape (words, 2)."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    array = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(solid))])
+    coded = array.dictionary_encode()
+    digests = b"".join([blake2b(w, digest_size=16, salt=key).digest() for w in coded.dictionary.to_pylist()])
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+
+
+def words(column: pa.Array, lower: bool = False, key: bytes = KEY) -> Iterator[Words]:
+    """Words with both hashes, in slices of whole rows of about ``SLICE`` bytes."""
     if not len(column):
         return
     data, offsets = text_buffers(column)
@@ -118,26 +112,40 @@ def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
             after |= edge[1:]
         start = np.flatnonzero(solid & before)
         end = np.flatnonzero(solid & after) + 1
-        up, down = _powers(B1).get(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE[part] * up[: len(part)], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * U(B2))
-        yield Words(r, part, bounds, start, end, np.searchsorted(start, bounds), h)
+        h = word_digests(part[solid], end - start, key)
+        yield Words(r, part, bounds, start, end, np.searchsorted(start, bounds), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
         r = to
 
 
 class Grams:
-    """Hashes of word n-grams of any length from one prefix sum."""
+    """Hashes of word n-grams of any length, from those of 1, 2, 4, 8 ... words, which are made when first asked for."""
 
-    def __init__(self, h: np.ndarray, base: int = C1):
+    def __init__(self, h: np.ndarray):
         self.n = len(h)
-        up, self.down = _powers(base).get(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(h * up[: self.n], out=self.sums[1:])
+        self.levels = [h]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            low, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            size = max(0, len(low) - half)
+            self.levels.append(mix(low[:size] * U(C1) + low[half : half + size]))
+        return self.levels[k]
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        salt = U(int(length) * C2 & MASK) if np.isscalar(length) else np.asarray(length, np.uint64) * U(C2)
-        return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + salt)
+        if np.isscalar(length):
+            out, at = np.full(len(start), int(length) * C2 & MASK, np.uint64), start
+            for k in reversed(range(int(length).bit_length())):
+                if int(length) >> k & 1:
+                    out = mix(out * U(C1) + self._level(k)[at])
+                    at = at + (1 << k)
+            return out
+        length = np.asarray(length, np.int64)
+        out, at = length.astype(np.uint64) * U(C2), np.array(start, np.int64)
+        for k in reversed(range(int(length.max()).bit_length() if len(length) else 0)):
+            on = np.flatnonzero(length >> k & 1)
+            out[on] = mix(out[on] * U(C1) + self._level(k)[at[on]])
+            at[on] += 1 << k
+        return out
 
 
 def gram_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

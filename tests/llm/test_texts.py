@@ -88,6 +88,58 @@ def test_near_duplicates(frame, monkeypatch, block):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def thue_morse(letters):
+    a = [0]
+    while len(a) < letters:
+        a += [1 - x for x in a]
+    return "".join("ab"[x] for x in a[:letters]), "".join("ba"[x] for x in a[:letters])
+
+
+def test_words_made_to_collide(frame):
+    """Under polynomial hashes modulo a power of two these words, and these orders of two words, are equal."""
+    for letters in (512, 2048):
+        one, two = thue_morse(letters)
+        w = next(textkit.words(pa.array([f"{one} {two}"])))
+        assert w.hash[0] != w.hash[1] and w.other[0] != w.other[1]
+        w = next(textkit.words(pa.array([" ".join(one), " ".join(two)])))
+        g = textkit.Grams(w.hash)
+        a, b = g.of(w.first[:-1], letters)
+        assert a != b and g.of(w.first[:-1], np.diff(w.first)).tolist() == [a, b]
+    one, two = thue_morse(512)
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}")]
+    same = near_dedup.near_duplicates(frame(rows), num=99).collect()
+    assert {r.doc_id: r.component_id for r in same} == {1: 1, 2: 2}
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(frame(rows), digest=True).collect())
+
+
+def test_near_duplicates_without_a_common_hub(frame, monkeypatch):
+    """Members of a bucket that aren't linked with its smallest one are, with each other; none of a big component is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    rng, base = corpus(21, 3, 90, 100, 5000)
+    rows = []
+    for t in base:
+        w = t.split(" ")
+        for i in range(12):  # variants that share 80 words of 90 with the base and differ from each other
+            v = list(w)
+            at = rng.randrange(len(v) - 12)
+            v[at : at + 10] = [f"x{len(rows)}y{k}" for k in range(10)]
+            rows.append((len(rows), " ".join(v)))
+            rows.append((len(rows), " ".join([*v[:-1], "end"])))
+    sets = {i: {tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)} for i, t in rows}
+    want = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in sets}
+    for _ in range(6):
+        want = {i: min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in sets}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(rows), num=85).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_near_duplicates_of_an_id_with_two_texts(frame):
+    _, texts = corpus(22, 2, 60, 80, 900)
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " more"), (3, texts[1] + " more"), (4, "on its own")]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_near_duplicates_empty_and_null_ids(frame):
     assert near_dedup.near_duplicates(frame([])).count() == 0
     assert [tuple(r) for r in near_dedup.near_duplicates(frame([(None, "a b c d e f"), (7, "a b c d e f")])).collect()] == [(7, 2, 7)]
