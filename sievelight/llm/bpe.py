@@ -4,8 +4,10 @@
 depends on text to its right only through a rule of smaller rank that starts with a token on the right edge of its right part;
 following such rules with falling rank gives a finite longest path. An encoder that has read that many bytes past a token's end
 may emit the token and go on from its end as if the text began there: no merge ever crosses a final token boundary, so both
-sides are independent. ``StreamingBPE`` does this for words of any length in constant memory. ``TokenSurfaces`` is the
-incremental decoder: it takes ids one by one and gives text as soon as its bytes are complete.
+sides are independent. ``StreamingBPE`` does this for words of any length in constant memory; all words go through it, and what it
+gave for short ones is remembered in a bounded memory. ``TokenSurfaces`` is the incremental decoder: it takes ids as they come
+and gives text as soon as its bytes are complete. The digests of a text are fed part by part with the ids and with what the
+decoder makes of those ids, so neither list is ever held.
 """
 
 from __future__ import annotations
@@ -14,24 +16,28 @@ import array
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import struct
-import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from sievelight.llm.common import bounded_batches
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Unicode White_Space, which the normaliser's \s means.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Entries of each of the two generations of the memory of words; when the young one is full, the old one goes.
 MEMORY = 400_000
+#: Characters of a text, or tokens of a long word, that are coded at a time.
+BLOCK = 1 << 14
 
 
 def byte_alphabet() -> list[str]:
@@ -114,18 +120,13 @@ class StreamingBPE:
     def tokens(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a word given as byte symbols; at most ``chunk`` symbols and one lookahead are held."""
         held: list[str] = []
-        it, over = iter(symbols), False
-        while not over:
-            while len(held) < self.chunk + self.lookahead + 1:
-                nxt = next(it, None)
-                if nxt is None:
-                    over = True
-                    break
-                held.append(nxt)
-            if over:
+        it, chunk = iter(symbols), self.chunk
+        while True:
+            held.extend(itertools.islice(it, chunk + self.lookahead + 1 - len(held)))
+            if len(held) <= chunk + self.lookahead:  # the word is over
                 if held:
                     held[-1] += self.end
-                    yield from self.merge(held.copy())
+                    yield from self.merge(held)
                 return
             at = 0
             for t in self.merge(held.copy()):
@@ -134,12 +135,12 @@ class StreamingBPE:
                 at += len(t)
                 yield t
             if not at:  # no token is final yet: read more
-                self.chunk *= 2
+                chunk *= 2
             del held[:at]
 
 
 class TokenSurfaces:
-    """Incremental decoder of ids, a state machine over bytes.
+    """Incremental decoders of ids, state machines that take ids as they come.
 
     ``surface`` is the library's decode without a decoder: token strings joined by one space. ``text`` gives bytes back as
     text: a word end becomes one space, and a character comes out when its last UTF-8 byte has come; bytes that form none give
@@ -151,11 +152,13 @@ class TokenSurfaces:
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes = [bytes(back.get(c, 0x20) for c in n.removesuffix(end)) + b" " * n.endswith(end) for n in names]
 
-    def surface(self, ids: Iterable[int]) -> Iterator[str]:
-        first = True
-        for i in ids:
-            yield self.names[i] if first else " " + self.names[i]
-            first = False
+    def surface(self, parts: Iterable[Sequence[int]]) -> Iterator[str]:
+        """The surface of consecutive ``parts`` of the ids, a string for each."""
+        started = False
+        for ids in parts:
+            out = " ".join(map(self.names.__getitem__, ids))
+            yield " " + out if started and len(ids) else out
+            started = started or len(ids) > 0
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         state = codecs.getincrementaldecoder("utf-8")("replace")
@@ -167,7 +170,10 @@ class TokenSurfaces:
 
 
 class WordBPE:
-    """The tokenizer of a tokenizers JSON file with NFC, white space, lower case, a split pattern and byte-level BPE."""
+    """The tokenizer of a tokenizers JSON file with NFC, white space, lower case, a split pattern and byte-level BPE.
+
+    Normalisation and splitting of words beyond ASCII are the library's own steps, so its Unicode tables hold.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -180,60 +186,74 @@ class WordBPE:
         for name, i in [*self.vocab.items(), *self.special.items()]:
             self.names[i] = name
         self.bpe = StreamingBPE(merges, self.vocab, model["end_of_word_suffix"])
-        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.cut = re.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
         self.surfaces = TokenSurfaces(self.names, model["end_of_word_suffix"])
         self.packed = {name: struct.pack("<I", i) for name, i in self.vocab.items()}
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-
-    def _lower(self, word: str) -> str:
-        return word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-
-    def pieces(self, word: str) -> list[str]:
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
-        return self.cut.findall(self._lower(word))
-
-    def tokens(self, piece: str) -> list[str]:
-        """Tokens of a piece: at once if it's shorter than the transducer's buffer, else streamed."""
-        data = piece.encode("utf-8", "replace")
-        if len(data) > self.bpe.chunk:
-            return list(self.bpe.tokens(self.alphabet[b] for b in data))
-        symbols = list(piece) if piece.isascii() and piece.isprintable() else [self.alphabet[b] for b in data]
-        symbols[-1] += self.bpe.end
-        return self.bpe.merge(symbols)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, word: str) -> Iterable[str]:
+        """The pieces of a run of text without white space, as byte symbols."""
+        if not word.isascii():
+            return [piece for piece, _ in self.split(self.normal(word))]
+        word = word.lower()
+        if word.isalpha():
+            return (word,)
+        found = (m.group() for m in self.cut.finditer(word))
+        return found if word.isprintable() else ("".join([self.alphabet[ord(c)] for c in piece]) for piece in found)
+
+    def tokens(self, word: str) -> Iterator[str]:
+        """Tokens of a run of text without white space, as they become final."""
+        for piece in self.pieces(word):
+            yield from self.bpe.tokens(piece)
 
     def ids(self, word: str) -> Iterator[int]:
-        """Ids of a run of text without white space."""
-        for piece in self.pieces(word):
-            yield from map(self.vocab.__getitem__, self.tokens(piece))
+        return map(self.vocab.__getitem__, self.tokens(word))
 
-    def _coded(self, word: str) -> tuple[bytes, str]:
+    def _coded(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
-            pieces = self.pieces(word)
-            if len(pieces) == 1 and pieces[0] != word:
-                out = self.young.get(pieces[0]) or self.old.get(pieces[0])
+            lower = word.lower() if word.isascii() else word
+            out = (self.young.get(lower) or self.old.get(lower)) if lower != word else None
             if out is None:
-                tokens = [t for piece in pieces for t in self.tokens(piece)]
-                out = b"".join([self.packed[t] for t in tokens]), " ".join(tokens)
-        if len(word) <= 64:
-            if len(self.young) >= MEMORY:
-                self.old, self.young = self.young, {}
-            self.young[word] = out
+                out = b"".join([self.packed[t] for t in self.tokens(word)])
+        if len(self.young) >= MEMORY:
+            self.old, self.young = self.young, {}
+        self.young[word] = out
         return out
 
-    def stream(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded surface) of each run of the text."""
-        for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
-            if part in self.special:
-                yield array.array("I", [self.special[part]]).tobytes(), part
-                continue
-            for word in SPACE.split(part):
-                if word:
-                    yield self.young.get(word) or self._coded(word)
+    def stream(self, text: str) -> Iterator[array.array]:
+        """The ids of a text, in parts of bounded size."""
+        for some in blocks(text):
+            held: list[bytes] = []
+            for part in self.marks.split(some) if self.marks and "<|" in some else (some,):
+                if part in self.special:
+                    held.append(struct.pack("<I", self.special[part]))
+                    continue
+                for word in SPACE.split(part):
+                    if len(word) <= 64:
+                        if word:
+                            held.append(self.young.get(word) or self._coded(word))
+                        continue
+                    for t in self.tokens(word):
+                        held.append(self.packed[t])
+                        if len(held) >= BLOCK:
+                            yield array.array("I", b"".join(held))
+                            held.clear()
+            yield array.array("I", b"".join(held))
+
+
+def blocks(text: str) -> Iterator[str]:
+    """Consecutive parts of a text that end at white space, of about BLOCK characters unless a word is longer."""
+    lo = 0
+    while len(text) - lo > BLOCK and (m := SPACE.search(text, lo + BLOCK)):
+        yield text[lo : m.end()]
+        lo = m.end()
+    yield text[lo:] if lo else text
 
 
 _loaded: dict[str, WordBPE] = {}
@@ -248,17 +268,26 @@ def tokenizer(path: str) -> WordBPE:
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def coded(tok: WordBPE, text: str) -> Iterator[tuple[array.array, str]]:
+    """Ids of a text in parts, and of each what the decoder makes of them; neither is held as a whole."""
+    for_ids, for_surface = itertools.tee(tok.stream(text))
+    return zip(for_ids, tok.surfaces.surface(for_surface), strict=True)
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches:
             counts, left, right = [], [], []
             for text in b.column(1):
-                coded = [x for x in tok.stream(text.as_py() or "") if x[0]]
-                ids = b"".join([x[0] for x in coded])
-                counts.append(len(ids) // 4)
-                left.append(hashlib.sha256(ids).hexdigest())
-                right.append(hashlib.sha256(" ".join([x[1] for x in coded]).encode()).hexdigest())
+                n, one, two = 0, hashlib.sha256(), hashlib.sha256()
+                for ids, surface in coded(tok, text.as_py() or ""):
+                    n += len(ids)
+                    one.update(ids)
+                    two.update(surface.encode())
+                counts.append(n)
+                left.append(one.hexdigest())
+                right.append(two.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], schema=CODED)
 
     return run
@@ -276,7 +305,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text") -> DataFr
 
         tok = tokenizer(path)
         for s in series:
-            yield pd.Series([array.array("I", b"".join(x[0] for x in tok.stream(t or ""))).tolist() for t in s])
+            yield pd.Series([[i for ids in tok.stream(t or "") for i in ids] for t in s])
 
     return docs.withColumn("token_ids", F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)(text))
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.common import bounded_batches
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
 MEMORY = 250_000
 

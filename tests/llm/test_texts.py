@@ -4,6 +4,7 @@ import array
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -240,6 +241,29 @@ def test_bpe_equals_library(tok, frame):
     assert ids[0].decoded == "hello , wörld " and ids[1].decoded == ""
 
 
+def test_bpe_equals_library_on_every_character(tok, frame):
+    """Through the query's path: all code points between letters, reordered marks, and texts over several blocks."""
+    mine, lib = tok
+    rng = random.Random(12)
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b " for c in points[lo : lo + 500]) for lo in range(0, len(points), 500)]
+    marks = [c for c in points if unicodedata.combining(c)] + [chr(c) for c in (0x1ACC, 0x1AC5, 0x1B72, 0x558, 0x1C89, 0xA7CB, 0xA7DA)]
+    texts += [" ".join("e" + "".join(rng.choice(marks) for _ in range(rng.randrange(1, 5))) for _ in range(300)) for _ in range(40)]
+    texts += ["".join(rng.choice(points) for _ in range(2000)), "x" * 40000 + " y " * 20000, "Word " * 9000 + "<|endoftext|>" + " tail" * 9000, "\x00\x01 a\x02b"]
+    got = {r[0]: tuple(r)[1:] for r in bpe.digests(frame(texts)).collect()}
+    for i, t in enumerate(texts):
+        e = lib.encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(e), hashlib.sha256(array.array("I", e).tobytes()).hexdigest(), hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()), i
+
+
+def test_bpe_parts_are_bounded(tok):
+    mine, _ = tok
+    chunk = mine.bpe.chunk
+    for text in ("the " * 200_000, "the" * 300_000):
+        assert max(len(ids) for ids in mine.stream(text)) <= bpe.BLOCK * 2
+    assert mine.bpe.chunk == chunk and "".join(bpe.blocks("a b  c" * 9000)) == "a b  c" * 9000
+
+
 def test_lookahead_bounds_the_stream(tok):
     mine, _ = tok
     rng = random.Random(9)
