@@ -22,6 +22,8 @@ SLICE = 1 << 20
 KEY = b"sievelight words"
 SEP = np.zeros(256, bool)
 SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PUNCT = np.zeros(256, bool)
+PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.default_rng(20240229)
@@ -87,8 +89,8 @@ def word_digests(solid: np.ndarray, lengths: np.ndarray, key: bytes = KEY) -> np
     return np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
 
 
-def words(column: pa.Array, lower: bool = False, key: bytes = KEY) -> Iterator[Words]:
-    """Words with both hashes, in slices of whole rows of about ``SLICE`` bytes."""
+def words(column: pa.Array, lower: bool = False, key: bytes = KEY, trim: bool = False) -> Iterator[Words]:
+    """Words with both hashes, in slices of whole rows of about ``SLICE`` bytes; with ``trim`` without ASCII punctuation at their ends."""
     if not len(column):
         return
     data, offsets = text_buffers(column)
@@ -112,6 +114,18 @@ def words(column: pa.Array, lower: bool = False, key: bytes = KEY) -> Iterator[W
             after |= edge[1:]
         start = np.flatnonzero(solid & before)
         end = np.flatnonzero(solid & after) + 1
+        if trim and len(start):
+            inner = ~PUNCT[part]
+            at = np.arange(len(part))
+            first = np.minimum.accumulate(np.where(inner, at, len(part))[::-1])[::-1]
+            last = np.maximum.accumulate(np.where(inner, at, -1))
+            start, end = first[start], last[end - 1] + 1
+            some = start < end
+            start, end = start[some], end[some]
+            edges = np.zeros(len(part) + 1, np.int8)
+            edges[start] += 1
+            edges[end] -= 1
+            solid = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
         h = word_digests(part[solid], end - start, key)
         yield Words(r, part, bounds, start, end, np.searchsorted(start, bounds), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
         r = to

@@ -384,7 +384,17 @@ def test_license_scan_of_whole_texts(frame):
     assert [(f.place, f.id) for f in rows[4].found] == [(0, "gpl2.free"), (4, "gpl.warranty.whole")]
 
 
-def test_decontamination(frame):
+def test_item_words():
+    texts = ["Hello, (WORLD)! a--b ... 'x' !?", "É,", None, "...", "a .b", "x, y"]
+    got = []
+    for w in decontaminate.item_words(pa.array(texts)):
+        got += [w.text(w.first[r], w.first[r + 1]) for r in range(w.rows)]
+        same = textkit.word_digests(np.frombuffer(b"worldx", np.uint8), np.array([5, 1]))
+        assert w.hash[1] == same[0, 0] and w.hash[-2] == same[1, 0]
+    assert got == [["hello", "world", "a--b", "x"], ["é"], [], [], ["a", "b"], ["x", "y"]]
+
+
+def test_decontamination(frame, monkeypatch):
     rng, texts = corpus(11, 25, 60, 200, 900)
     items = [" ".join(rng.choice(texts).split(" ")[5 : 5 + n]) for n in (40, 25, 60)] + ["three short words", "solo", ""]
     extra = [f"{texts[3]} {items[0].upper()}, {texts[4]}", items[1].replace(" ", " \n"), "has three short, words inside", "alone", *ODD]
@@ -394,7 +404,7 @@ def test_decontamination(frame):
     frame_items = frame(list(enumerate(items))).selectExpr("doc_id as item_id", "text")
 
     def norm(t):
-        return WORD.findall(re.sub(r"(?<![^\s])[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+(?![^\s])", " ", (t or "").lower()))
+        return WORD.findall(re.sub(r"(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+(?![^\x20\x09-\x0D])", " ", (t or "").lower()))
 
     def bag(x):
         return Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) if x else Counter()
@@ -412,26 +422,40 @@ def test_decontamination(frame):
     assert got == want and len(want) >= 6
     kept = {r.doc_id for r in decontaminate.without_benchmark(frame(docs), frame_items).collect()}
     assert kept == set(range(len(docs))) - {d for d, _ in want}
+    monkeypatch.setattr(decontaminate, "ITEM_SIZES", 2)  # several passes give the same
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.contaminated(frame(docs), frame_items).collect()} == want
+    assert {r.doc_id for r in decontaminate.without_benchmark(frame(docs), frame_items).collect()} == kept
+    odd = frame([(None, items[0]), (None, "clean"), (1, items[0]), (1, "clean")])
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate.without_benchmark(odd, frame_items).collect()) == [("1", "clean"), ("None", "clean")]
     assert decontaminate.contaminated(frame(docs), frame([]).selectExpr("doc_id as item_id", "text")).count() == 0
 
 
-def test_simhashes_by_stretches(monkeypatch):
-    monkeypatch.setattr(decontaminate, "STRETCH", 40)
-    h = np.random.default_rng(3).integers(0, 2**63, 300, dtype=np.uint64)
-    for size in (1, 7, 39, 40, 90):
-        s = np.array([0, 1, 5, 6, 50, 120, 121, 200, 209], np.int64)
-        found = decontaminate.simhashes(h, s, np.minimum(s + size, len(h)))
-        assert found.tolist() == [decontaminate.simhash(h[a : min(a + size, len(h))]) for a in s.tolist()]
+def test_simhashes_of_all_windows(monkeypatch):
+    h = np.random.default_rng(3).integers(0, 2**63, 700, dtype=np.uint64)
+    for size in (1, 7, 40, 255, 256, 600):
+        assert decontaminate.Votes(h).prints(size).tolist() == [decontaminate.simhash(h[a : a + size]) for a in range(len(h) - size + 1)]
+    _, texts = corpus(5, 3, 300, 400, 900)
+    index = decontaminate.build([1, 2], [" ".join(texts[0].split()[50:75]), " ".join(texts[1].split()[290:299])])
+    found = []
+    for stretch in (1 << 14, 40):  # whatever the stretches are
+        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+        found.append([decontaminate.verified(index, w) for w in decontaminate.item_words(pa.array(texts))])
+    assert found[0] == found[1] == [{(0, 0): (1.0, 50), (1, 1): (1.0, 290)}]
 
 
 def test_hamming_index_returns_all_within_radius():
     rng = random.Random(1)
     index = decontaminate.build(list(range(40)), [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(40)])
+    sized = index.sized[30]
+    prints = []
     for _ in range(300):
-        p = int(index.prints[rng.randrange(40)])
+        p = int(sized.prints[rng.randrange(40)])
         for b in rng.sample(range(64), rng.randrange(20)):
             p ^= 1 << b
-        assert index.within(p) == [i for i in range(40) if (int(index.prints[i]) ^ p).bit_count() <= decontaminate.RADIUS]
+        prints.append(p)
+    at, item = sized.within(np.array(prints, np.uint64))
+    want = [(k, i) for k, p in enumerate(prints) for i in range(40) if (int(sized.prints[i]) ^ p).bit_count() <= decontaminate.RADIUS]
+    assert sorted(zip(at.tolist(), item.tolist(), strict=True)) == want and len(want) > 150
 
 
 def labelled(seed, n):
