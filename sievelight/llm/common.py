@@ -91,20 +91,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-#: A key with over a HOTth of a table's rows is hot; a table can have HOT of them at most.
-HOT = 4096
+#: A key with over a HOTth of a table's rows, and at least LEAST_HOT of them, is hot; a table can have HOT of them at most.
+HOT, LEAST_HOT = 4096, 128
 
 
 def spread_join(left: DataFrame, keyed: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
-    """``left`` joined with ``keyed``, which has each key once and in ``count`` how many of the ``rows`` rows of ``left`` have it.
+    """``left`` joined with ``keyed``, which has each integer key once and in ``count`` how many of the ``rows`` rows of ``left`` have it.
 
     The rows of hot keys are joined where they are, with the at most ``HOT`` hot rows of ``keyed`` broadcast; only rows of other
-    keys are shuffled, so no task gets more than its share. ``keyed`` is read three times: give a saved table.
+    keys are shuffled, so no task gets more than its share. Give saved tables: both are read again.
     """
-    is_hot = F.col(count) * HOT >= rows
-    hot, cold = keyed.where(is_hot).drop(count), keyed.where(~is_hot).drop(count)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    hot = [r[0] for r in keyed.where((F.col(count) * HOT >= rows) & (F.col(count) >= LEAST_HOT)).select(key).collect()]  # HOT at most
+    keyed = keyed.drop(count)
+    if not hot:
+        return left.join(keyed, key)
+    is_hot = F.expr(f"{key} IN ({', '.join(f'{k}L' for k in hot)})")
+    return left.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(left.where(~is_hot).join(keyed.where(~is_hot), key))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -39,45 +39,28 @@ HASHES = BANDS * ROWS
 #: Over four standard errors of the corrected estimate at a similarity of 0.8.
 MARGIN = 0.15
 #: Members, and their shingles, that one task confirms or compares at a time.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 _rng = np.random.default_rng(9)
 MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 STEP = 1 << 16
 
 
-def keyed_sets(column: pa.Array, k: int = SHINGLE, key: bytes = KEY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sorted distinct shingle hashes of each row and the second hash of each: k-word shingles, or with fewer words the
-    whole sequence as one."""
+def shingle_sets(column: pa.Array, k: int = SHINGLE, key: bytes = KEY, both: bool = False) -> Iterator:
+    """The sorted distinct shingle hashes of each row: k-word shingles, or with fewer words the whole sequence as one. With
+    ``both`` each row also gives those of the words' second hashes."""
     for w in words(column, lower=True, key=key):
-        one, two = Grams(w.hash), Grams(w.other)
         starts, per = gram_starts(w.first, k)
         n = np.diff(w.first)
         short = np.flatnonzero((per == 0) & (n > 0))
-        whole = dict(zip(short.tolist(), zip(one.of(w.first[short], n[short]), two.of(w.first[short], n[short]), strict=True), strict=True))
-        full, other = one.of(starts, k), two.of(starts, k)
         at = np.concatenate([[0], np.cumsum(per)])
+        hashes = []
+        for h in (w.hash, w.other) if both else (w.hash,):
+            grams = Grams(h)
+            hashes.append((grams.of(starts, k), dict(zip(short.tolist(), grams.of(w.first[short], n[short]), strict=True))))
         for r in range(w.rows):
-            if per[r]:
-                s, first = np.unique(full[at[r] : at[r + 1]], return_index=True)
-                yield s, other[at[r] : at[r + 1]][first]
-            else:
-                pair = [whole[r]] if r in whole else []
-                yield np.array([p[0] for p in pair], np.uint64), np.array([p[1] for p in pair], np.uint64)
-
-
-def shingle_sets(column: pa.Array, k: int = SHINGLE, key: bytes = KEY) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    for w in words(column, lower=True, key=key):
-        grams = Grams(w.hash)
-        starts, per = gram_starts(w.first, k)
-        n = np.diff(w.first)
-        short = np.flatnonzero((per == 0) & (n > 0))
-        whole = dict(zip(short.tolist(), grams.of(w.first[short], n[short]), strict=True))
-        full = grams.of(starts, k)
-        at = np.concatenate([[0], np.cumsum(per)])
-        for r in range(w.rows):
-            yield np.unique(full[at[r] : at[r + 1]]) if per[r] else np.array([whole[r]] if r in whole else [], np.uint64)
+            sets = [np.unique(full[at[r] : at[r + 1]]) if per[r] else np.array([whole[r]] if r in whole else [], np.uint64) for full, whole in hashes]
+            yield tuple(sets) if both else sets[0]
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -117,7 +100,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same_s
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, sets = b.column(0), list(keyed_sets(b.column(1)))
+        ids, sets = b.column(0), list(shingle_sets(b.column(1), both=True))
         sizes = np.array([len(s) for s, _ in sets], np.int64)
         some = np.flatnonzero(sizes)
         keys: list = [None] * len(sets)
