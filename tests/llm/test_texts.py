@@ -305,14 +305,47 @@ def test_token_counts_equal_word_piece(frame):
     assert rows[0] == rows[1] == (0, 0, 0) and rows[2][0] == 2 and rows[3] == (1, 1, 1)
 
 
+GRANT = next(s for s, i in license_scan.SENTENCES.items() if i == "mit.grant")
+NOTE = next(s for s, i in license_scan.SENTENCES.items() if i == "mit.notice")
+
+
 def test_license_scan(frame):
-    texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0. Released  under the MIT license!", license_scan.SENTENCES["mit.grant"] + ".\nA.\nB.\n" + license_scan.SENTENCES["mit.notice"], license_scan.SENTENCES["mit.grant"] + "\na" * 5 + "\n" + license_scan.SENTENCES["mit.notice"], license_scan.SENTENCES["mit.notice"] + "\n" + license_scan.SENTENCES["mit.grant"], *ODD[:4]]
-    rows = {r.doc_id: (r.licenses, [f.id for f in r.found]) for r in license_scan.recognise(frame(texts)).collect()}
-    assert [rows[i][0] for i in range(9)] == [["MIT"], ["Apache-2.0", "MIT"], ["MIT"], [], [], [], [], [], []]
-    assert rows[4][1] == ["mit.notice", "mit.grant"]
+    texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0. Released  under the MIT license!", GRANT + "\nA.\nB.\n" + NOTE, GRANT + "\na" * 5 + "\n" + NOTE, NOTE + "\n" + GRANT, *ODD[:4]]
+    docs = frame(texts).selectExpr("*", "1 as _lines", "2 as found", "3 as _hits")
+    rows = {r.doc_id: r for r in license_scan.recognise(docs).collect()}
+    assert [rows[i].licenses for i in range(9)] == [["MIT"], ["Apache-2.0", "MIT"], ["MIT"], [], [], [], [], [], []]
+    assert [f.id for f in rows[4].found] == ["mit.notice", "mit.grant"] and rows[4]["_lines"] == 1 and rows[4]["_hits"] == 3
     assert license_scan.recognise(frame([])).count() == 0
 
 
+def test_license_sentences():
+    known, rules = license_scan.known_sentences(), license_scan.all_rules()
+    assert len(known) > 2000 and len({n for n, _ in rules}) > 90
+    assert all(any(m in s for m in license_scan.MARKS) and len(s) >= license_scan.LEAST for s in known)
+    assert {i for _, ids in rules for i in ids} <= set(known.values())
+    for i in license_scan.names():
+        assert known[license_scan.normalise(f"SPDX-License-Identifier: {i}")] == f"notice.{i}"
+
+
+def test_license_notices_by_name(frame):
+    said = {
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This work is licensed under a thing of our own.": "",
+        "Made available under the terms of the Eclipse Public License v2.0": "EPL-2.0",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This library is distributed under the GNU Lesser General Public License, version 2.1 or later.": "LGPL-2.1",
+        "License: Apache-2.0": "Apache-2.0",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1",
+        "You are licensed under no law.": "",
+        "Released under GPLv3.": "GPL-3.0",
+    }
+    got = {r.doc_id: ",".join(r.licenses) for r in license_scan.recognise(frame(list(said))).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2024 A. Person
@@ -371,17 +404,55 @@ GPL3_TEXT = """    This program is free software: you can redistribute it and/or
     GNU General Public License for more details.
 """
 GPL2_TEXT = GPL3_TEXT.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL_TEXT = GPL2_TEXT.replace("This program", "Foo").replace("version 2 of", "version 2.1 of").replace("GNU General", "GNU Lesser General")
+AGPL_TEXT = GPL3_TEXT.replace("GNU General", "GNU Affero General")
+BSD2_TEXT = BSD_TEXT[: BSD_TEXT.index("3. Neither")] + "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS.\n"
+BSD4_TEXT = BSD_TEXT.replace("3. Neither the name of the copyright holder", """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement: This product includes
+   software developed by the Example.
+
+4. Neither the name of the Example""")
+ISC_TEXT = """Copyright (c) 2024 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+MPL_TEXT = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int x;
+"""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.
+"""
 
 
 def test_license_scan_of_whole_texts(frame):
-    whole = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL3_TEXT, GPL2_TEXT]
-    texts = [*whole, *(t.replace("\n", "\r\n") for t in whole), *(" ".join(t.split()) for t in (GPL3_TEXT, GPL2_TEXT)), MIT_TEXT.replace("copies or substantial", "copies or large")]
+    whole = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL3_TEXT, GPL2_TEXT, LGPL_TEXT, AGPL_TEXT, BSD2_TEXT, BSD4_TEXT, ISC_TEXT, MPL_TEXT, ZLIB_TEXT, UNLICENSE_TEXT]
+    want = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "BSD-4-Clause", "ISC", "MPL-2.0", "Zlib", "Unlicense"]
+    commented = ["".join(f"# {line}\n" for line in t.splitlines()) for t in whole]
+    texts = [*whole, *commented, *(t.replace("\n", "\r\n") for t in whole), BSD_TEXT + "\n" + BSD2_TEXT, MIT_TEXT.replace("copies or substantial", "copies or large"), *(" ".join(t.split()) for t in (GPL3_TEXT, GPL2_TEXT))]
     rows = {r.doc_id: r for r in license_scan.recognise(frame(texts)).collect()}
-    want = [["MIT"], ["BSD-2-Clause", "BSD-3-Clause"], ["Apache-2.0"], ["GPL-3.0"], ["GPL-2.0"]]
-    assert [rows[i].licenses for i in range(13)] == [*want, *want, *want[3:], []]
+    assert [rows[i].licenses for i in range(3 * len(whole))] == [[w] for w in want] * 3
+    assert [rows[i].licenses for i in range(3 * len(whole), len(texts))] == [["BSD-2-Clause", "BSD-3-Clause"], [], ["GPL-3.0"], ["GPL-2.0"]]
     once = license_scan.recognise(frame(["a. |\nReleased under the MIT License."])).first()
-    assert [f.id for f in once.found] == ["mit.released"]  # a line of marks before it isn't a line of the sentence
-    assert [(f.place, f.id) for f in rows[4].found] == [(0, "gpl2.free"), (4, "gpl.warranty.whole")]
+    assert [f.id for f in once.found] == ["notice.MIT"]  # a line of marks before it isn't a line of the sentence
+    assert [(f.place, f.id) for f in rows[4].found] == [(0, "free.GPL-2.0"), (4, "gnu.warranty")]
 
 
 def test_item_words():
