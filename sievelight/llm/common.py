@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import os
+import re
 import shutil
 import tempfile
 import time
@@ -24,11 +25,14 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs on this machine alone, as in tests, a temporary folder is made and set; on a
+    cluster that is an error, since executors wouldn't see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="sievelight-")
         spark.sparkContext.setCheckpointDir(root)
@@ -96,7 +100,7 @@ HOT, LEAST_HOT = 4096, 128
 
 
 def spread_join(left: DataFrame, keyed: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
-    """``left`` joined with ``keyed``, which has each integer key once and in ``count`` how many of the ``rows`` rows of ``left`` have it.
+    """``left`` joined with ``keyed``, which has each key (an integer, or letters and digits) once and in ``count`` how many of the ``rows`` rows of ``left`` have it.
 
     The rows of hot keys are joined where they are, with the at most ``HOT`` hot rows of ``keyed`` broadcast; only rows of other
     keys are shuffled, so no task gets more than its share. Give saved tables: both are read again.
@@ -105,7 +109,7 @@ def spread_join(left: DataFrame, keyed: DataFrame, key: str, rows: int, count: s
     keyed = keyed.drop(count)
     if not hot:
         return left.join(keyed, key)
-    is_hot = F.expr(f"{key} IN ({', '.join(f'{k}L' for k in hot)})")
+    is_hot = F.expr(f"{key} IN ({', '.join(f'{k}L' if isinstance(k, int) else repr(k) for k in hot)})")
     return left.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(left.where(~is_hot).join(keyed.where(~is_hot), key))
 
 
@@ -117,13 +121,11 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def range_block(df: DataFrame, key: str, n: int) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds ``block`` to a table: about ``2 * n`` ranges of an integer key, later rows in later blocks.
+def cut_blocks(cuts: list[float], key: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``block`` to a table: the number of ``cuts``, which ascend, that aren't over the integer ``key``.
 
-    The cuts are approximate quantiles of ``df``; only they, a number per block, come to the driver, and rows find their block
-    by binary search. Equal keys are in one block.
+    Rows find their block by binary search; equal keys are in one block.
     """
-    cuts = sorted({float(int(c)) for c in df.approxQuantile(key, [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)})
     if not cuts:
         return lambda rows: rows.withColumn("block", F.lit(0))
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_block")
@@ -132,3 +134,24 @@ def range_block(df: DataFrame, key: str, n: int) -> Callable[[DataFrame], DataFr
         return cutter.transform(rows.withColumn("_key", F.col(key).cast("double"))).withColumn("block", F.col("_block").cast("int")).drop("_key", "_block")
 
     return place
+
+
+def even_cuts(rows: DataFrame, key: str, size: str, each: int, most: int = 50_000, per: int = 16) -> list[float]:
+    """Keys that cut ``rows`` into ranges of about ``each`` of the column ``size`` together, at most ``most`` ranges.
+
+    They follow from the rows alone, whatever the partitions: about ``per`` keys a range, chosen by their hashes, come to
+    the driver, and the cuts stand where their sizes add up.
+    """
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(size)).first()
+    ranges = min(most, math.ceil((total or 0) / each))
+    if ranges < 2:
+        return []
+    share = min(1 << 20, math.ceil((1 << 20) * per * ranges / n))
+    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).groupBy(key).agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n")).orderBy(key).collect()
+    weight = sum(r["s"] + r["n"] for r in sample)
+    cuts, at = [], 0
+    for r in sample:
+        if at >= weight * (len(cuts) + 1) / ranges:
+            cuts.append(float(r[key]))
+        at += r["s"] + r["n"]
+    return sorted(set(cuts))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches, partitions, range_block
+from sievelight.llm.common import bounded_batches, cut_blocks, even_cuts
 
 BUCKETS = 512
 #: Byte offsets of the triplets that start at a byte.
@@ -28,6 +28,8 @@ LENGTH_STEP, LENGTH_MOST = 1.1, 40
 COST = np.array([0, 1, 2, 6])
 #: A piece of counting work in bytes.
 PIECE = 1 << 18
+#: Bytes of texts in a block of consecutive documents, which one task reads.
+BLOCK_BYTES = 32 << 20
 
 
 def counts(data: bytes) -> np.ndarray:
@@ -109,15 +111,15 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per row: its fingerprint, that of its edited text and both likenesses, by the contract of the query.
 
-    Rows are dealt into blocks of consecutive ids by one exchange, and each block also gets the first row of the block after
-    it, so that every row meets its successor. Null texts are empty; null ids are left out; rows that repeat an id follow each
+    Rows are dealt into blocks of consecutive ids, of about ``BLOCK_BYTES``, by one exchange, and each block also gets the first
+    row of the block after it, so that every row meets its successor. Null texts are empty; null ids are left out; rows that repeat an id follow each
     other in the order of their texts' hashes. A single row is its own successor. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    placed = range_block(rows, "doc_id", n)(rows)
+    cuts = even_cuts(rows.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id", "size", BLOCK_BYTES)
+    placed = cut_blocks(cuts, "doc_id")(rows)
     tie = F.xxhash64("text")
     heads = placed.select("block", "doc_id", tie.alias("tie")).groupBy("block").agg(F.min(F.struct("doc_id", "tie")).alias("head")).orderBy("block").collect()
     if not heads:
@@ -127,7 +129,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     guards = F.broadcast(spark.createDataFrame(back, "doc_id long, tie long, block int"))
     first = placed.select("doc_id", "text", tie.alias("tie")).join(guards, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
     both = placed.select("block", "doc_id", "text", F.lit(False).alias("guard")).unionByName(first.select("block", "doc_id", "text", F.lit(True).alias("guard")))
-    dealt = both.withColumn("tie", F.xxhash64("text")).repartition(n, "block").sortWithinPartitions("block", "guard", "doc_id", "tie")
+    dealt = both.withColumn("tie", F.xxhash64("text")).repartitionById(len(cuts) + 1, "block").sortWithinPartitions("block", "guard", "doc_id", "tie")
     return dealt.select("block", "doc_id", "text", "guard").mapInArrow(_run, OUT)
 
 

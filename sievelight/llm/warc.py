@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt into ranges of page ids and sorted in them; each range is written by one task, record by record as gzip members,
-and a new file starts where the next record would pass ``ROLL_BYTES`` of compressed size. Headers, record ids and digests are made
-anew from the rows, so the same rows give the same files, byte for byte. A task writes under temporary names of its own;
-the driver renames the files of the tasks that succeeded, writes the manifest last, and clears the temporary names, so a task
-that runs again, or twice, leaves nothing behind. Readers go by the manifest.
+Records are dealt into ranges of page ids of about ``RANGE_BYTES`` of payload, whose cuts follow from the rows alone, and sorted in
+them; each range is written by one task, record by record as gzip members, and a new file starts where the next record would pass
+``ROLL_BYTES`` of compressed size. Headers, record ids and digests are made anew from the rows, so the same rows give the same files,
+byte for byte, however they are partitioned. A task writes each file under a temporary name of its own and renames it when it's
+whole; a task that runs again, or twice, renames an equal file over it. The manifest is written last, by the same steps, and the
+temporary names are cleared. Readers go by the manifest.
 
 Of rows with equal payloads the one with the smallest page id is the response, the others are revisits without the payload.
 """
@@ -24,9 +25,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches, drop, partitions, range_block, save, shared_dir
+from sievelight.llm.common import bounded_batches, cut_blocks, drop, even_cuts, save, shared_dir, spread_join
 
 ROLL_BYTES = 256 << 20
+RANGE_BYTES = 64 << 20
 REVISIT_LEAST = 0  # payloads of fewer bytes are always responses
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,8 +65,19 @@ def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: i
     return made.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + made.flush()
 
 
+def rename(filesystem: fs.FileSystem, old: str, new: str) -> None:
+    """Also over an existing file, where the file system doesn't do that by itself."""
+    try:
+        filesystem.move(old, new)
+    except OSError:
+        if filesystem.get_file_info(new).type != fs.FileType.File:
+            raise
+        filesystem.delete_file(new)
+        filesystem.move(old, new)
+
+
 class RollingFiles:
-    """Files of a range, written under temporary names; ``done`` has (name, temporary name, records, bytes, sha256)."""
+    """Files of a range, renamed from temporary names when they are whole; ``done`` has (name, records, bytes, sha256)."""
 
     def __init__(self, root: str, block: int, most: int):
         self.fs, self.dir = fs.FileSystem.from_uri(root)
@@ -85,11 +98,12 @@ class RollingFiles:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.done.append((self.name, self.temporary, self.records, self.size, self.hash.hexdigest()))
+            rename(self.fs, posixpath.join(self.dir, self.temporary), posixpath.join(self.dir, self.name))
+            self.done.append((self.name, self.records, self.size, self.hash.hexdigest()))
             self.out = None
 
 
-FILES = pa.schema([("name", pa.string()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+FILES = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
 def _write(root: str, most: int):
@@ -139,32 +153,31 @@ def write(pages: DataFrame, root: str, roll: int = ROLL_BYTES) -> str:
 
     Null html is the empty payload, a null url is about:blank, rows with a null page_id are left out. An empty table gives a
     manifest without files. Of rows that repeat id and payload one is the response. Writing again to the same root replaces
-    equal files by equal files.
+    equal files by equal files. Of rows with one page id and payload but unlike urls the first by the hash of the row is the response.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
     slim, slim_path = save(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, size long"), "payloads")
-    first = slim.where(f"size >= {REVISIT_LEAST}").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    revisits = slim.join(first.select("digest", "refers_to"), "digest").where("refers_to < page_id").select("page_id", "digest", "refers_to").distinct()
+    some = slim.where(f"size >= {REVISIT_LEAST}")
+    first = some.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("refers_to < last").drop("last")
+    first, first_path = save(first, "first")
+    revisits = spread_join(some.select("digest", "page_id"), first, "digest", some.count()).where("refers_to < page_id").select("page_id", "digest", "refers_to").distinct()
     both = (
         revisits.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
         .unionByName(rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")))
     )
-    dealt = range_block(rows, "page_id", n)(both).repartition(n, "block").sortWithinPartitions("block", "page_id", "kind", F.xxhash64("url", "html"))
+    cuts = even_cuts(slim, "page_id", "size", RANGE_BYTES)
+    dealt = cut_blocks(cuts, "page_id")(both).repartitionById(len(cuts) + 1, "block").sortWithinPartitions("block", "page_id", "kind", F.xxhash64("url", "html"))
     filesystem, base = fs.FileSystem.from_uri(root)
     filesystem.create_dir(posixpath.join(base, "_temporary"), recursive=True)
-    made = dealt.mapInArrow(_write(root, roll), "name string, temporary string, records long, bytes long, sha256 string").collect()  # a row per file
-    for f in made:
-        filesystem.move(posixpath.join(base, f["temporary"]), posixpath.join(base, f["name"]))
+    made = dealt.mapInArrow(_write(root, roll), "name string, records long, bytes long, sha256 string").collect()  # a row per file
     listed = [{k: f[k] for k in ("name", "records", "bytes", "sha256")} for f in sorted(made, key=lambda f: f["name"])]
     with filesystem.open_output_stream(posixpath.join(base, "_temporary/manifest.json"), compression=None) as out:
         out.write(json.dumps({"files": listed}, indent=1).encode())
-    manifest = posixpath.join(base, "manifest.json")
-    filesystem.move(posixpath.join(base, "_temporary/manifest.json"), manifest)
+    rename(filesystem, posixpath.join(base, "_temporary/manifest.json"), posixpath.join(base, "manifest.json"))
     filesystem.delete_dir(posixpath.join(base, "_temporary"))
-    drop(spark, slim_path)
+    drop(spark, slim_path, first_path)
     return posixpath.join(root, "manifest.json")
 
 
@@ -228,7 +241,7 @@ def read(spark, root: str) -> DataFrame:
         names = [x["name"] for x in json.loads(f.read())["files"]]
     if not names:
         return spark.createDataFrame([], READ)
-    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names))
+    files = spark.createDataFrame(list(enumerate(names)), "nth int, name string").repartitionById(len(names), "nth").select("name")
     return files.mapInArrow(_read(root), READ)
 
 
@@ -237,7 +250,9 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     if "://" not in root:
         root = ("file://" if root.startswith("/") else "file:///") + root.removeprefix("file:")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
-    return read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out, _ = save(read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-read")
+    drop(spark, root)  # the query returns what the archives have, not the archives
+    return out
 
 
 #: The rows of ``op8_warc``: each five hex digits of a SHA-1 are four base-32 digits.

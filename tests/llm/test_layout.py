@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import zlib
 from pathlib import Path
 
@@ -27,6 +28,34 @@ def test_matrix_sums_exactly():
     assert abs(mean - 15) < 0.6  # hypergeometric mean
 
 
+def test_hypergeometric_of_any_total():
+    """By numpy below its bound; the way for larger totals has the same law, and holds for totals far above."""
+    rng = np.random.default_rng(5)
+    for good, bad, drawn in ((7, 5, 6), (1, 30, 10), (40, 3, 39), (50, 50, 50)):
+        lo, hi = max(0, drawn - bad), min(good, drawn)
+        want = np.array([math.comb(good, k) * math.comb(bad, drawn - k) for k in range(lo, hi + 1)], float)
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, drawn, most=2) - lo for _ in range(6000)], minlength=hi - lo + 1)
+        expected = 6000 * want / want.sum()
+        some = expected >= 5
+        assert len(got) == len(want) and ((got - expected)[some] ** 2 / expected[some]).sum() < 3 * some.sum() + 12
+    total = 50_000_000_000
+    counts = np.array([total // 8] * 8)
+    for drawn in (0, 1, 1_000_000_000, total // 3, total):
+        got = sharding.deal(rng, counts, drawn)
+        mean, sd = drawn / 8, (drawn / 8 * 7 / 8 * (1 - drawn / total)) ** 0.5
+        assert got.sum() == drawn and (got >= 0).all() and (got <= counts).all() and (abs(got - mean) <= 6 * sd + 1).all()
+    rows = [10**9 + 7, 3, 2 * 10**9]
+    m = sharding.communication_matrix(rows, sharding.shard_sizes(sum(rows), 8), 1)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == sharding.shard_sizes(sum(rows), 8)
+
+
+def test_shuffle_of_clashing_names(spark):
+    df = spark.range(40).selectExpr("id as part", "id as row", "id as `key`", "id as `range`", "id as place", "id as first", "id as n", "id as `_shard`", "id as `a.b`", "7 as shard").repartition(3)
+    rows = sharding.shuffle(df, 4, order=["part"]).collect()
+    assert sorted(r["part"] for r in rows) == list(range(40)) and all(len({r[c] for c in df.columns if c != "shard"}) == 1 for r in rows)
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(10)]
+
+
 def test_shuffle(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
     df = spark.range(0, 1003, 1, 7).selectExpr("id", "cast(null as string) as text", "id as _place", "1 as slot")
@@ -65,7 +94,58 @@ def test_digest():
     assert (fingerprint.counts(big) == c).all()
 
 
-def test_fingerprints(frame):
+def plain_digest(data):
+    """The fingerprint as its definition says, byte by byte, without the operator's code."""
+    counts = [0] * 512
+    raw = list(data) + [0] * ((4 - len(data)) if 0 < len(data) < 4 else 0)
+    for at in range(len(raw) - 3):
+        for salt, (i, j, k) in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3)]):
+            h = (raw[at + i] | raw[at + j] << 8 | raw[at + k] << 16 | salt << 24) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            counts[h * 0x85EBCA77 % 2**32 >> 23] += 1
+    quartiles = [sorted(counts)[n] for n in (127, 255, 383)]
+    code = [sum(c > q for q in quartiles) for c in counts]
+    out = [0 if not data else min(255, 1 + int(math.log(len(data)) / math.log(1.1)))]
+    return bytes(out + [code[n] << 6 | code[n + 1] << 4 | code[n + 2] << 2 | code[n + 3] for n in range(0, 512, 4)]).hex()
+
+
+def plain_difference(one, two):
+    a, b = bytes.fromhex(one), bytes.fromhex(two)
+    total = min(40, abs(a[0] - b[0]))
+    for x, y in zip(a[1:], b[1:], strict=True):
+        for shift in (6, 4, 2, 0):
+            gap = abs((x >> shift & 3) - (y >> shift & 3))
+            total += 6 if gap == 3 else gap
+    return total
+
+
+def test_digest_against_its_definition():
+    rng = np.random.default_rng(8)
+    texts = [b"", b"a", b"abc", b"abcd", "Straße und 日本".encode(), rng.bytes(5000), b"the quick brown fox " * 60, b"z" * 700]
+    prints = [fingerprint.digest(t) for t in texts]
+    assert prints == [plain_digest(t) for t in texts]
+    assert all(fingerprint.difference(a, b) == plain_difference(a, b) for a in prints for b in prints)
+    assert max(fingerprint.difference(a, b) for a in prints for b in prints) <= 6 * fingerprint.BUCKETS + fingerprint.LENGTH_MOST
+
+
+def test_op7_contract(spark):
+    rows = QUERIES["op7_fingerprint"](spark, SF).collect()
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs) == len(got)
+    scale = 512 * (0 * 4 + 1 * 6 + 2 * 4 + 6 * 2) / 16 + 40
+    for n, (i, t) in list(enumerate(docs))[::9]:
+        after = docs[(n + 1) % len(docs)][1]
+        k = len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        r, own, other, following = got[i], *(plain_digest(x.encode()) for x in (t, edited, after))
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, other)
+        assert abs(r.near_edited - max(0.0, 1 - plain_difference(own, other) / scale)) < 1e-9 and abs(r.near_next - max(0.0, 1 - plain_difference(own, following) / scale)) < 1e-9
+
+
+@pytest.mark.parametrize("size", [32 << 20, 40])
+def test_fingerprints(frame, monkeypatch, size):
+    monkeypatch.setattr(fingerprint, "BLOCK_BYTES", size)
     texts = ["first text, about nothing", None, "", "😀" * 9 + "abc", "same", "same", "x" * 5000]
     rows = [(i * 3 - 4, t) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in fingerprint.fingerprints(frame(rows)).collect()}
@@ -103,6 +183,23 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_files_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    rows = [(i * 7, f"http://x/{i}", f"page {i % 40} " * (i % 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held, files = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 6):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            root = f"file://{tmp_path}/{n}"
+            warc.write(df.repartition(n, "html"), root, roll=900)
+            files.append({p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / str(n)).iterdir()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert files[0] == files[1] and len({n.split("-")[1] for n in files[0] if n.startswith("part")}) > 5
+    assert warc.read(spark, root).count() == 400
+
+
 def test_stages_and_registry(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
