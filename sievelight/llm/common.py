@@ -121,6 +121,13 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, or with underscores before it one that isn't taken."""
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def cut_blocks(cuts: list[float], key: str) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``block`` to a table: the number of ``cuts``, which ascend, that aren't over the integer ``key``.
 

@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.common import fresh
+
 #: Licence identifier -> its names. Each name, the identifier and the identifier with "License" may stand in a notice.
 NAMES = {
     "MIT": ["MIT License", "MIT/X11 License", "Expat License", "MIT open source license"],
@@ -255,13 +257,6 @@ MARKS = ["licen", "permission", "permitted", "redistribut", "software", "under",
 HITS = "array<struct<license:string,ids:array<string>,nth:int,over:array<int>,at:array<int>>>"
 
 
-def fresh(name: str, taken: set[str]) -> str:
-    """``name``, or with underscores before it one that isn't taken."""
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, gap: int = GAP) -> DataFrame:
     """``docs`` with ``found`` array<struct<place int, id string>> and ``licenses`` array<string>, sorted and distinct.
 

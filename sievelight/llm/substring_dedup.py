@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.automaton import SuffixAutomaton
-from sievelight.llm.common import bounded_batches, drop, partitions, save
+from sievelight.llm.common import bounded_batches, drop, fresh, partitions, save, spread_join
 from sievelight.llm.textkit import Grams, Words, mix, words
 
 SPAN, GRAM = 50, 16
@@ -196,23 +196,34 @@ def _windows(span: int):
     return run
 
 
-def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> DataFrame:
-    """(anchor, print, nth, owner): the smallest document of each window of distinct segments (anchor, print, doc, last, words)."""
+def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> tuple[DataFrame, list[str]]:
+    """(anchor, print, nth, owner): the smallest document of each window of distinct segments (anchor, print, doc, last, words).
+
+    ``distinct`` must be a saved table. Also returns the paths of tables that the result reads.
+    """
     shards = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    sized = distinct.join(shards.select("anchor", "n"), "anchor").select("anchor", "print", "doc", "last", "words", "n")
-    small = sized.where(f"n <= {SHARD_SEGMENTS}").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "print", "doc", "words")
+    shards, path = save(shards.select("anchor", "n", F.col("n").alias("segments")), "shards")
+    sized = spread_join(distinct, shards, "anchor", distinct.count()).select("anchor", "print", "doc", "last", "words", "segments")
+    small = sized.where(f"segments <= {SHARD_SEGMENTS}").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "print", "doc", "words")
     by_shard = small.mapInArrow(_shards(span), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner")).where("owner is not null")
-    large = sized.where(f"n > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "last", "words")
+    large = sized.where(f"segments > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "last", "words")
     if again:
-        parts = large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary")
+        parts, parts_path = save(large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary"), "parts")
         whole = parts.groupBy("anchor", "print").agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.any_value("words").alias("words"))
-        found = _owners(whole, span, n, again=False)
-        rest = parts.select("parent", "whole", "at", "anchor", "print").join(found, ["anchor", "print"])
-        return by_shard.unionByName(rest.select(F.col("parent").alias("anchor"), F.col("whole").alias("print"), (F.col("at") + F.col("nth")).cast("int").alias("nth"), "owner"))
+        whole, whole_path = save(whole, "whole")
+        found, paths = _owners(whole, span, n, again=False)
+        # a run of windows that very many segments share is one row here; its rows in `parts` stay where they are
+        owned = found.groupBy("anchor", "print").agg(F.collect_list(F.struct("nth", "owner")).alias("found"))
+        key = F.concat(F.hex("anchor"), F.hex("print")).alias("piece")
+        counts = parts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        keyed, keyed_path = save(owned.select(key, "found").join(counts, "piece"), "pieces")
+        rest = spread_join(parts.select("parent", "whole", "at", key), keyed, "piece", parts.count()).select("parent", "whole", "at", F.explode("found").alias("f"))
+        out = by_shard.unionByName(rest.select(F.col("parent").alias("anchor"), F.col("whole").alias("print"), (F.col("at") + F.col("f.nth")).cast("int").alias("nth"), F.col("f.owner").alias("owner")))
+        return out, [path, parts_path, whole_path, keyed_path, *paths]
     windows = large.select("anchor", "print", "doc", "words").mapInArrow(_windows(span), "anchor long, print binary, nth long, doc long, window binary")
     first = windows.groupBy("anchor", "window").agg(F.min("doc").alias("owner"))
     by_window = windows.join(first, ["anchor", "window"]).select("anchor", "print", F.col("nth").cast("int").alias("nth"), "owner")
-    return by_shard.unionByName(by_window)
+    return by_shard.unionByName(by_window), [path]
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -227,15 +238,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     bounded_batches(spark)
     n = partitions(spark)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    places = source.mapInArrow(_places(span, gram), "doc_id long, anchor long, first long")
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted, wanted_path = save(places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("first").alias("firsts")), "places")
+    places, places_path = save(source.mapInArrow(_places(span, gram), "doc_id long, anchor long, first long"), "places")
+    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", "n")
+    shared, shared_path = save(shared, "shared")
+    wanted, wanted_path = save(spread_join(places, shared, "anchor", places.count()).groupBy("doc_id").agg(F.collect_set("first").alias("firsts")), "wanted")
+    drop(spark, places_path, shared_path)
 
     cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(_segments(span, gram), "doc_id long, first long, anchor long, print binary, windows long, words binary")
     segments, segments_path = save(cut, "segments")
     distinct = segments.groupBy("anchor", "print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
     distinct, distinct_path = save(distinct, "distinct")
-    by_place = _owners(distinct, span, n)
+    by_place, paths = _owners(distinct, span, n)
     by_owner = by_place.groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
     # consecutive windows of one owner are one run, so that what follows has a row per run and not per window
     heads = F.expr("filter(nths, (x, i) -> i = 0 or nths[i - 1] <> x - 1)")
@@ -250,7 +263,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     )
     merged = hits.groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
     out, _ = save(merged, "spans")
-    drop(spark, wanted_path, segments_path, distinct_path, owned_path)
+    drop(spark, wanted_path, segments_path, distinct_path, owned_path, *paths)
     return out
 
 
@@ -317,10 +330,14 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows of ``docs`` with repeated spans removed from the text: the columns of ``docs``, n_chars made anew.
+    """The rows of ``docs`` with repeated spans removed from the text: the columns of ``docs``, n_chars made anew if there is one.
 
-    Texts without a repeat stay as they are; the words left of others are joined by one space. No row is dropped.
+    Texts without a repeat stay as they are; the words left of others are joined by one space. No row is dropped. Of rows that
+    repeat an id and are to lose something, all get the words left of the same one. Columns may have any name.
     """
-    kept = remove_repeats(docs, span=span).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    out = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = fresh("kept", docs.columns)
+    left = remove_repeats(docs, span=span).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept").alias(kept))
+    out = docs.join(left, "doc_id", "left").withColumn("text", F.coalesce(kept, "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models
 
-from sievelight.llm import bpe, decontaminate, license_scan, near_dedup, substring_dedup, textkit, token_counts, toxicity
+from sievelight.llm import bpe, common, decontaminate, license_scan, near_dedup, substring_dedup, textkit, token_counts, toxicity
 from sievelight.llm.automaton import SuffixAutomaton
 from sievelight.llm.components import components
 
@@ -198,9 +198,10 @@ def removed(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("shard", [512, 2])
-def test_substring_dedup(frame, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(512, 128), (2, 128), (2, 2)])
+def test_substring_dedup(frame, monkeypatch, shard, hot):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", shard)
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
     rng, texts = corpus(3, 14, 10, 160, 200)
     passage = texts[0].split(" ") + texts[1].split(" ")
     for _ in range(14):  # a passage in ever-changing surroundings
@@ -219,6 +220,9 @@ def test_substring_dedup_keeps_rows(frame):
     out = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs.selectExpr("*", "0L as n_chars")).collect()}
     assert out == {1: text, 2: "x y", 3: None, None: text}
     assert substring_dedup.remove_repeats(frame([])).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "9 as kept", "8 as n_removed", "7 as `a.b`")
+    out = {r.doc_id: (r.text, r.kept, r.n_removed, r["a.b"]) for r in substring_dedup.without_repeats(clash).collect()}
+    assert out[2] == ("x y", 9, 8, 7) and out[3] == (None, 9, 8, 7) and len(out) == 4
 
 
 @pytest.fixture(scope="module")
