@@ -260,7 +260,7 @@ def _confirm_spokes(stars: DataFrame, source: DataFrame, num: int, den: int, key
     spokes = spread_join(stars.select("a", "b"), hubs, "a", stars.count()).select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("doc_id"))
     centres = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"))
     dealt, dealt_path = save(spokes.unionByName(centres), "dealt")
-    met = dealt.join(source, "doc_id").repartition(n, "hub", "block").sortWithinPartitions("hub", "block").select("doc_id", "text", "hub", "block")
+    met = dealt.hint("shuffle_hash").join(source, "doc_id").repartition(n, "hub", "block").sortWithinPartitions("hub", "block").select("doc_id", "text", "hub", "block")
     out, links_path = save(met.mapInArrow(_spokes(num, den, key), "a long, b long"), "links")
     drop(spark, path, dealt_path)
     return out, links_path
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", num
     shown = tiles.join(slim, "doc_id").repartition(n, "band", "one", "two").sortWithinPartitions("band", "one", "two")
     left = shown.select("band", "nth", "one", "two", "side", "doc_id", "component", "n_shingles", "sign", "bands").mapInArrow(_partners(num, den), "band long, one long, two long, side int, doc_id long, component long")
     left, left_path = save(left, "partners")
-    met = left.join(source, "doc_id").repartition(n, "band", "one", "two").sortWithinPartitions("band", "one", "two").select("doc_id", "text", "band", "one", "two", "side", "component")
+    met = left.hint("shuffle_hash").join(source, "doc_id").repartition(n, "band", "one", "two").sortWithinPartitions("band", "one", "two").select("doc_id", "text", "band", "one", "two", "side", "component")
     second, second_path = save(met.mapInArrow(_tiles(num, den, key), "a long, b long"), "links")
 
     found, last_path = save(components(first.unionByName(second), "linked"), "found")
