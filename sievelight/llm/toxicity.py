@@ -1,15 +1,17 @@
 """Toxicity by a subsequence-string-kernel support vector machine with Nystrom landmarks.
 
 Units are the words of a sentence, lower-cased, with everything but letters and digits taken out, so that marks put into an
-insult vanish; runs of single characters are joined, so that spaced-out ones close up. The kernel of two units is the
-gap-weighted subsequence kernel of length ``LENGTH``: common subsequences count with ``DECAY`` to the power of their spans,
-and a span is ``SPAN`` characters at most, so inserted characters only dampen a match. Units are normalised to length one.
+insult vanish; runs of single characters are joined, so that spaced-out ones close up, and two words that look like the parts
+of a known insult at the blank between them are a unit too. A longer unit than ``LONG`` characters is cut into overlapping ones.
+The kernel of two units is the gap-weighted subsequence kernel of length ``LENGTH``: common subsequences count with ``DECAY`` to the
+power of their spans, and a span is ``SPAN`` characters at most, so inserted characters only dampen a match. It's normalised:
+K(x, y) / sqrt(K(x, x) K(y, y)), with subsequences that occur several times in a unit counted together.
 
 The machine is trained on sentences of labelled documents. ``LANDMARKS`` units are the Nystrom landmarks; a sentence is its most
 positive unit, chosen anew in rounds (multiple-instance training), and the linear machine is fitted by sub-gradient descent
 in the landmark space K(x, L) K(L, L)^(-1/2). Because each landmark has finitely many weighted subsequences, the machine is
 folded back into one weight per subsequence, and scoring a text costs the same for any number of landmarks: it's a table look-up
-for each subsequence. A document's largest unit margins go through a logistic function fitted on the same rows.
+for each subsequence. Equal units are scored once, and margins of short ones are remembered. A document's largest unit margins go through a logistic function fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import bounded_batches
 from sievelight.llm.textkit import Grams, U, mix
 
-LENGTH, SPAN, DECAY, LANDMARKS = 4, 6, 0.85, 192
+LENGTH, SPAN, DECAY, LANDMARKS = 4, 8, 0.85, 320
+#: Characters of a unit, without its end marks.
+LONG = 40
+#: Margins of units that are remembered by a task.
+MEMORY = 200_000
 #: Labelled rows used for fitting: an upper bound, and of the text of each the whole.
 FIT_ROWS = 4000
 FIT_CHARS = 6_000_000
@@ -37,6 +43,8 @@ CLASSES = 40
 OPEN, CLOSE = CLASSES - 2, CLASSES - 1  # the marks at the ends of a unit
 TOP = 4
 ROUNDS = 3
+#: Altered copies of each toxic unit in training, and what they count together against the unit itself.
+ALTERED, ALTERED_WEIGHT = 6, 0.1
 #: Position patterns of a subsequence of LENGTH characters within SPAN.
 PATTERNS = [(0, *p, s) for s in range(LENGTH - 1, SPAN) for p in itertools.combinations(range(1, s), LENGTH - 2)]
 PIECE = 1 << 18
@@ -93,14 +101,29 @@ def units(points: np.ndarray, bounds: np.ndarray) -> Units:
     joined = np.concatenate([[False], one[1:] & one[:-1] & (row[first][1:] == row[first][:-1]) & (marks[first][1:] == marks[first][:-1])])
     first = first[~joined]
     size = np.diff(np.append(first, len(cls)))
-    # each unit gets its end marks
-    out = np.empty(len(cls) + 2 * len(first), np.uint8)
-    at = first + 2 * np.arange(len(first))
+    first, size, place = cut_long(first, size)
+    return marked(cls, first, size, row[place], ends[place])
+
+
+def cut_long(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of at most LONG characters: a longer one becomes several that overlap by SPAN - 1, so no subsequence is lost. Also
+    gives where each one's unit began."""
+    step = LONG - SPAN + 1
+    per = np.where(size > LONG, -(-(size - LONG) // step) + 1, 1)
+    nth = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    begin = np.repeat(first, per)
+    return begin + nth * step, np.minimum(np.repeat(size, per) - nth * step, LONG), begin
+
+
+def marked(cls: np.ndarray, first: np.ndarray, size: np.ndarray, row: np.ndarray, sentence: np.ndarray) -> Units:
+    """Units of ``size`` characters from ``first`` on, with their end marks."""
+    at = np.concatenate([[0], np.cumsum(size + 2)])
+    out = np.empty(int(at[-1]), np.uint8)
     inner = np.ones(len(out), bool)
-    inner[at] = inner[at + size + 1] = False
-    out[inner] = cls
-    out[at], out[at + size + 1] = OPEN, CLOSE
-    return Units(out, np.append(at, len(out)), row[first], ends[first])
+    inner[at[:-1]] = inner[at[1:] - 1] = False
+    out[inner] = cls[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
+    out[at[:-1]], out[at[1:] - 1] = OPEN, CLOSE
+    return Units(out, at, row, sentence)
 
 
 def subsequences(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -116,7 +139,40 @@ def subsequences(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield at, code, DECAY ** (pattern[-1] + 1)
 
 
-NORM = np.array([max(1e-9, sum(DECAY ** (2 * (p[-1] + 1)) * max(0, n - p[-1]) for p in PATTERNS)) ** 0.5 for n in range(64)])
+def _plain_norms() -> np.ndarray:
+    """Squared norms of units, by length, in which no character occurs twice within SPAN: no subsequence occurs twice."""
+    return np.array([sum(DECAY ** (2 * (p[-1] + 1)) * max(0, n - p[-1]) for p in PATTERNS) for n in range(LONG + 3)])
+
+
+PLAIN = _plain_norms()
+
+
+def norms(u: Units) -> np.ndarray:
+    """The norm of each unit: the root of its kernel with itself."""
+    out = PLAIN[np.diff(u.first)].copy()
+    owner = np.repeat(np.arange(len(u.row)), np.diff(u.first))
+    twice = np.zeros(len(u.row), bool)
+    for d in range(1, SPAN + LENGTH):
+        same = (u.chars[d:] == u.chars[:-d]) & (owner[d:] == owner[:-d])
+        twice[owner[d:][same]] = True
+    which = np.flatnonzero(twice)
+    for lo in range(0, len(which), 4096):
+        some = which[lo : lo + 4096]
+        row, code, value = _occurrences(take(u, some))
+        key = row * CLASSES**LENGTH + code
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(value[order], begins) if len(key) else np.zeros(0)
+        out[some] = np.bincount(key[begins] // CLASSES**LENGTH, sums**2, len(some))
+    return np.sqrt(np.maximum(out, 1e-18))
+
+
+def _occurrences(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, subsequence, weight) of every occurrence."""
+    owner = np.repeat(np.arange(len(u.row)), np.diff(u.first))
+    parts = [(owner[at], code.astype(np.int64), np.full(len(at), weight)) for at, code, weight in subsequences(u)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def margins(u: Units, table: np.ndarray) -> np.ndarray:
@@ -126,7 +182,36 @@ def margins(u: Units, table: np.ndarray) -> np.ndarray:
     for at, code, weight in subsequences(u):
         acc[at] += table[code] * np.float32(weight)
     np.cumsum(acc, out=sums[1:])
-    return (sums[u.first[1:]] - sums[u.first[:-1]]) / NORM[np.minimum(np.diff(u.first), 63)]
+    return (sums[u.first[1:]] - sums[u.first[:-1]]) / norms(u)
+
+
+def crossing(u: Units, table: np.ndarray) -> np.ndarray:
+    """For each unit but the last of a sentence, what the runs of LENGTH characters over the blank after it weigh with the next one."""
+    a, b = u.first[:-2], u.first[1:-1]
+    out = np.full(len(a), -np.inf)
+    size = np.diff(u.first) - 2
+    some = np.flatnonzero((u.row[1:] == u.row[:-1]) & (u.sentence[1:] == u.sentence[:-1]) & (size[1:] >= 2) & (size[:-1] >= 2) & (size[1:] + size[:-1] <= LONG))
+    c = u.chars.astype(np.int32)
+    total = np.zeros(len(some))
+    for before in range(1, LENGTH):  # that many characters of the first word, the others of the second
+        fits = (size[some] >= before) & (size[some + 1] >= LENGTH - before)
+        at, nxt = b[some] - 1 - before, b[some] + 1
+        code = np.zeros(len(some), np.int64)
+        for k in range(LENGTH):
+            place = at + k if k < before else nxt + k - before
+            code = code * CLASSES + c[np.where(fits, place, 0)]
+        total += np.where(fits, table[code], 0)
+    out[some] = total
+    return out
+
+
+def pairs(u: Units, which: np.ndarray) -> Units:
+    """Units of the words ``which`` and the one after each, without the blank."""
+    inner = np.ones(len(u.chars), bool)
+    inner[u.first[:-1]] = inner[u.first[1:] - 1] = False
+    plain = u.first[:-1] - 2 * np.arange(len(u.row))
+    size = np.diff(u.first) - 2
+    return marked(u.chars[inner], plain[which], size[which] + size[which + 1], u.row[which], u.sentence[which])
 
 
 def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +231,20 @@ def top(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def bounded(m: np.ndarray) -> np.ndarray:
+    """Margins as features of a document: those far from the machine's edge count alike."""
+    return np.tanh(m)
+
+
 @dataclass
 class Model:
     table: np.ndarray
     bias: float
     coef: np.ndarray
+    split: float = np.inf  # what runs over a blank weigh at least in two words that may be one
 
     def document_scores(self, m: np.ndarray) -> np.ndarray:
-        z = np.clip(np.tanh(m), -1, 1) @ self.coef[:-1] + self.coef[-1]
+        z = bounded(m) @ self.coef[:-1] + self.coef[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -178,17 +269,12 @@ def join(parts: list[Units]) -> Units:
 
 def sparse(u: Units, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, subsequence, value) of units' vectors of length one, of the subsequences in the sorted vocabulary if given."""
-    owner = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))
-    norm = NORM[np.minimum(np.diff(u.first), len(NORM) - 1)]
-    rows, codes, values = [], [], []
-    for at, code, w in subsequences(u):
-        if vocabulary is not None:
-            ok = vocabulary[np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)] == code
-            at, code = at[ok], code[ok]
-        rows.append(owner[at])
-        codes.append(code)
-        values.append(w / norm[owner[at]])
-    return np.concatenate(rows), np.concatenate(codes), np.concatenate(values)
+    row, code, value = _occurrences(u)
+    value = value / norms(u)[row]
+    if vocabulary is not None:
+        ok = vocabulary[np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)] == code
+        row, code, value = row[ok], code[ok], value[ok]
+    return row, code, value
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -235,6 +321,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 50)
     return w
 
 
+def altered(u: Units, rng: np.random.Generator) -> Units:
+    """ALTERED copies of each unit, with one, two or three letters put in between its characters."""
+    size = np.diff(u.first) - 2
+    inner = [u.chars[a + 1 : a + 1 + n] for a, n in zip(u.first[:-1].tolist(), size.tolist(), strict=True)]
+    out = []
+    for k in range(ALTERED):
+        for c in inner:
+            places = rng.integers(1, max(2, len(c)), 1 + k % 3)
+            doubled = rng.random(len(places)) < 0.3
+            letters = np.where(doubled, c[places - 1], rng.integers(1, 27, len(places)))
+            out.append(np.insert(c, np.minimum(places, len(c)), letters.astype(np.uint8))[:LONG])
+    sizes = np.array([len(c) for c in out], np.int64)
+    first = np.cumsum(sizes) - sizes
+    none = np.zeros(len(out), np.int64)
+    return marked(np.concatenate(out) if out else np.zeros(0, np.uint8), first, sizes, none, none)
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Fits the machine on labelled texts. With only one class present, every score is that class's share."""
     table = np.zeros(CLASSES**LENGTH, np.float32)
@@ -285,12 +388,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     ok = values > 1e-6
     onto = land.T @ (basis[:, ok] / np.sqrt(values[ok]))  # from subsequences to landmark coordinates
 
-    def embed(which: np.ndarray) -> np.ndarray:
+    def embed(u: Units, which: np.ndarray) -> np.ndarray:
         out = np.zeros((len(which), onto.shape[1] + 1), np.float32)
         out[:, -1] = 1
-        for lo in range(0, len(which), 4000):
-            row, code, value = sparse(take(kinds, which[lo : lo + 4000]), vocabulary)
-            np.add.at(out[lo : lo + 4000, :-1], row, (onto[np.searchsorted(vocabulary, code)] * value[:, None]).astype(np.float32))
+        for lo in range(0, len(which), 256):  # bounds the rows of `onto` that are held
+            row, code, value = sparse(take(u, which[lo : lo + 256]), vocabulary)
+            order = np.argsort(row, kind="stable")
+            row = row[order]
+            begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+            if len(row):
+                parts = onto[np.searchsorted(vocabulary, code[order])] * value[order][:, None]
+                out[lo + row[begins], :-1] = np.add.reduceat(parts, begins, axis=0)
         return out
 
     w = np.zeros(onto.shape[1] + 1)
@@ -302,30 +410,94 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         pick = unit[hit[np.searchsorted(hit, begins)]]
         most = np.full(len(texts), -np.inf)
         np.maximum.at(most, of, best)
-        positive = toxic & ((best >= most[of]) | (best > 0) & (turn > 0))
+        # before the first fit, also those as telling as the best of an average toxic document
+        least = 0.0 if turn else max(0.0, float(np.quantile(most[y > 0], 0.25)))
+        positive = toxic & ((best >= most[of]) | (best > least))
         use = positive | ~toxic
         names, inverse = np.unique(pick[use], return_inverse=True)
         pos = np.bincount(inverse, positive[use], len(names))
         neg = np.bincount(inverse, ~positive[use], len(names))
-        x = embed(names)
+        x = embed(kinds, names)
         scale = (neg.sum() / max(1.0, pos.sum())) ** 0.5
-        w = _hinge(x, pos * scale, neg, 1e-5)
+        # what is toxic stays so with characters put in: altered copies of the toxic units count like the units themselves
+        told = np.flatnonzero(pos * scale > neg)
+        extra = altered(take(kinds, names[told]), rng)
+        x = np.concatenate([x, embed(extra, np.arange(len(extra.row)))])
+        share = np.tile(pos[told] * ALTERED_WEIGHT / ALTERED, ALTERED)
+        w = _hinge(x, np.concatenate([pos, share]) * scale, np.concatenate([neg, 0 * share]), 1e-5)
         table[vocabulary] = onto @ w[:-1]
         strong = margins(kinds, table) + w[-1]
     model = Model(table, float(w[-1]), np.zeros(TOP + 1))
-    model.coef = _logistic(np.tanh(top(strong[unit], u.row, len(texts))), y)
+    model.split = split_bound(take(kinds, np.flatnonzero(strong > 0)), table)
+    seen = [text_margins(model, some) for _, some in pieces(texts)]
+    model.coef = _logistic(bounded(np.concatenate(seen)), y)
     return model
 
 
+def split_bound(u: Units, table: np.ndarray) -> float:
+    """Half of what the runs over the middle weigh in the median unit that the machine holds for toxic."""
+    size = np.diff(u.first) - 2
+    at = (u.first[:-1] + 1 + size // 2)[size >= 2 * LENGTH - 2]
+    if not len(at):
+        return np.inf
+    total = np.zeros(len(at))
+    for before in range(1, LENGTH):
+        code = np.zeros(len(at), np.int64)
+        for k in range(LENGTH):
+            code = code * CLASSES + u.chars[at - before + k]
+        total += table[code]
+    return max(float(np.median(total)) / 2, 1e-6)
+
+
+_margins: dict[int, float] = {}
+_margins_of: list = [None]
+
+
+def known_margins(model: Model, u: Units) -> np.ndarray:
+    """Margins of units; equal ones are computed once, and those met before by this task are remembered."""
+    if _margins_of[0] is not model.table:
+        _margins.clear()
+        _margins_of[0] = model.table
+    if len(_margins) > MEMORY:
+        _margins.clear()
+    names, place, inverse = np.unique(unit_hash(u), return_index=True, return_inverse=True)
+    found = np.array([_margins.get(n, np.nan) for n in names.tolist()])
+    new = np.flatnonzero(np.isnan(found))
+    if len(new):
+        found[new] = margins(take(u, place[new]), model.table) + model.bias
+        _margins.update(zip(names[new].tolist(), found[new].tolist(), strict=True))
+    return found[inverse]
+
+
 def text_margins(model: Model, texts: list[str]) -> np.ndarray:
-    p, b = points_of(texts)
-    u = units(p, b)
-    return top(margins(u, model.table) + model.bias, u.row, len(texts))
+    """The TOP largest margins of each text's units, and of the pairs of its words that may be one."""
+    u = units(*points_of(texts))
+    if not len(u.row):
+        return top(np.zeros(0), u.row, len(texts))
+    values, row = known_margins(model, u), u.row
+    which = np.flatnonzero(crossing(u, model.table) >= model.split)
+    if len(which):
+        values = np.concatenate([values, known_margins(model, pairs(u, which))])
+        row = np.concatenate([row, row[which]])
+        order = np.argsort(row, kind="stable")
+        values, row = values[order], row[order]
+    return top(values, row, len(texts))
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+def _kept(shared, text: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            out = [model.document_scores(text_margins(model, some)) for _, some in pieces(texts)]
+            yield b.filter(pa.array(np.concatenate(out) < threshold)) if out else b
+
+    return run
+
+
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -409,9 +581,10 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is under the threshold, columns unchanged. Scores are joined by id; rows that repeat an
-    id go if any of them is toxic; rows with a null id stay.
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text scores under the threshold, columns unchanged, in one pass without a join. Rows with a
+    null id are judged like others; null and empty texts score alike.
     """
-    bad = score(docs, model).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    return docs.mapInArrow(_kept(spark.sparkContext.broadcast(model), text, threshold), docs.schema)

@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import itertools
 import random
 import re
 import unicodedata
@@ -15,7 +16,9 @@ from tokenizers import Tokenizer, models
 from sievelight.llm import bpe, common, decontaminate, license_scan, near_dedup, substring_dedup, textkit, token_counts, toxicity
 from sievelight.llm.automaton import SuffixAutomaton
 from sievelight.llm.components import components
+from sievelight.llm.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", "  \n\t", "one", "é" * 50, "x\x1cy\x85z  w"]
 
@@ -583,27 +586,71 @@ def test_toxicity_passes_over_texts_that_do_not_fit(frame, spark, monkeypatch):
         toxicity.train(frame([(i, "z" * 5000 if i % 2 else f"text {i}") for i in range(40)]), every, held_out=False)
 
 
-def test_kernel_is_the_subsequence_kernel():
-    """Folded margins equal the kernel by its definition."""
-    import itertools
-
-    def vector(word):
-        s = [toxicity.OPEN, *(ord(c) - 96 for c in word), toxicity.CLOSE]
-        out = Counter()
-        for i in itertools.combinations(range(len(s)), toxicity.LENGTH):
-            span = i[-1] - i[0] + 1
-            if span <= toxicity.SPAN:
-                out[tuple(s[k] for k in i)] += toxicity.DECAY**span
-        return out
-
-    table = np.zeros(toxicity.CLASSES**toxicity.LENGTH, np.float32)
-    landmark = vector("idiot")
-    for codes, v in landmark.items():
-        k = 0
-        for c in codes:
-            k = k * toxicity.CLASSES + c
-        table[k] = v
-    words = ["idiot", "idxiot", "other", "iidiioot"]
-    u = toxicity.units(*toxicity.points_of([" ".join(words)]))
-    raw = toxicity.margins(u, table) * toxicity.NORM[np.diff(u.first)]
-    assert np.allclose(raw, [sum(v * vector(w)[c] for c, v in landmark.items()) for w in words], rtol=1e-4)
+def subsequence_vector(word):
+    """All weighted subsequences of a unit, by the definition of the kernel."""
+    s = [toxicity.OPEN, *(ord(c) - 96 for c in word), toxicity.CLOSE]
+    out = Counter()
+    for i in itertools.combinations(range(len(s)), toxicity.LENGTH):
+        span = i[-1] - i[0] + 1
+        if span <= toxicity.SPAN:
+            out[tuple(s[k] for k in i)] += toxicity.DECAY**span
+    return out
+
+
+def test_kernel_is_the_normalised_subsequence_kernel():
+    """Margins folded into a table, and the vectors of the machine, equal the kernel by its definition."""
+    product = lambda a, b: sum(v * b[c] for c, v in a.items())
+    words = ["idiot", "idxiot", "other", "iidiioot", "hahahaha", "aaaaaaaa", "x", "ab", "abc", "x" * toxicity.LONG, "abcdefghijklmnopqrst"]
+    vectors = [subsequence_vector(w) for w in words]
+    lengths = [product(v, v) ** 0.5 for v in vectors]
+    u = toxicity.units(*toxicity.points_of([", ".join(words)]))
+    assert np.allclose(toxicity.norms(u)[[n > 0 for n in lengths]], [n for n in lengths if n], rtol=1e-6)
+    for k in (0, 4, 5):
+        table = np.zeros(toxicity.CLASSES**toxicity.LENGTH, np.float32)
+        for codes, v in vectors[k].items():
+            table[sum(c * toxicity.CLASSES ** (toxicity.LENGTH - 1 - i) for i, c in enumerate(codes))] = v / lengths[k]
+        want = [product(vectors[k], v) / lengths[k] / n if n else 0.0 for v, n in zip(vectors, lengths, strict=True)]
+        assert np.allclose(toxicity.margins(u, table), want, rtol=1e-4, atol=1e-6) and abs(want[k] - 1) < 1e-9
+    row, code, value = toxicity.sparse(u)
+    for i in range(len(words)):
+        for j in range(len(words)):
+            if lengths[i] and lengths[j]:
+                a, b = Counter(), Counter()
+                for v, at in ((a, i), (b, j)):
+                    for c, x in zip(code[row == at].tolist(), value[row == at].tolist(), strict=True):
+                        v[c] += x
+                assert abs(product(a, b) - product(vectors[i], vectors[j]) / lengths[i] / lengths[j]) < 1e-6
+
+
+def test_long_units_lose_no_subsequence():
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghij") for _ in range(5 * toxicity.LONG + 3))
+    u = toxicity.units(*toxicity.points_of([f"so {word} it"]))
+    assert np.diff(u.first).max() == toxicity.LONG + 2 and set(u.row.tolist()) == {0}
+    parts = ["".join(chr(96 + c) for c in u.chars[a + 1 : b - 1]) for a, b in zip(u.first[1:-2].tolist(), u.first[2:-1].tolist(), strict=True)]
+    step = toxicity.LONG - toxicity.SPAN + 1
+    assert parts == [word[k : k + toxicity.LONG] for k in range(0, len(word) - toxicity.LONG + step, step)]
+    assert toxicity.units(*toxicity.points_of(["x" * 5_000_000])).first[-1] > 5_000_000
+
+
+def test_toxicity_of_altered_insults(frame):
+    train = labelled(1, 400)
+    model = toxicity.fit([t for t, _ in train], np.array([y for _, y in train]))
+    clean = next(t for t, y in labelled(2, 40) if y == 0)
+    altered = ["quxozzxard snxorkwxit", "quoz zard snork wit", "qu-oz-zard sn*ork*wit", "QUOZZARD! SnOrKwIt?", "qquoozzzard snnorkkwit", "quxxozzard snorkxxwit"]
+    got = [r.score for r in toxicity.score(frame([f"{clean} {x}" for x in [*altered, "", "qua zat snow wait"]]), model).orderBy("doc_id").collect()]
+    assert min(got[: len(altered)]) > 0.5 > max(got[len(altered) :]), got
+
+
+def test_op1_query(spark):
+    """The query against the operator by hand: labels of the fitting rows alone, whole texts, every row once."""
+    rows = QUERIES["op1_toxicity"](spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    used = sorted((r for r in labels.items() if labels[r[0]] is not None and r[0] in docs and not toxicity.held_out(r[0])))
+    h = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i, _ in used], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    used.sort(key=lambda r: (h[r[0]], r[0]))
+    model = toxicity.fit([docs[i] for i, _ in used], np.array([int(y > 0) for _, y in used]))
+    want = dict(zip(docs, model.document_scores(toxicity.text_margins(model, list(docs.values()))).tolist(), strict=True))
+    assert {r.doc_id for r in rows} == set(docs) and len(rows) == len(docs)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-6 and r.held_out == toxicity.held_out(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in rows)
