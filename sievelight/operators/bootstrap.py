@@ -2,31 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.schema import draw
 
+#: Groups, or distinct rows of statistics, that may reach the driver.
+MOST = 10_000
+
 
 def group_statistics(flagged: DataFrame, group: str = "group") -> DataFrame:
     pos, flag = F.col("label") == 1, F.col("flag")
     return flagged.groupBy(F.col(group).cast("string").alias("g")).agg(F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"), F.count_if(pos & flag).alias("f_pos"), F.count_if(~pos & flag).alias("f_neg"))
 
 
-def replicates(stats: DataFrame, reps: int, seed: str = "0") -> DataFrame:
-    """(rep, tpr, fpr) of ``reps`` resamples with replacement; replicates that lack a class are left out.
+def replicates(stats: DataFrame, reps: int = 1000, seed: str = "0") -> DataFrame:
+    """(rep, tpr, fpr) of ``reps`` resamples of groups with replacement; replicates that lack a class are left out.
 
-    Groups with equal statistics are interchangeable, so groups are numbered within one order and the draws of all
-    replicates are generated per draw place and joined by number: reps times groups slim rows, summed before the shuffle.
+    For groups that are few, such as sources: every draw is a row, md5 of replicate and place, so that SQL can make the same. For
+    documents or other groups without bound use ``resample``. Over ``MOST`` groups are an error.
     """
-    numbered = stats.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("g")) - 1)
-    total = stats.count()
-    places = numbered.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))).alias("place"))
-    drawn = places.withColumn("i", F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), F.col("place").cast("string")), F.lit(total)))
-    sums = drawn.join(numbered, "i").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("n_pos", "n_neg", "f_pos", "f_neg")))
+    listed = stats.orderBy("g").limit(MOST + 1).collect()  # a row per group
+    if len(listed) > MOST:
+        raise ValueError(f"over {MOST} groups: resample() draws counts per distinct statistics")
+    spark, total = stats.sparkSession, len(listed)
+    numbered = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(listed)], "i long, n_pos long, n_neg long, f_pos long, f_neg long")
+    places = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))).alias("place"))
+    drawn = places.withColumn("i", F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), F.col("place").cast("string")), F.lit(max(total, 1))))
+    sums = drawn.join(F.broadcast(numbered), "i").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("n_pos", "n_neg", "f_pos", "f_neg")))
+    return _rates(sums)
+
+
+def _rates(sums: DataFrame) -> DataFrame:
     return sums.where("n_pos > 0 and n_neg > 0").select("rep", (F.col("f_pos") / F.col("n_pos")).alias("tpr"), (F.col("f_neg") / F.col("n_neg")).alias("fpr"), "n_pos", "n_neg", "f_pos", "f_neg")
 
 
+def resample(stats: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """The same as ``replicates`` for any number of groups: groups with equal statistics are interchangeable, so a replicate is a
+    multinomial draw of how often each distinct row of statistics is taken. Only distinct rows reach the driver, and over ``MOST`` of
+    them are an error; documents have four.
+    """
+    spark = stats.sparkSession
+    cells = stats.groupBy("n_pos", "n_neg", "f_pos", "f_neg").agg(F.count(F.lit(1)).alias("k")).orderBy("n_pos", "n_neg", "f_pos", "f_neg").limit(MOST + 1).collect()
+    if len(cells) > MOST:
+        raise ValueError(f"over {MOST} distinct rows of statistics")
+    if not cells:
+        return _rates(spark.createDataFrame([], "rep long, n_pos long, n_neg long, f_pos long, f_neg long"))
+    rows = np.array([[c["n_pos"], c["n_neg"], c["f_pos"], c["f_neg"]] for c in cells], np.int64)
+    k = np.array([c["k"] for c in cells], np.int64)
+    taken = np.random.default_rng(seed).multinomial(k.sum(), k / k.sum(), size=reps) @ rows
+    return _rates(spark.createDataFrame([(i, *r) for i, r in enumerate(taken.tolist())], "rep long, n_pos long, n_neg long, f_pos long, f_neg long"))
+
+
+def out_of_bag_f1(scores: DataFrame, steps: int = 20, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """(rep, thr, f1): the best threshold i / steps on a Poisson resample of (label, score), and its F1 on the documents left out.
+
+    Documents of one label in one step of the grid are interchangeable: of n of them a binomial number (chance 1 / e) is left
+    out, and the others count by Poisson numbers that aren't 0. So only counts per label and step reach the driver.
+    """
+    spark = scores.sparkSession
+    binned = scores.groupBy("label", F.least(F.floor(F.col("score") * steps + 1e-9), F.lit(steps)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    n = np.zeros((2, steps + 1), np.int64)
+    for r in binned:
+        n[int(r["label"]), max(0, r["bin"])] += r["n"]
+    rng, out = np.random.default_rng(seed), []
+    for rep in range(reps):
+        left = rng.binomial(n, np.exp(-1.0))
+        inside = positive_poisson(rng, n - left)
+        f1, _ = _grid_f1(inside)
+        best = int(np.argmax(np.round(f1, 12)))
+        out.append((rep, (best + 1) / steps, float(_grid_f1(left)[0][best])))
+    return spark.createDataFrame(out, "rep long, thr double, f1 double")
+
+
+def positive_poisson(rng: np.random.Generator, k: np.ndarray) -> np.ndarray:
+    """Sums of k Poisson(1) numbers under the condition that none is 0, by drawing how many of them are 1, 2, 3 and so on."""
+    out, left, p = np.zeros_like(k), k.copy(), np.exp(-1.0)
+    rest = 1 - p
+    for value in range(1, 20):
+        p = p / value  # P(X = value)
+        now = rng.binomial(left, min(1.0, p / rest)) if value < 19 else left
+        out += value * now
+        left = left - now
+        rest = max(rest - p, 1e-18)
+    return out
+
+
+def _grid_f1(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """F1 and false-alarm rate of each cut i >= 1: at or above it is flagged. counts[label, bin]."""
+    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+    tp, fp, pos, neg = above[1, 1:-1], above[0, 1:-1], counts[1].sum(), counts[0].sum()
+    return np.where(tp + fp + pos > 0, 2 * tp / np.maximum(tp + fp + pos, 1), 0.0), fp / max(neg, 1)
+
+
 def intervals(reps: DataFrame, columns: list[str]) -> DataFrame:
     """2.5 and 97.5 per cent points of each column, in one row."""
     out = reps.agg(*(F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in columns))

@@ -60,13 +60,24 @@ def draw_sql(*parts: str) -> str:
     return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 7))::BIGINT"
 
 
-def _pattern_sql(text: str) -> str:
-    tests = [f"CASE WHEN regexp_matches({text}, '{p}', 'i') THEN {w:.1f}::DOUBLE ELSE 0.0::DOUBLE END" for p, w, _ in PATTERNS[:-1]]
+def _tests_sql(text: str) -> list[str]:
+    """A condition for each pattern; the last one's look-arounds are masked first."""
+    tests = [f"regexp_matches({text}, '{p}', 'i')" for p, _, _ in PATTERNS[:-1]]
     masked = rf"regexp_replace(regexp_replace(lower({text}), '(for |appreciate |of )(your|the\s+assistant)', '\1#', 'g'), '\b(answer|response|reply|output)(\s+(has|have|had|was|were|is|will|to\s+the\s+survey|to\s+our))', '# \2', 'g')"
-    tests.append(rf"CASE WHEN regexp_matches({masked}, '\b(your|the\s+assistant''?s?)\s+(final\s+)?(answer|response|reply|output)\b') THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END")
+    return [*tests, rf"regexp_matches({masked}, '\b(your|the\s+assistant''?s?)\s+(final\s+)?(answer|response|reply|output)\b')"]
+
+
+def _pattern_sql(text: str) -> str:
+    tests = [f"CASE WHEN {t} THEN {w:.1f}::DOUBLE ELSE 0.0::DOUBLE END" for t, (_, w, _) in zip(_tests_sql(text), PATTERNS, strict=True)]
     return "greatest(0.0::DOUBLE, " + ", ".join(tests) + ")"
 
 
+def pattern_list_sql(text: str) -> str:
+    """A list with, for each pattern, its weight, place and reason if it occurs, else null."""
+    reasons = [r.replace("'", "''") for _, _, r in PATTERNS]
+    return "[" + ", ".join(f"CASE WHEN {t} THEN {{'w': {w:.1f}::DOUBLE, 'i': {-i}, 'r': '{reasons[i]}'}} END" for i, (t, (_, w, _)) in enumerate(zip(_tests_sql(text), PATTERNS, strict=True))) + "]"
+
+
 _VALUES = ", ".join(f"({k}, '{t}', '{a}')" for k, t, a in ATTACKS)
 POOL = rf"""attacks(k, attack_type, attack) AS (VALUES {_VALUES}),
 hosts AS (SELECT doc_id AS id, text, source, lang AS domain, k, attack_type, attack, ['start', 'middle', 'end'][doc_id % 3 + 1] AS position,

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import fusion, text as T
-from sievelight.functions.patterns import pattern_result
+from sievelight.functions.patterns import NONE, pattern_result
 from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, similarity, split, threshold
-from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, draw_sql, pool, scores, signals, table, unit
+from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, draw_sql, pattern_list_sql, pool, scores, signals, table, unit
 from sievelight.schema import draw, length_bucket, parse_meta
 from sievelight.streaming import incremental
 
@@ -117,12 +117,15 @@ def role_counts(spark, d):
     return split.role_counts(_assigned(spark, d))
 
 
-@query()
+@query(f"""WITH {SPLIT} SELECT substr(sha1(sum(('0x' || substr(sha1(concat_ws('|', role, id)), 1, 15))::BIGINT::HUGEINT)::VARCHAR), 1, 10) AS hash FROM assigned""")
 def split_hash(spark, d):
     return split.split_hash(_assigned(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL}, s AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS i, count(*) AS n FROM pool GROUP BY source),
+f(i, load, fold, source) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1, '' UNION ALL
+  SELECT s.i, list_transform(f.load, lambda x, k: CASE WHEN k = list_position(f.load, list_min(f.load)) THEN x + s.n ELSE x END), list_position(f.load, list_min(f.load)) - 1, s.source FROM f JOIN s ON s.i = f.i + 1)
+SELECT source, fold::INT AS fold FROM f WHERE i > 0""")
 def group_kfold(spark, d):
     return split.group_folds(pool(spark, d), group="source")
 
@@ -164,7 +167,9 @@ def pattern_score(spark, d):
     return signals(spark, d).select("id", "pattern")
 
 
-@query()
+@query(f"""WITH {POOL}, m AS (SELECT attack_type, list_sort([x FOR x IN {pattern_list_sql('text')} IF x IS NOT NULL], 'DESC') AS m FROM pool),
+r AS (SELECT attack_type, CASE WHEN len(m) = 0 THEN '{NONE}' ELSE 'flagged: ' || m[1].r || CASE WHEN len(m) > 1 THEN ' (+' || (len(m) - 1) || ' more)' ELSE '' END END AS reason, CASE WHEN len(m) = 0 THEN 0.0::DOUBLE ELSE m[1].w END AS score FROM m)
+SELECT attack_type, reason, count(*) AS n, max(score) AS score FROM r GROUP BY ALL""")
 def pattern_reasons(spark, d):
     return pool(spark, d).withColumn("p", pattern_result(F.col("text"))).groupBy("attack_type", "p.reason").agg(F.count(F.lit(1)).alias("n"), F.max("p.score").alias("score"))
 
@@ -277,11 +282,11 @@ def perplexity_band(spark, d):
     return pool(spark, d).select("id", F.round(T.perplexity_score(p), 6).alias("score"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+')) AS w FROM documents), c AS (SELECT w, count(*) AS k FROM w WHERE doc_id % 4 = 0 GROUP BY w), t AS (SELECT sum(k)::DOUBLE AS n, count(*) AS v FROM c)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+')) AS w FROM documents), c AS (SELECT w, count(*) AS k FROM w GROUP BY w), t AS (SELECT sum(k)::DOUBLE AS n, count(*) AS v FROM c)
 SELECT doc_id, round(exp(-avg(ln((coalesce(k, 0) + 1) / (n + v + 1)))), 3) AS perplexity FROM w LEFT JOIN c USING (w), t GROUP BY doc_id""")
 def ngram_lm_perplexity(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^ \t\n\r\f\x0B]+)"), 1)).alias("w"))
-    c = w.where("doc_id % 4 = 0").groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    c = w.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     t = c.agg(F.sum("k").cast("double").alias("n"), F.count(F.lit(1)).alias("v"))
     per = w.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("m")).join(c, "w", "left").join(F.broadcast(t))
     logp = F.ln((F.coalesce("k", F.lit(0)) + 1) / (F.col("n") + F.col("v") + 1))
@@ -446,16 +451,16 @@ def _stats(spark, d, group):
     return bootstrap.group_statistics(signals(spark, d).withColumn("flag", F.col("sentence") > 0.55), group)
 
 
-@query(f"""WITH {_boot_sql('source', 200)}, x AS (SELECT f_pos::DOUBLE / n_pos AS tpr, f_neg::DOUBLE / n_neg AS fpr FROM reps)
+@query(f"""WITH {_boot_sql('source', 1000)}, x AS (SELECT f_pos::DOUBLE / n_pos AS tpr, f_neg::DOUBLE / n_neg AS fpr FROM reps)
 SELECT round(quantile_cont(tpr, 0.025), 6) AS tpr_lo, round(quantile_cont(tpr, 0.975), 6) AS tpr_hi, round(quantile_cont(fpr, 0.025), 6) AS fpr_lo, round(quantile_cont(fpr, 0.975), 6) AS fpr_hi FROM x""")
 def group_bootstrap_ci(spark, d):
-    return r6(bootstrap.intervals(bootstrap.replicates(_stats(spark, d, "source"), 200), ["tpr", "fpr"]), "tpr_lo", "tpr_hi", "fpr_lo", "fpr_hi")
+    return r6(bootstrap.intervals(bootstrap.replicates(_stats(spark, d, "source"), 1000), ["tpr", "fpr"]), "tpr_lo", "tpr_hi", "fpr_lo", "fpr_hi")
 
 
-@query(f"""WITH {_boot_sql('id', 50)}, x AS (SELECT f_pos::DOUBLE / nullif(f_pos + f_neg, 0) AS p, 2.0::DOUBLE * f_pos / (f_pos + f_neg + n_pos) AS f1 FROM reps)
-SELECT round(quantile_cont(coalesce(p, 0), 0.025), 6) AS precision_lo, round(quantile_cont(coalesce(p, 0), 0.975), 6) AS precision_hi, round(quantile_cont(f1, 0.025), 6) AS f1_lo, round(quantile_cont(f1, 0.975), 6) AS f1_hi FROM x""")
+@query()
 def doc_bootstrap_ci(spark, d):
-    return r6(bootstrap.intervals(bootstrap.with_f1(bootstrap.replicates(_stats(spark, d, "id"), 50)), ["precision", "f1"]), "precision_lo", "precision_hi", "f1_lo", "f1_hi")
+    """A thousand resamples of documents: multinomial draws over the four kinds of them."""
+    return r6(bootstrap.intervals(bootstrap.with_f1(bootstrap.resample(_stats(spark, d, "id"))), ["precision", "f1"]), "precision_lo", "precision_hi", "f1_lo", "f1_hi")
 
 
 LAT = f"{SIGNALS}, lat AS (SELECT 'embedding' AS detector, CASE WHEN length < 500 THEN 'short' WHEN length < 2000 THEN 'medium' ELSE 'long' END AS bucket, embedding * 100 AS ms FROM signals)"
@@ -529,7 +534,11 @@ def top_sentences(spark, d):
     return neighbours.top_sentences(u).select(F.md5("sentence").alias("sentence"), F.round("score", 6).alias("score"), "docs")
 
 
-@query()
+@query(f"""WITH {TF}, x AS (SELECT tfidf.*, source FROM tfidf JOIN documents ON doc_id = id),
+dots AS (SELECT a.id, b.id AS other, sum(a.weight * b.weight) AS dot FROM x a JOIN x b ON a.source = b.source AND a.term = b.term AND a.id <> b.id GROUP BY ALL),
+best AS (SELECT id, sum(dot) AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dot DESC, other) AS r FROM dots) WHERE r <= 3 GROUP BY id),
+m AS (SELECT doc_id AS id, least(count(*) OVER (PARTITION BY source) - 1, 3) AS m FROM documents)
+SELECT m.id, round(coalesce(s / nullif(m, 0), 0), 6) AS density FROM m LEFT JOIN best USING (id)""")
 def neighbour_density(spark, d):
     docs = _slim(spark, d)
     return neighbours.neighbour_density(learn.tfidf(docs, min_df=3), docs).withColumn("density", F.round("density", 6))
@@ -622,7 +631,7 @@ def missing_scores(spark, d):
     return incremental.missing(docs, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query()
+@query("SELECT sha1(concat_ws('|', sum(('0x' || substr(sha1(concat_ws('|', doc_id, text)), 1, 15))::BIGINT::HUGEINT)::VARCHAR, count(*))) AS fingerprint FROM documents")
 def cache_fingerprint(spark, d):
     return incremental.fingerprint(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
