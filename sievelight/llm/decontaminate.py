@@ -34,7 +34,8 @@ RADIUS = sum(n + 1 for n in NEAR) - 1
 #: Items, their characters and their distinct sizes handled by one pass over the documents; more take more passes.
 ITEM_BLOCK, ITEM_CHARS, ITEM_SIZES = 10_000, 3_000_000, 64
 #: Words whose bits are summed at a time; a text of any length needs no more memory than this and its hashes.
-STRETCH = 1 << 14
+STRETCH = 1 << 15
+CHUNK = 1 << 12
 
 
 def differences(most: int) -> np.ndarray:
@@ -68,10 +69,14 @@ def simhash(h: np.ndarray) -> int:
 
 
 class Votes:
-    """SimHashes of all windows of a stretch of words, by running sums of bits in the smallest type that holds a window."""
+    """SimHashes of all windows of a stretch of words, by running sums of bits in the smallest type that holds a window.
+
+    Eight (or four, two) sums share a 64-bit number: the difference of two running totals is the window's sums exactly, none
+    of which is over its part, whatever the totals carried over.
+    """
 
     def __init__(self, h: np.ndarray):
-        self.words, self.bits, self.sums, self.room = h, bits(features(h)), {}, {}
+        self.words, self.bits, self.sums = h, bits(features(h)), {}
 
     def prints(self, size: int) -> np.ndarray:
         if size == 1:
@@ -79,15 +84,21 @@ class Votes:
         size -= 1  # that many pairs
         kind = np.min_scalar_type(size)
         if kind not in self.sums:
-            sums = np.zeros((len(self.bits) + 1, 64), kind)
-            np.cumsum(self.bits, axis=0, dtype=kind, out=sums[1:])
-            self.sums[kind], self.room[kind] = sums, (np.empty_like(sums), np.empty(sums.shape, bool))
-        sums, (votes, signs) = self.sums[kind], self.room[kind]
+            packed = self.bits.astype(kind).view(np.uint64)
+            sums = np.zeros((len(packed) + 1, packed.shape[1]), np.uint64)
+            np.cumsum(packed, axis=0, out=sums[1:])
+            votes = np.empty((CHUNK, packed.shape[1]), np.uint64)
+            self.sums[kind] = sums, votes, votes.view(kind), np.empty((CHUNK, 64), bool)
+        sums, votes, counts, signs = self.sums[kind]
         n = max(0, len(sums) - size)
-        # sums wrap around; a difference of at most `size` doesn't
-        np.subtract(sums[size:], sums[:n], out=votes[:n])
-        np.greater(votes[:n], kind.type(size // 2), out=signs[:n])
-        return np.packbits(signs[:n].reshape(-1), bitorder="little").view(np.uint64)
+        out = np.empty(n, np.uint64)
+        least = kind.type(size // 2)
+        for lo in range(0, n, CHUNK):  # pieces that stay in the processor's cache
+            k = min(CHUNK, n - lo)
+            np.subtract(sums[lo + size : lo + size + k], sums[lo : lo + k], out=votes[:k])
+            np.greater(counts[:k], least, out=signs[:k])
+            out[lo : lo + k] = np.packbits(signs[:k].reshape(-1), bitorder="little").view(np.uint64)
+        return out
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
