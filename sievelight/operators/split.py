@@ -1,6 +1,6 @@
 """Group-aware splits, folds and seeded samples. Order within a group of choices is md5(seed | key), never a random stream.
 
-Ranks inside a stratum use a window per stratum; a stratum holds groups, one slim row each. Folds and samples do the same.
+Ranks inside a stratum, label or source are made by ranges of the hash (``hash_rank``), so no task orders a whole one.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ def split_roles(rows: DataFrame, seed: str = "42", baseline: float = 0.25, val:
     )
     typed = F.when((F.col("lo") == 1) & (F.col("t0") == F.col("t1")), F.col("t0")).otherwise("")
     keyed = groups.withColumn("stratum", F.concat_ws("|", "source", "lo", "hi", typed))
-    w = Window.partitionBy("stratum")
-    ranked = keyed.withColumn("r", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "source", "group")), "group"))).withColumn("n", F.count(F.lit(1)).over(w))
+    sizes = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    ranked = hash_rank(keyed, ["stratum"], F.md5(F.concat_ws("|", F.lit(seed), "source", "group")), "group").withColumnRenamed("rank", "r").join(F.broadcast(sizes), "stratum")
     n_base = F.when(F.col("lo") == 0, F.bround(F.col("n") * baseline)).otherwise(0).cast("int")
     sized = ranked.withColumn("base", n_base).withColumn("rest", F.col("n") - F.col("base"))
 
@@ -37,6 +37,32 @@ def split_roles(rows: DataFrame, seed: str = "42", baseline: float = 0.25, val:
     return sized.select("source", "group", role.alias("role"))
 
 
+def hash_rank(rows: DataFrame, by: list[str], key, tie: str) -> DataFrame:
+    """``rows`` with ``rank``, from 1, in the order of the hexadecimal hash ``key`` and then ``tie`` within ``by``.
+
+    Rows are ordered within the 4,096 ranges of the hash's first three digits, and the ranges' counts, a few rows a cell, say where
+    each begins; so no task orders a whole cell.
+    """
+    keyed = rows.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
+    cells = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    begins = cells.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_key", tie))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_range")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    out = keyed.withColumn("_place", place).alias("r").join(begins.alias("b"), cond)
+    return out.select(*(F.col(f"r.`{c}`") for c in rows.columns), (F.col("b._before") + F.col("r._place")).alias("rank"))
+
+
+def clean_split(rows: DataFrame, share: float = 0.7, seed: str = "42") -> DataFrame:
+    """Clean rows with role baseline or evaluation: the first floor(n * share) in hash order are the baseline."""
+    clean = rows.where("label = 0")
+    n = clean.agg(F.floor(F.count(F.lit(1)) * share + 1e-9).alias("_most"))
+    ranked = hash_rank(clean, ["label"], F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), "id")
+    return ranked.join(F.broadcast(n)).withColumn("role", F.when(F.col("rank") <= F.col("_most"), "baseline").otherwise("evaluation")).drop("rank", "_most")
+
+
 def assign(rows: DataFrame, roles: DataFrame) -> DataFrame:
     """Rows with their role; poisoned rows of baseline groups are ``dropped``."""
     return rows.join(roles, ["source", "group"]).withColumn("role", F.when((F.col("role") == "baseline") & (F.col("label") == 1), "dropped").otherwise(F.col("role")))
@@ -81,14 +107,12 @@ def group_folds(rows: DataFrame, k: int = 5, group: str = "group") -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, k: int = 5, seed: str = "42", by: str = "label") -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), "id")), "id")
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return hash_rank(rows, [by], F.md5(F.concat_ws("|", F.lit(seed), "id")), "id").withColumn("fold", (F.col("rank") - 1) % k).drop("rank")
 
 
 def capped_sample(rows: DataFrame, by: list[str], n: int, seed: str = "42") -> DataFrame:
     """At most ``n`` rows per cell in hash order. (A sampling operator: the limit is the feature.)"""
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), "id")), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return hash_rank(rows, by, F.md5(F.concat_ws("|", F.lit(seed), "id")), "id").where(F.col("rank") <= n)
 
 
 def proportional_sample(rows: DataFrame, total: int, seed: str = "42", by: str = "source") -> DataFrame:
@@ -98,8 +122,7 @@ def proportional_sample(rows: DataFrame, total: int, seed: str = "42", by: str =
     exact = counts.withColumn("exact", F.lit(float(total)) * F.col("n") / F.sum("n").over(everything))
     floor = exact.withColumn("low", F.floor("exact")).withColumn("left", F.lit(total) - F.sum("low").over(everything))
     quota = floor.withColumn("place", F.row_number().over(everything.orderBy(F.desc(F.round(F.col("exact") - F.col("low"), 9)), by))).select(by, (F.col("low") + (F.col("place") <= F.col("left")).cast("int")).alias("quota"))
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws("|", F.lit(seed), "id")), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(quota), by).where("rank <= quota")
+    return hash_rank(rows, [by], F.md5(F.concat_ws("|", F.lit(seed), "id")), "id").join(F.broadcast(quota), by).where("rank <= quota")
 
 
 def draw_groups(rows: DataFrame, least: int, seed: str = "42") -> DataFrame:

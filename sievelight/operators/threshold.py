@@ -86,17 +86,21 @@ def conformal(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     return run.groupBy("method").agg(F.max("m").alias("m"), F.min(F.when(F.col("upto") >= rank, F.col("score"))).alias("thr"))
 
 
-def grid_sweep(scores: DataFrame, steps: int = 20) -> DataFrame:
-    """(method, thr, f1): the first best of t = i / steps, i from 1; at or above is flagged."""
+def grid_f1(scores: DataFrame, steps: int = 20) -> DataFrame:
+    """(method, i, f1) of every cut t = i / steps, i from 1 to steps - 1; at or above is flagged. Equal to twelve digits is equal."""
     binned = scores.groupBy("method", F.least(F.floor(F.col("score") * steps + 1e-9), F.lit(steps)).cast("int").alias("bin"), "label").agg(F.count(F.lit(1)).alias("k"))
     cuts = binned.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).groupBy("method", "i").agg(
         F.coalesce(F.sum(F.when((F.col("label") == 1) & (F.col("bin") >= F.col("i")), F.col("k"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when((F.col("label") == 0) & (F.col("bin") >= F.col("i")), F.col("k"))), F.lit(0)).alias("fp"),
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("k"))), F.lit(0)).alias("pos"),
     )
-    f1 = F.round(_ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 12)
-    best = F.max(F.struct(f1.alias("f1"), (-F.col("i")).alias("i"))).alias("b")
-    return cuts.groupBy("method").agg(best).select("method", (-F.col("b.i") / steps).alias("thr"), "b.f1")
+    return cuts.select("method", "i", F.round(_ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 12).alias("f1"))
+
+
+def grid_sweep(scores: DataFrame, steps: int = 20) -> DataFrame:
+    """(method, thr, f1): the first best cut of ``grid_f1``."""
+    best = F.max(F.struct("f1", (-F.col("i")).alias("i"))).alias("b")
+    return grid_f1(scores, steps).groupBy("method").agg(best).select("method", (-F.col("b.i") / steps).alias("thr"), "b.f1")
 
 
 def minmax(scores: DataFrame, clip: bool = True) -> DataFrame:

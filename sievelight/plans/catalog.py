@@ -430,9 +430,9 @@ def score_histogram(spark, d):
     return metrics.score_histogram(scores(spark, d))
 
 
-@query(f"""WITH {SIGNALS}, c AS (SELECT count(*) FILTER (sentence > 0.5 AND NOT embedding > 0.5) AS b, count(*) FILTER (NOT sentence > 0.5 AND embedding > 0.5) AS c FROM signals) SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END, 6) AS statistic FROM c""")
+@query(f"""WITH {SIGNALS}, c AS (SELECT count(*) FILTER (sentence > 0.5 AND NOT embedding > 0.5) AS b, count(*) FILTER (NOT sentence > 0.5 AND embedding > 0.5) AS c FROM signals) SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END, 6) AS statistic, round(p, 5) AS p FROM (SELECT *, ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x) AS p FROM (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM (SELECT *, sqrt(CASE WHEN b + c = 0 THEN 0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END / 2) AS x FROM c)))""")
 def mcnemar_counts(spark, d):
-    return r6(metrics.mcnemar(signals(spark, d), F.col("sentence") > 0.5, F.col("embedding") > 0.5), "statistic")
+    return r6(metrics.mcnemar(signals(spark, d), F.col("sentence") > 0.5, F.col("embedding") > 0.5), "statistic").withColumn("p", F.round("p", 5))
 
 
 @query(f"""WITH {SIGNALS}, f AS (SELECT label, sentence > 0.5 AS a, embedding > 0.5 AS b FROM signals) SELECT label, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither, round(avg((a OR b)::INT), 6) AS either_rate FROM f GROUP BY label""")
@@ -636,4 +636,4 @@ def cache_fingerprint(spark, d):
     return incremental.fingerprint(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-from sievelight.plans import more  # noqa: E402, F401  registers the reports
+from sievelight.plans import endtoend, files, more  # noqa: E402, F401  registers the reports
