@@ -23,12 +23,12 @@ Encoder = Callable[[DataFrame], DataFrame]
 
 
 def hashed_vector(text: Column) -> Column:
+    """Each step is bound once, as the one element of an array, since an expression named in a lambda is made again at every use."""
     places = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w\w+)"), 1), lambda w: (draw(w) % DIMENSIONS).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), DIMENSIONS)
-    # sorted places: each one's count is how far its run goes
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(length == 0, zero).otherwise(F.transform(counts, lambda x: x / length))
+    numbers = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    counts = F.transform(F.array(places), lambda p: F.transform(numbers, lambda b: F.size(F.filter(p, lambda x: x == b)).cast("double")))
+    sized = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    return F.transform(sized, lambda v: F.when(v["n"] == 0, v["c"]).otherwise(F.transform(v["c"], lambda x: x / v["n"])))[0]
 
 
 def hashed_encoder(rows: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def written(spark, d: str, name: str, make) -> DataFrame:
 
 
 def _make_scores(spark, d) -> DataFrame:
-    rows = _assigned(spark, d).where("role <> 'dropped'").select("id", "text", "label", "source", "attack_type", "domain", "group", "role")
+    rows = written_part(spark, _assigned(spark, d).where("role <> 'dropped'").select("id", "text", "label", "source", "attack_type", "domain", "group", "role"))
     baseline = rows.where("role = 'baseline'").select("id", "text")
     near = segmented.segmented_anomaly(rows.select("id", "text"), baseline)
     model = fluency.UnigramModel.fit(baseline)
