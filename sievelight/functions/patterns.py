@@ -28,17 +28,30 @@ PATTERNS = [
     ),
 ]
 NONE = "no known injection patterns found"
+#: What a text must have, in lower case, for the pattern of that place to occur; plain searches that spare most texts the expressions.
+NEEDED = [["instructions"], ["you are now"], ["system"], ["disable"], ["send"], ["polic"], ["do not"], ["as an ai"], ["default"], ["hardcod", "preconfigur"], ["your", "assistant"]]
+#: Letters that equal ASCII ones without regard to case but aren't in lower case; a text with one is always tested.
+FOLDED = "[\u017f\u0131\u0130\u212a]"
+
+
+def occurs(text: Column, place: int) -> Column:
+    """Whether the pattern of that place occurs in the text."""
+    low = F.lower(text)
+    may = text.rlike(FOLDED)
+    for word in NEEDED[place]:
+        may = low.contains(word) | may
+    return may & text.rlike("(?iU)" + PATTERNS[place][0])
 
 
 def matched(text: Column) -> Column:
     """Array of struct(weight, reason) of the patterns that occur, strongest first, in the bank's order among equals."""
-    tested = F.array(*(F.when(text.rlike("(?iU)" + p), F.struct(F.lit(w).alias("weight"), F.lit(r).alias("reason"), F.lit(-i).alias("place"))) for i, (p, w, r) in enumerate(PATTERNS)))
+    tested = F.array(*(F.when(occurs(text, i), F.struct(F.lit(w).alias("weight"), F.lit(r).alias("reason"), F.lit(-i).alias("place"))) for i, (_, w, r) in enumerate(PATTERNS)))
     return F.sort_array(F.transform(F.array_compact(tested), lambda x: F.struct(x["weight"].alias("weight"), x["place"].alias("place"), x["reason"].alias("reason"))), asc=False)
 
 
 def pattern_score(text: Column) -> Column:
     """The largest weight of the patterns that occur, 0 without any; null text has none."""
-    return F.greatest(F.lit(0.0), *(F.when(text.rlike("(?iU)" + p), F.lit(w)).otherwise(F.lit(0.0)) for p, w, _ in PATTERNS))
+    return F.greatest(F.lit(0.0), *(F.when(occurs(text, i), F.lit(w)).otherwise(F.lit(0.0)) for i, (_, w, _) in enumerate(PATTERNS)))
 
 
 def pattern_result(text: Column) -> Column:

@@ -26,7 +26,11 @@ SCALE = float(1 << 28)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts of a scan with fewer splits than the session has cores are dealt out, since a row group is never split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        return df.repartition(cores)
+    return df
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
