@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from sievelight.llm.common import bounded_batches
 from sievelight.llm.textkit import Grams, U, mix
 
-LENGTH, SPAN, DECAY, LANDMARKS = 4, 8, 0.85, 320
+LENGTH, SPAN, DECAY, LANDMARKS = 4, 7, 0.85, 320
 #: Characters of a unit, without its end marks.
 LONG = 40
 #: Margins of units that are remembered by a task.
-MEMORY = 200_000
+MEMORY = 400_000
 #: Labelled rows used for fitting: an upper bound, and of the text of each the whole.
 FIT_ROWS = 4000
 FIT_CHARS = 6_000_000
@@ -47,7 +47,7 @@ ROUNDS = 3
 ALTERED, ALTERED_WEIGHT = 6, 0.1
 #: Position patterns of a subsequence of LENGTH characters within SPAN.
 PATTERNS = [(0, *p, s) for s in range(LENGTH - 1, SPAN) for p in itertools.combinations(range(1, s), LENGTH - 2)]
-PIECE = 1 << 18
+PIECE = 1 << 20
 
 
 def _classes() -> np.ndarray:
