@@ -82,12 +82,23 @@ def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _left.add(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Saved tables that are still there: those that a returned table reads.
+_left: set[str] = set()
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table that this program has saved and not dropped; call it when no result of an operator is read any more."""
+    drop(spark, *list(_left))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete saved tables that nothing reads any more."""
+    _left.difference_update(paths)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

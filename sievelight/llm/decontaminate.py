@@ -44,8 +44,11 @@ def differences(most: int) -> np.ndarray:
 
 
 def item_words(column: pa.Array) -> Iterator[Words]:
-    """Lower-case words without ASCII punctuation at their ends; what is nothing else isn't a word."""
-    yield from words(pc.utf8_lower(column.cast(pa.large_string())), trim=True)
+    """Lower-case words without ASCII punctuation at their ends; what is nothing else isn't a word.
+
+    Hashed without a key: who wants an item to pass unseen need only change its words.
+    """
+    yield from words(pc.utf8_lower(column.cast(pa.large_string())), key=None, trim=True)
 
 
 def bits(h: np.ndarray) -> np.ndarray:
@@ -137,11 +140,10 @@ class Sized:
         places = np.flatnonzero(some)
         found = prints.take(places)
         at, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, print_ in zip(self.items.tolist(), self.prints, strict=True):
-            near = np.bitwise_count(found ^ print_) <= RADIUS
-            if near.any():
-                at.append(places[near])
-                item.append(np.full(len(at[-1]), i))
+        for lo in range(0, len(self.items), 16):  # a few items at a time
+            k, near = np.nonzero(np.bitwise_count(self.prints[lo : lo + 16, None] ^ found) <= RADIUS)
+            at.append(places[near])
+            item.append(self.items[lo + k])
         return np.concatenate(at), np.concatenate(item)
 
 

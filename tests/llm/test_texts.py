@@ -467,7 +467,7 @@ def test_item_words():
     got = []
     for w in decontaminate.item_words(pa.array(texts)):
         got += [w.text(w.first[r], w.first[r + 1]) for r in range(w.rows)]
-        same = textkit.word_digests(np.frombuffer(b"worldx", np.uint8), np.array([5, 1]))
+        same = textkit.word_digests(np.frombuffer(b"worldx", np.uint8), np.array([5, 1]), None)
         assert w.hash[1] == same[0, 0] and w.hash[-2] == same[1, 0]
     assert got == [["hello", "world", "a--b", "x"], ["é"], [], [], ["a", "b"], ["x", "y"]]
 
