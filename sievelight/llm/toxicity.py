@@ -32,8 +32,8 @@ from sievelight.llm.textkit import Grams, U, mix
 LENGTH, SPAN, DECAY, LANDMARKS = 4, 7, 0.85, 320
 #: Characters of a unit, without its end marks.
 LONG = 40
-#: Margins of units that are remembered by a task.
-MEMORY = 400_000
+#: Margins of units that a task remembers; its end frees them, for what the worker runs next.
+MEMORY = 100_000
 #: Labelled rows used for fitting: an upper bound, and of the text of each the whole.
 FIT_ROWS = 4000
 FIT_CHARS = 6_000_000
@@ -47,7 +47,7 @@ ROUNDS = 3
 ALTERED, ALTERED_WEIGHT = 6, 0.1
 #: Position patterns of a subsequence of LENGTH characters within SPAN.
 PATTERNS = [(0, *p, s) for s in range(LENGTH - 1, SPAN) for p in itertools.combinations(range(1, s), LENGTH - 2)]
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _classes() -> np.ndarray:
@@ -494,6 +494,7 @@ def _kept(shared, text: str, threshold: float):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             out = [model.document_scores(text_margins(model, some)) for _, some in pieces(texts)]
             yield b.filter(pa.array(np.concatenate(out) < threshold)) if out else b
+        _margins.clear()
 
     return run
 
@@ -505,6 +506,7 @@ def _scores(shared):
             texts = [t or "" for t in b.column(1).to_pylist()]
             out = [model.document_scores(text_margins(model, some)) for _, some in pieces(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(out) if out else [], pa.float64())], schema=SCORED)
+        _margins.clear()
 
     return run
 
