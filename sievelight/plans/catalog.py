@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import fusion, text as T
 from sievelight.functions.patterns import NONE, pattern_result
 from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, similarity, split, threshold
-from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, draw_sql, pattern_list_sql, pool, scores, signals, table, unit
+from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, draw_sql, pattern_list_sql, pool, scores, signals, table, unit, written
 from sievelight.schema import draw, length_bucket, parse_meta
 from sievelight.streaming import incremental
 
@@ -545,7 +545,7 @@ def neighbour_density(spark, d):
 
 
 def _folded(spark, d):
-    return split.stratified_folds(signals(spark, d)).withColumn("label", F.col("label").cast("double")).persist()  # slim rows, read once per fold
+    return written(spark, d, "folded", lambda s, x: split.stratified_folds(signals(s, x)).withColumn("label", F.col("label").cast("double")))  # slim rows, read once per fold
 
 
 @query()
@@ -568,7 +568,7 @@ def lr_auc_by_features(spark, d):
 @query()
 def loso_transfer(spark, d):
     """AUC of a model fitted without a source on that source."""
-    s = signals(spark, d).withColumn("label", F.col("label").cast("double")).persist()
+    s = written(spark, d, "signals", signals).withColumn("label", F.col("label").cast("double"))
     out = None
     for held in ("src0", "src1", "src2"):
         model = learn.fit_logistic(s.where(F.col("source") != held), METHODS)

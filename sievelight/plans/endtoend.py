@@ -7,18 +7,12 @@ neural models.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.patterns import pattern_score
 from sievelight.operators import fluency, metrics, report, segmented, split, threshold
-from sievelight.plans.base import ATTACKS, METHODS, POOL, SIGNALS, _pattern_sql, draw_sql, pool, scores, signals, table
+from sievelight.plans.base import METHODS, POOL, SIGNALS, _pattern_sql, draw_sql, pool, signals, written, written_part
 from sievelight.plans.catalog import METRICS_SQL, SPLIT, _assigned, auc_sql, query, r6, rates_sql
 from sievelight.schema import draw
 
@@ -26,31 +20,6 @@ E2E = ["pattern", "embedding", "fluency", "naive"]
 BUDGET = 0.05
 
 
-def shared_folder(spark) -> str:
-    """A folder of this session's under ``spark.checkpoint.dir``; on one machine without it, as in tests, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/sievelight-tables-{spark.sparkContext.applicationId}"
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="sievelight-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return f"file://{made}"
-
-
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def written(spark, d: str, name: str, make) -> DataFrame:
-    """The table ``name`` for the data at ``d``: made and written at the first call of a session, read after that."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _written:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        make(spark, d).write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
-
-
 def _make_scores(spark, d) -> DataFrame:
     rows = written_part(spark, _assigned(spark, d).where("role <> 'dropped'").select("id", "text", "label", "source", "attack_type", "domain", "group", "role"))
     baseline = rows.where("role = 'baseline'").select("id", "text")
@@ -65,12 +34,6 @@ def _make_scores(spark, d) -> DataFrame:
     return out.withColumn("naive", (F.col("pattern") + F.col("embedding") + F.col("fluency")) / 3)
 
 
-def written_part(spark, df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(spark)}/part-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def score_table(spark, d) -> DataFrame:
     """One slim row per document: id, label, source, attack_type, domain, group, role and the scores."""
     return written(spark, d, "scores", _make_scores)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import fusion, text as T
 from sievelight.operators import bootstrap, cascade, inject, learn, metrics, sentence, similarity, split, threshold, windows
-from sievelight.plans.base import POOL, SCALE, SIGNALS, draw_sql, pool, scores, signals, table
+from sievelight.plans.base import POOL, SCALE, SIGNALS, draw_sql, pool, scores, signals, table, written, written_part
 from sievelight.plans.catalog import LEVELS, METRICS_SQL, MS, SIM, SPLITS, STAGES, _vectors, query, r6, rates_sql
 from sievelight.schema import draw, source_group
 from sievelight.sources import readers
@@ -139,7 +139,7 @@ k AS (SELECT design, {rates_sql('flag', '')}, avg([0.12, 1.72, 32.86][x + 1]::DO
 SELECT design, round(tp::DOUBLE / (tp + fn), 6) AS tpr, round(fp::DOUBLE / (fp + tn), 6) AS fpr, round(a, 6) AS ms_clean, round(b, 6) AS ms_poisoned, round(0.99 * a + 0.01 * b, 6) AS ms_prev_0_01, round(0.999 * a + 0.001 * b, 6) AS ms_prev_0_001, 32.86::DOUBLE AS ms_all FROM k""")
 def cascade_designs(spark, d):
     """A (OR) and B (clear early) at a 5 per cent budget: split, rates and cost on val."""
-    s = signals(spark, d).persist()
+    s = written(spark, d, "signals", signals)
     train, val, out = s.where("role = 'train'"), s.where("role = 'val'"), None
     best = cascade.choose_split(train, STAGES, 0.05).first()
     thr = cascade.unit_thresholds(train, STAGES, 0.05).first()
@@ -167,7 +167,7 @@ SELECT source, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
 def transfer_report(spark, d):
     """Frozen bounds on a capped sample: recall, false alarms and AUC per source."""
     s = threshold.minmax(scores(spark, d, ("role", "source")).where("method = 'sentence'"))
-    sample = split.capped_sample(s, ["source", "label"], 60).withColumn("flag", F.col("calibrated") > 0.5).persist()
+    sample = split.capped_sample(s, ["source", "label"], 60).withColumn("flag", F.col("calibrated") > 0.5)
     auc = metrics.roc_auc(sample, ["source"])
     return r6(threshold.confusion(sample, ["source"]).join(auc, "source").select("source", "recall", "fpr", "auc"), "recall", "fpr", "auc")
 
@@ -181,7 +181,7 @@ FROM fr, (SELECT coalesce(min(v), 'infinity'::DOUBLE) AS thr FROM (SELECT senten
 {' UNION ALL '.join(map(_adaptation_sql, (20, 40, 60)))}""")
 def adaptation_conformal(spark, d):
     """Conformal thresholds of a held-out domain from 20, 40 and 60 of its clean documents, their groups left out."""
-    s = signals(spark, d).where("domain = 'fr'").persist()
+    s = written(spark, d, "signals", signals).where("domain = 'fr'")
     out = None
     for m in (20, 40, 60):
         drawn = split.draw_groups(s.where("label = 0"), m).select("group")
@@ -210,7 +210,8 @@ def roc_mean(spark, d):
 def style_control(spark, d):
     """Out-of-fold AUC of the standardised style features (L9): what style alone tells."""
     names = list(T.style_features(F.col("text")))
-    p = split.stratified_folds(pool(spark, d)).select("id", "fold", F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in T.style_features(F.col("text")).items())).persist()
+    p = split.stratified_folds(pool(spark, d)).select("id", "fold", F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in T.style_features(F.col("text")).items()))
+    p = written_part(spark, p)
     out = learn.out_of_fold(learn.standardise(p, names, p), names)
     return r6(metrics.roc_auc(out.select(F.lit("style").alias("method"), "label", F.round("score", 9).alias("score")), ["method"]), "auc")
 
