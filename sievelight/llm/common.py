@@ -8,7 +8,6 @@ import os
 import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -59,18 +58,10 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-#: Seconds between two releases; in less time little can be written.
-RELEASE_S = 8
-_released = 0.0
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished shuffles, so that executors delete their files."""
-    global _released
-    if time.monotonic() - _released > RELEASE_S:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _released = time.monotonic()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -387,6 +387,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     values, basis = np.linalg.eigh(land @ land.T)
     ok = values > 1e-6
     onto = land.T @ (basis[:, ok] / np.sqrt(values[ok]))  # from subsequences to landmark coordinates
+    del land
 
     def embed(u: Units, which: np.ndarray) -> np.ndarray:
         out = np.zeros((len(which), onto.shape[1] + 1), np.float32)
@@ -431,6 +432,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     model.split = split_bound(take(kinds, np.flatnonzero(strong > 0)), table)
     seen = [text_margins(model, some) for _, some in pieces(texts)]
     model.coef = _logistic(bounded(np.concatenate(seen)), y)
+    _margins.clear()
     return model
 
 
