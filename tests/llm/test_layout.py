@@ -202,7 +202,7 @@ def test_warc_files_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
 
 def test_stages_and_registry(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline(spark):
@@ -221,7 +221,7 @@ def test_same_rows_as_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = c.execute(ORACLES[name])
     df = QUERIES[name](spark, SF)
