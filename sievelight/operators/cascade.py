@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.operators.ordered import wide_quantiles
+
 
 def compositions(spark: SparkSession, total: int, parts: int) -> DataFrame:
     """All ordered splits of ``total`` units into ``parts`` counts: columns u1..., a short generated table."""
@@ -16,8 +18,8 @@ def compositions(spark: SparkSession, total: int, parts: int) -> DataFrame:
 
 def unit_thresholds(train: DataFrame, stages: list[str], budget: float, units: int = 10) -> DataFrame:
     """One row: for each stage an array of thresholds, element u for a share of u units of the budget."""
-    at = F.array(*(F.lit(1 - budget * u / units) for u in range(units + 1)))
-    return train.where("label = 0").agg(*(F.percentile(s, at).alias(f"thr_{s}") for s in stages))
+    q = wide_quantiles(train.where("label = 0"), stages, [1 - budget * u / units for u in range(units + 1)])
+    return q.select(*(F.col(s).alias(f"thr_{s}") for s in stages))
 
 
 def choose_split(train: DataFrame, stages: list[str], budget: float, units: int = 10) -> DataFrame:

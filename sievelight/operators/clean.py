@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import strip
+from sievelight.operators.ordered import at_rank, counted, quantiles
 
 
 def dedupe(rows: DataFrame, order: str = "id") -> DataFrame:
@@ -32,32 +33,21 @@ def source_counts(rows: DataFrame) -> DataFrame:
 
 
 def length_summary(rows: DataFrame, by: list[str], length: str = "length") -> DataFrame:
-    """n, median, p25, p75 by the exclusive quantile rule ((n + 1) p, clamped), truncated to integers.
-
-    Ranks are needed only at six places, which come from the counts of equal lengths: a count per (group, length), combined
-    before the shuffle, and running sums over the distinct lengths.
-    """
-    per = rows.groupBy(*by, F.col(length).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    total = per.groupBy(*by).agg(F.sum("k").alias("n"))
-    run = per.withColumn("upto", F.sum("k").over(Window.partitionBy(*by).orderBy("v"))).withColumn("before", F.col("upto") - F.col("k"))
-    joined = run.join(total, by)
-    out = [F.max("n").alias("n")]
+    """n, median, p25, p75 by the exclusive quantile rule ((n + 1) p, clamped), truncated to integers; from running counts of lengths."""
+    n = F.col("k_all")
+    out = [F.max(n).alias("n")]
     for name, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75)):
         # position j is clamped to 1 .. n - 1 and the value interpolates between ranks j and j + 1
-        place = F.lit(p) * (F.col("n") + 1)
-        j = F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
-        part = place - j
-        here = F.max(F.when((F.col("before") < j) & (j <= F.col("upto")), F.col("v")))
-        nxt = F.max(F.when((F.col("before") < j + 1) & (j + 1 <= F.col("upto")), F.col("v")))
-        out.append(F.floor(F.coalesce(here + F.max(part) * (nxt - here), here)).cast("long").alias(name))
-    return joined.groupBy(*by).agg(*out)
+        place = F.lit(p) * (n + 1)
+        j = F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+        here, nxt = at_rank("v", j - 1), at_rank("v", j)
+        out.append(F.floor(F.coalesce(here + F.max(place - j) * (nxt - here), here)).cast("long").alias(name))
+    return counted(rows.withColumn("v", F.col(length).cast("double")), by, "v").groupBy(*by).agg(*out)
 
 
 def pool_stats(rows: DataFrame) -> DataFrame:
     """Per source: median lengths of both labels, their ratio, and whether it is outside 0.5 to 2."""
-    med = rows.groupBy("source").agg(
-        F.percentile(F.when(F.col("label") == 0, F.col("length")), 0.5).alias("clean_median"),
-        F.percentile(F.when(F.col("label") == 1, F.col("length")), 0.5).alias("poisoned_median"),
-    )
+    each = quantiles(rows, ["source", "label"], "length", [0.5])
+    med = each.groupBy("source").agg(*(F.max(F.when(F.col("label") == k, F.col("q")[0])).alias(c) for k, c in enumerate(("clean_median", "poisoned_median"))))
     ratio = F.try_divide("poisoned_median", "clean_median")
     return med.withColumn("ratio", F.round(ratio, 6)).withColumn("outside", ((ratio < 0.5) | (ratio > 2)).cast("int"))

@@ -47,7 +47,8 @@ class UnigramModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text") -> UnigramModel:
-        counts = docs.select(F.explode(F.slice(tokens(F.col(text)), 1, CONTEXT)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+        """Counts all tokens of all texts; ``CONTEXT`` bounds only what is scored."""
+        counts = docs.select(F.explode(tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
         row = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         return cls(counts, float(row["n"]), row["v"])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators.ordered import quantiles, running
 from sievelight.operators.threshold import confusion, cumulative, with_metrics
 
 
@@ -27,10 +28,9 @@ def false_alarms_per_10k(fpr: Column) -> Column:
 
 
 def roc_auc(scores: DataFrame, by: list[str]) -> DataFrame:
-    """AUC with ties counted one half, null if a class is missing: from counts per distinct score, combined first."""
+    """AUC with ties counted one half, null if a class is missing: from running counts of distinct scores."""
     per = scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy("score")) - F.col("n")
-    won = per.withColumn("u", F.col("p") * (below + F.col("n") / 2))
+    won = running(per, by, "score", ["p", "n"]).withColumn("u", F.col("p") * (F.col("n_upto") - F.col("n") + F.col("n") / 2))
     return won.groupBy(*by).agg(F.try_divide(F.sum("u"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
@@ -93,8 +93,10 @@ def kappa(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
 
 def latency_stats(rows: DataFrame) -> DataFrame:
     """Median, 95th percentile and mean of ms overall and per length bucket."""
-    out = rows.groupingSets([["detector"], ["detector", "bucket"]], "detector", "bucket")
-    return out.agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.avg("ms").alias("mean_ms"), F.count(F.lit(1)).alias("n")).select("detector", F.coalesce("bucket", F.lit("all")).alias("bucket"), F.col("q")[0].alias("median_ms"), F.col("q")[1].alias("p95_ms"), "mean_ms", "n")
+    both = rows.select("detector", F.explode(F.array(F.lit("all"), F.col("bucket"))).alias("bucket"), "ms").where("bucket is not null")
+    mean = both.groupBy("detector", "bucket").agg(F.avg("ms").alias("mean_ms"))
+    q = quantiles(both, ["detector", "bucket"], "ms", [0.5, 0.95])
+    return q.join(mean, ["detector", "bucket"]).select("detector", "bucket", F.col("q")[0].alias("median_ms"), F.col("q")[1].alias("p95_ms"), "mean_ms", "n")
 
 
 def multi_seed(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.operators import metrics, split, threshold
+from sievelight.operators.ordered import quantiles, wide_quantiles
 
 #: How far a rounded printed number may be from the computed one.
 ROUNDING = 0.0051
@@ -50,7 +51,7 @@ def check_claims(claims: DataFrame, facts: DataFrame, tolerance: float = ROUNDIN
 def stage_order(latency: DataFrame, order: list[str]) -> DataFrame:
     """(stage, median_ms, place): the cheapest median first, ties in the given order (C2). Latency has (detector, ms)."""
     ranks = F.create_map(*(x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))))
-    med = latency.groupBy(F.col("detector").alias("stage")).agg(F.percentile("ms", 0.5).alias("median_ms"))
+    med = quantiles(latency, ["detector"], "ms", [0.5]).select(F.col("detector").alias("stage"), F.col("q")[0].alias("median_ms"))
     return med.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("median_ms", F.coalesce(F.element_at(ranks, F.col("stage")), F.lit(len(order))), "stage")))  # a row per stage
 
 
@@ -80,7 +81,8 @@ def generator_style(control: Column, classifier: Column, least: float = 0.8) ->
 
 def clear_thresholds(train: DataFrame, stages: list[str], q: float) -> DataFrame:
     """One row: for each stage but the last the q-quantile of poisoned training scores, under which a document is cleared (T5)."""
-    return train.where("label = 1").agg(*(F.percentile(s, q).alias(s) for s in stages[:-1]))
+    found = wide_quantiles(train.where("label = 1"), stages[:-1], [q])
+    return found.select(*(F.col(s)[0].alias(s) for s in stages[:-1]))
 
 
 def blind_audit(rows: DataFrame, per_cell: int = 20, seed: str = "42") -> DataFrame:

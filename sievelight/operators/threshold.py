@@ -1,14 +1,16 @@
 """Thresholds from clean-score quantiles, sweeps, conformal ranks and calibration bounds.
 
-Sorted passes over scores work on counts of distinct scores, combined before the shuffle. Where a running total over all
-distinct scores is needed the scores of one method stay in one window, whose rows are distinct scores, not documents.
+Sorted passes over scores work on counts of distinct scores, combined before the shuffle, and on running sums over ranges of them
+(``ordered``), so no task holds all scores of a method.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators.ordered import at_place, at_rank, counted, quantiles, running
+
 BUDGETS = [0.1, 0.05, 0.02, 0.01, 0.005, 0.001]
 
 
@@ -20,8 +22,8 @@ def long_scores(wide: DataFrame, methods: list[str], keep: list[str]) -> DataFra
 
 def at_budgets(scores: DataFrame, budgets: list[float] = BUDGETS) -> DataFrame:
     """(method, budget, thr): the (1 - budget) quantile of the clean scores, linear between ranks; flag strictly above."""
-    thr = scores.where("label = 0").groupBy("method").agg(F.percentile("score", F.array(*(F.lit(1 - b) for b in budgets))).alias("t"))
-    return thr.select("method", F.explode(F.map_from_arrays(F.array(*map(F.lit, budgets)), "t")).alias("budget", "thr"))
+    thr = quantiles(scores.where("label = 0"), ["method"], "score", [1 - b for b in budgets])
+    return thr.select("method", F.explode(F.map_from_arrays(F.array(*map(F.lit, budgets)), "q")).alias("budget", "thr"))
 
 
 def rates(scores: DataFrame, thresholds: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -47,11 +49,11 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 
 def cumulative(scores: DataFrame) -> DataFrame:
-    """Per method and distinct score s: documents of each label with a score >= s, and the totals."""
+    """Per method and distinct score s: documents of each label with a score >= s, the totals, and the next smaller score."""
     per = scores.groupBy("method", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down = Window.partitionBy("method").orderBy(F.desc("score"))
-    every = Window.partitionBy("method")
-    return per.select("method", "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
+    run = running(per, ["method"], "score", ["p", "n"])
+    above = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    return run.select("method", "score", above("p").alias("tp"), above("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"), "previous")
 
 
 def best_f1(scores: DataFrame) -> DataFrame:
@@ -60,8 +62,7 @@ def best_f1(scores: DataFrame) -> DataFrame:
     A cut between scores a < b flags what is >= b, so each distinct score b stands for the midpoint below it.
     """
     c = cumulative(scores)
-    up = Window.partitionBy("method").orderBy("score")
-    cuts = c.withColumn("thr", F.coalesce((F.lag("score").over(up) + F.col("score")) / 2, F.col("score") - 1e-9)).select("method", "thr", "tp", "fp", "pos", "neg")
+    cuts = c.withColumn("thr", F.coalesce((F.col("previous") + F.col("score")) / 2, F.col("score") - 1e-9)).select("method", "thr", "tp", "fp", "pos", "neg")
     top = c.groupBy("method").agg((F.max("score") + 1e-9).alias("thr"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     f1 = _ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos"))
     scored = cuts.unionByName(top).withColumn("f1", f1).withColumn("fpr", _ratio(F.col("fp"), F.col("neg")))
@@ -71,19 +72,14 @@ def best_f1(scores: DataFrame) -> DataFrame:
 
 def at_fpr(scores: DataFrame, most: float = 0.05) -> DataFrame:
     """(method, at): the clean score of rank floor(most * n) from the top; flag strictly above it. Null: no clean score."""
-    clean = scores.where("label = 0").groupBy("method", "score").agg(F.count(F.lit(1)).alias("k"))
-    down = Window.partitionBy("method").orderBy(F.desc("score"))
-    run = clean.withColumn("upto", F.sum("k").over(down)).withColumn("n", F.sum("k").over(Window.partitionBy("method")))
-    return run.where(F.col("upto") > F.floor(F.col("n") * most)).groupBy("method").agg(F.max("score").alias("at"))
+    rank = F.col("k_all") - 1 - F.floor(F.col("k_all") * most)
+    return counted(scores.where("label = 0"), ["method"], "score").groupBy("method").agg(at_rank("score", rank).alias("at"))
 
 
 def conformal(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(method, m, thr): the ceil((m + 1)(1 - alpha))-th smallest clean score; null if that rank is past the last."""
-    clean = scores.where("label = 0").groupBy("method", "score").agg(F.count(F.lit(1)).alias("k"))
-    up = Window.partitionBy("method").orderBy("score")
-    run = clean.withColumn("upto", F.sum("k").over(up)).withColumn("m", F.sum("k").over(Window.partitionBy("method")))
-    rank = F.ceil(F.round((F.col("m") + 1) * (1 - alpha), 9))
-    return run.groupBy("method").agg(F.max("m").alias("m"), F.min(F.when(F.col("upto") >= rank, F.col("score"))).alias("thr"))
+    rank = F.ceil(F.round((F.col("k_all") + 1) * (1 - alpha), 9))
+    return counted(scores.where("label = 0"), ["method"], "score").groupBy("method").agg(F.max("k_all").alias("m"), at_rank("score", rank - 1).alias("thr"))
 
 
 def grid_f1(scores: DataFrame, steps: int = 20) -> DataFrame:
@@ -112,15 +108,14 @@ def minmax(scores: DataFrame, clip: bool = True) -> DataFrame:
 
 
 def anchor_shift(scores: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """(method, lo, hi, shift): quantile bounds, and their mean absolute change when the smallest or largest score is left out."""
-    w = Window.partitionBy("method")
-    ranked = scores.withColumn("a", F.row_number().over(w.orderBy("score", "id"))).withColumn("z", F.row_number().over(w.orderBy(F.desc("score"), "id")))
-
-    def q(cond: Column) -> list[Column]:
-        return [F.percentile(F.when(cond, F.col("score")), F.lit(p)) for p in (low, high)]
+    """(method, lo, hi, shift): quantile bounds, and their mean absolute change when the smallest or largest score is left out.
 
-    parts = [*q(F.lit(True)), *q(F.col("a") > 1), *q(F.col("z") > 1)]
-    out = ranked.groupBy("method").agg(*(c.alias(f"q{i}") for i, c in enumerate(parts)))
+    Without the smallest score every rank is one higher, without the largest they stay; all are places of one running count.
+    """
+    n = F.col("k_all")
+    at = lambda p, left, first: at_place("score", (n - 1 - left) * F.lit(p) + first)
+    parts = [at(p, left, first) for left, first in ((0, 0), (1, 1), (1, 0)) for p in (low, high)]
+    out = counted(scores, ["method"], "score").groupBy("method").agg(*(c.alias(f"q{i}") for i, c in enumerate(parts)))
     shift = sum((F.abs(F.col(f"q{i}") - F.col(f"q{i % 2}")) for i in (2, 3, 4, 5)), F.lit(0.0)) / 4
     return out.select("method", F.col("q0").alias("lo"), F.col("q1").alias("hi"), shift.alias("shift"))
 

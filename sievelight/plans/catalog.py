@@ -164,7 +164,7 @@ def loso_partition(spark, d):
 
 @query(f"WITH {SIGNALS} SELECT id, pattern FROM signals")
 def pattern_score(spark, d):
-    return signals(spark, d).select("id", "pattern")
+    return signals(spark, d, text=True).select("id", "pattern")
 
 
 @query(f"""WITH {POOL}, m AS (SELECT attack_type, list_sort([x FOR x IN {pattern_list_sql('text')} IF x IS NOT NULL], 'DESC') AS m FROM pool),
@@ -568,7 +568,7 @@ def lr_auc_by_features(spark, d):
 @query()
 def loso_transfer(spark, d):
     """AUC of a model fitted without a source on that source."""
-    s = written(spark, d, "signals", signals).withColumn("label", F.col("label").cast("double"))
+    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
     out = None
     for held in ("src0", "src1", "src2"):
         model = learn.fit_logistic(s.where(F.col("source") != held), METHODS)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.patterns import pattern_score
 from sievelight.operators import fluency, metrics, report, segmented, split, threshold
+from sievelight.operators.ordered import wide_quantiles
 from sievelight.plans.base import METHODS, POOL, SIGNALS, _pattern_sql, draw_sql, pool, signals, written, written_part
 from sievelight.plans.catalog import METRICS_SQL, SPLIT, _assigned, auc_sql, query, r6, rates_sql
 from sievelight.schema import draw
@@ -27,7 +28,7 @@ def _make_scores(spark, d) -> DataFrame:
     model = fluency.UnigramModel.fit(baseline)
     ppl = fluency.perplexity(rows.select("id", "text"), model).select("id", "perplexity", F.col("n_tokens"))
     kept = written_part(spark, ppl)
-    band = kept.join(baseline.select("id"), "id", "left_semi").agg(F.percentile("perplexity", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).first()["q"] or [1.0, 2.0]
+    band = wide_quantiles(kept.join(baseline.select("id"), "id", "left_semi"), ["perplexity"], [0.05, 0.95]).first()[0] or [1.0, 2.0]
     low, high = band[0] / 2, band[1]
     smooth = kept.select("id", F.expr("perplexity"), fluency.perplexity_score(F.col("perplexity"), low, high).alias("fluency"))
     out = rows.withColumn("pattern", pattern_score(F.col("text"))).drop("text").join(near.select("id", "segments", F.col("max_score").alias("embedding"), "blended"), "id").join(smooth, "id")
@@ -53,8 +54,8 @@ sv AS (SELECT id, {_UNIT} AS v FROM (SELECT id, {_VEC} AS v FROM (SELECT id, {_H
 bv AS (SELECT {_UNIT} AS v FROM (SELECT {_VEC} AS v FROM (SELECT {_HASHES} AS h FROM (SELECT text AS t FROM kept WHERE role = 'baseline')))),
 near AS (SELECT id, greatest(0, least(1, (1 - max(list_dot_product(sv.v, bv.v))) / 2)) AS a FROM (SELECT id, v, row_number() OVER () AS r FROM sv) sv, bv GROUP BY id, r),
 emb AS (SELECT id, count(*) AS segments, max(a) AS embedding, 0.5 * max(a) + 0.5 * avg(a) AS blended FROM near GROUP BY id),
-tok AS (SELECT id, role, regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+')[1:1024] AS w FROM kept),
-lm AS (SELECT w, count(*) AS k FROM (SELECT unnest(w) AS w FROM tok WHERE role = 'baseline') GROUP BY w), lt AS (SELECT sum(k)::DOUBLE AS n, count(*) AS v FROM lm),
+every AS (SELECT id, role, regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+') AS w FROM kept), tok AS (SELECT id, role, w[1:1024] AS w FROM every),
+lm AS (SELECT w, count(*) AS k FROM (SELECT unnest(w) AS w FROM every WHERE role = 'baseline') GROUP BY w), lt AS (SELECT sum(k)::DOUBLE AS n, count(*) AS v FROM lm),
 ppl AS (SELECT id, exp(-avg(ln((coalesce(k, 0) + 1) / (n + v + 1)))) AS p FROM (SELECT id, unnest(w) AS w FROM tok WHERE len(w) >= 2) LEFT JOIN lm USING (w), lt GROUP BY id),
 band AS (SELECT quantile_cont(p, 0.05) / 2 AS lo, quantile_cont(p, 0.95) AS hi FROM ppl JOIN tok USING (id) WHERE role = 'baseline'),
 flu AS (SELECT kept.id, CASE WHEN p IS NULL THEN 0 WHEN p < lo THEN least(1, (lo - p) / lo) WHEN p > hi THEN least(1, (p - hi) / hi) ELSE 0 END AS fluency FROM kept LEFT JOIN ppl USING (id), band),
@@ -218,7 +219,7 @@ SELECT attack_type, round(control, 6) AS control, round(classifier, 6) AS classi
 def generator_style(spark, d):
     """Whether a control's recall comes near the classifier's, per attack."""
     s = signals(spark, d)
-    thr = s.where("label = 0").agg(F.percentile("embedding", 0.95).alias("e"), F.percentile("sentence", 0.95).alias("c"))
+    thr = wide_quantiles(s.where("label = 0"), ["embedding", "sentence"], [0.95]).select(F.col("embedding")[0].alias("e"), F.col("sentence")[0].alias("c"))
     rows = s.where("label = 1").join(F.broadcast(thr)).groupBy("attack_type").agg(F.avg((F.col("embedding") > F.col("e")).cast("int")).alias("control"), F.avg((F.col("sentence") > F.col("c")).cast("int")).alias("classifier"))
     return r6(rows.withColumn("reads", report.generator_style(F.col("control"), F.col("classifier"))), "control", "classifier")
 

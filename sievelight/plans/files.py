@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.operators import learn, metrics, split, threshold
-from sievelight.plans.base import METHODS, SCALE, draw_sql, shared_folder, signals, table, unit, written, written_part
+from sievelight.plans.base import METHODS, SCALE, draw_sql, signals, table, unit, written, written_part
 from sievelight.plans.catalog import query, r6
 from sievelight.schema import ROW, make_rows
+from sievelight.shared import shared_folder
 from sievelight.sources import external, readers
 from sievelight.streaming import tables
 
@@ -177,7 +178,7 @@ def one_shot_results(spark, d):
 def _seven(spark, d) -> tuple[DataFrame, object, list[str]]:
     """All seven methods for every document (L5, L7): training rows out of fold, others by the model fitted on all training rows."""
     raw = ["pattern", "embedding", "perplexity"]
-    s = written(spark, d, "signals", signals).withColumn("label", F.col("label").cast("double"))
+    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
     bounds = s.where("role = 'train'").agg(*(x for c in raw for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
     scale = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - bounds[f"lo_{c}"]) / ((bounds[f"hi_{c}"] - bounds[f"lo_{c}"]) or 1.0)))
     s = s.withColumns({f"cal_{c}": scale(c) for c in raw})
@@ -224,7 +225,7 @@ def learned_fusion(spark, d):
 @query()
 def adaptation_attacks(spark, d):
     """A held-out domain with 20 of its clean documents and k of its attacks added to training (L12): AUC on the rest."""
-    s = written(spark, d, "signals", signals).withColumn("label", F.col("label").cast("double"))
+    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
     held, out = s.where("domain = 'fr'"), None
     clean = split.draw_groups(held.where("label = 0"), 20).select("group")
     for k in (0, 5, 10, 20, 40):

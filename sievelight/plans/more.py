@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import fusion, text as T
 from sievelight.operators import bootstrap, cascade, inject, learn, metrics, sentence, similarity, split, threshold, windows
+from sievelight.operators.ordered import wide_quantiles
 from sievelight.plans.base import POOL, SCALE, SIGNALS, draw_sql, pool, scores, signals, table, written, written_part
 from sievelight.plans.catalog import LEVELS, METRICS_SQL, MS, SIM, SPLITS, STAGES, _vectors, query, r6, rates_sql
 from sievelight.schema import draw, source_group
@@ -139,7 +140,7 @@ k AS (SELECT design, {rates_sql('flag', '')}, avg([0.12, 1.72, 32.86][x + 1]::DO
 SELECT design, round(tp::DOUBLE / (tp + fn), 6) AS tpr, round(fp::DOUBLE / (fp + tn), 6) AS fpr, round(a, 6) AS ms_clean, round(b, 6) AS ms_poisoned, round(0.99 * a + 0.01 * b, 6) AS ms_prev_0_01, round(0.999 * a + 0.001 * b, 6) AS ms_prev_0_001, 32.86::DOUBLE AS ms_all FROM k""")
 def cascade_designs(spark, d):
     """A (OR) and B (clear early) at a 5 per cent budget: split, rates and cost on val."""
-    s = written(spark, d, "signals", signals)
+    s = signals(spark, d)
     train, val, out = s.where("role = 'train'"), s.where("role = 'val'"), None
     best = cascade.choose_split(train, STAGES, 0.05).first()
     thr = cascade.unit_thresholds(train, STAGES, 0.05).first()
@@ -147,8 +148,8 @@ def cascade_designs(spark, d):
     for q in (None, 0.01, 0.02, 0.05):
         clear = None
         if q is not None:
-            row = train.where("label = 1").agg(*(F.percentile(n, q).alias(n) for n in STAGES[:-1])).first()
-            clear = {n: F.lit(row[n]) for n in STAGES[:-1]}
+            row = wide_quantiles(train.where("label = 1"), STAGES[:-1], [q]).first()
+            clear = {n: F.lit(row[n][0]) for n in STAGES[:-1]}
         sim = cascade.simulate(val, STAGES, flag, clear)
         rate = threshold.confusion(sim, []).select(F.round("recall", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
         part = rate.crossJoin(cascade.expected_ms(sim, MS)).withColumn("design", F.lit("A" if q is None else f"B {q:.0%}"))  # two one-row tables
@@ -181,7 +182,7 @@ FROM fr, (SELECT coalesce(min(v), 'infinity'::DOUBLE) AS thr FROM (SELECT senten
 {' UNION ALL '.join(map(_adaptation_sql, (20, 40, 60)))}""")
 def adaptation_conformal(spark, d):
     """Conformal thresholds of a held-out domain from 20, 40 and 60 of its clean documents, their groups left out."""
-    s = written(spark, d, "signals", signals).where("domain = 'fr'")
+    s = signals(spark, d).where("domain = 'fr'")
     out = None
     for m in (20, 40, 60):
         drawn = split.draw_groups(s.where("label = 0"), m).select("group")
