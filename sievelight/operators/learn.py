@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.shared import saved
+
 TOKEN = r"(?U)(\w\w+)"
 
 
@@ -22,14 +24,15 @@ def term_frequencies(rows: DataFrame, key: str = "id", text: str = "text") -> Da
 def tfidf(rows: DataFrame, key: str = "id", text: str = "text", min_df: int = 3) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length one per row.
 
-    df and n are aggregates; the vocabulary stays a table and joins on the term.
+    The frequencies are written once; df and n are aggregates, the vocabulary stays a table and joins on the term, and a row's
+    length is a window over its own terms.
     """
-    tf = term_frequencies(rows, key, text)
+    tf = saved(term_frequencies(rows, key, text), "terms")
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 def term_document_frequency(rows: DataFrame, least: int = 3) -> DataFrame:
