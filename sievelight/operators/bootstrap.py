@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.schema import draw
+from sievelight.shared import saved
 
-#: Groups, or distinct rows of statistics, that may reach the driver.
+#: Groups whose draws are made one by one, as SQL makes them.
 MOST = 10_000
+STATS = ["n_pos", "n_neg", "f_pos", "f_neg"]
+#: Rows of statistics that are drawn from at a time, in all replicates.
+DRAWN_ROWS = 2_048
 
 
 def group_statistics(flagged: DataFrame, group: str = "group") -> DataFrame:
@@ -20,39 +27,79 @@ def group_statistics(flagged: DataFrame, group: str = "group") -> DataFrame:
 def replicates(stats: DataFrame, reps: int = 1000, seed: str = "0") -> DataFrame:
     """(rep, tpr, fpr) of ``reps`` resamples of groups with replacement; replicates that lack a class are left out.
 
-    For groups that are few, such as sources: every draw is a row, md5 of replicate and place, so that SQL can make the same. For
-    documents or other groups without bound use ``resample``. Over ``MOST`` groups are an error.
+    For groups that are few, such as sources, every draw is md5 of replicate and place, so that SQL can make the same; a
+    replicate is one row, whose draws are an array. Over ``MOST`` groups ``resample`` draws by the same law from its own numbers.
     """
     listed = stats.orderBy("g").limit(MOST + 1).collect()  # a row per group
     if len(listed) > MOST:
-        raise ValueError(f"over {MOST} groups: resample() draws counts per distinct statistics")
-    spark, total = stats.sparkSession, len(listed)
-    numbered = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(listed)], "i long, n_pos long, n_neg long, f_pos long, f_neg long")
-    places = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))).alias("place"))
-    drawn = places.withColumn("i", F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), F.col("place").cast("string")), F.lit(max(total, 1))))
-    sums = drawn.join(F.broadcast(numbered), "i").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("n_pos", "n_neg", "f_pos", "f_neg")))
-    return _rates(sums)
+        return resample(stats, reps, int.from_bytes(seed.encode(), "big"))
+    total = len(listed)
+    held = stats.sparkSession.createDataFrame([[[r[c] for r in listed] for c in STATS]], ", ".join(f"_{c} array<long>" for c in STATS))
+    places = F.sequence(F.lit(0), F.lit(max(total - 1, 0)))
+    drawn = stats.sparkSession.range(reps).select(F.col("id").alias("rep"), F.transform(places, lambda p: F.pmod(draw(F.lit(seed), F.col("id").cast("string"), p.cast("string")), F.lit(max(total, 1)))).alias("i"))
+
+    def added(c: str):
+        return F.aggregate("i", F.lit(0).cast("long"), lambda total, i: total + F.coalesce(F.get(F.col(f"_{c}"), i.cast("int")), F.lit(0))).alias(c)
+
+    return _rates(drawn.join(F.broadcast(held)).select("rep", *map(added, STATS)))
 
 
 def _rates(sums: DataFrame) -> DataFrame:
     return sums.where("n_pos > 0 and n_neg > 0").select("rep", (F.col("f_pos") / F.col("n_pos")).alias("tpr"), (F.col("f_neg") / F.col("n_neg")).alias("fpr"), "n_pos", "n_neg", "f_pos", "f_neg")
 
 
+def share(weights: np.ndarray, n: int, part: int, reps: int, seed: int) -> np.ndarray:
+    """How many of ``n`` draws fall to ``part`` in each replicate, by the parts' weights.
+
+    A multinomial draw as a tree of binomial ones: the first half of the parts gets its number by their weights, and so on
+    down to the part; each split is seeded with its place, so every task finds the same numbers without seeing the others.
+    """
+    ends = np.concatenate([[0], np.cumsum(weights)])
+    left, lo, hi = np.full(reps, n, np.int64), 0, len(weights)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        whole = ends[hi] - ends[lo]
+        first = np.random.default_rng([seed, lo, hi]).binomial(left, (ends[middle] - ends[lo]) / whole if whole else 0.0)
+        left, lo, hi = (first, lo, middle) if part < middle else (left - first, middle, hi)
+    return left
+
+
+def _drawn(weights: list[int], n: int, reps: int, seed: int):
+    """(rep, sums of the statistics) over the draws that fall to a task's rows (part, k, statistics)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, left, rest, rng = np.zeros((reps, len(STATS)), np.int64), None, 0, None
+        for b in batches:
+            for lo in range(0, b.num_rows, DRAWN_ROWS):
+                rows = b.slice(lo, DRAWN_ROWS)
+                k = rows.column(1).to_numpy()
+                if left is None:
+                    part = rows.column(0)[0].as_py()
+                    left, rest, rng = share(np.array(weights), n, part, reps, seed), weights[part], np.random.default_rng([seed, part])
+                own = int(k.sum())
+                here = rng.binomial(left, own / rest)
+                sums += rng.multinomial(here, k / own) @ np.stack([rows.column(2 + i).to_numpy() for i in range(len(STATS))], axis=1)
+                left, rest = left - here, rest - own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), *(pa.array(sums[:, i]) for i in range(len(STATS)))], names=["rep", *STATS])
+
+    return run
+
+
 def resample(stats: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
-    """The same as ``replicates`` for any number of groups: groups with equal statistics are interchangeable, so a replicate is a
-    multinomial draw of how often each distinct row of statistics is taken. Only distinct rows reach the driver, and over ``MOST`` of
-    them are an error; documents have four.
+    """The same as ``replicates`` for any number of groups, however unlike, by one pass over them.
+
+    Groups with equal statistics are interchangeable and counted first. A replicate is a multinomial draw over what is left: its
+    numbers for the partitions come from a tree of binomial draws, then each task draws for its own rows and returns one sum
+    per replicate. Only the partitions' weights come to the driver.
     """
     spark = stats.sparkSession
-    cells = stats.groupBy("n_pos", "n_neg", "f_pos", "f_neg").agg(F.count(F.lit(1)).alias("k")).orderBy("n_pos", "n_neg", "f_pos", "f_neg").limit(MOST + 1).collect()
-    if len(cells) > MOST:
-        raise ValueError(f"over {MOST} distinct rows of statistics")
-    if not cells:
+    cells = saved(stats.groupBy(*STATS).agg(F.count(F.lit(1)).alias("k")), "cells").select(F.spark_partition_id().alias("part"), "k", *STATS)
+    per = {r["part"]: r["k"] for r in cells.groupBy("part").agg(F.sum("k").alias("k")).collect()}  # a number per partition
+    if not per:
         return _rates(spark.createDataFrame([], "rep long, n_pos long, n_neg long, f_pos long, f_neg long"))
-    rows = np.array([[c["n_pos"], c["n_neg"], c["f_pos"], c["f_neg"]] for c in cells], np.int64)
-    k = np.array([c["k"] for c in cells], np.int64)
-    taken = np.random.default_rng(seed).multinomial(k.sum(), k / k.sum(), size=reps) @ rows
-    return _rates(spark.createDataFrame([(i, *r) for i, r in enumerate(taken.tolist())], "rep long, n_pos long, n_neg long, f_pos long, f_neg long"))
+    weights = [per.get(p, 0) for p in range(max(per) + 1)]
+    sums = cells.mapInArrow(_drawn(weights, sum(weights), reps, seed), ", ".join(f"{c} long" for c in ("rep", *STATS)))
+    return _rates(sums.groupBy("rep").agg(*(F.sum(c).alias(c) for c in STATS)))
 
 
 def out_of_bag_f1(scores: DataFrame, steps: int = 20, reps: int = 1000, seed: int = 0) -> DataFrame:
