@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.operators.ordered import running
 from sievelight.schema import draw
+from sievelight.shared import saved
 
+#: A table of at most so many rows is broadcast; a larger one is shuffled.
+SMALL = 65_536
 ROLES = ["baseline", "train", "val", "test"]
 
 
@@ -88,22 +92,50 @@ def role_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("source", "label").pivot("role", [*ROLES, "dropped"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-def group_folds(rows: DataFrame, k: int = 5, group: str = "group") -> DataFrame:
-    """(group, fold): groups by falling size, each to the lightest fold.
+def fill(loads: list[int], size: int, count: int) -> tuple[list[int], list[list[int]]]:
+    """Deals ``count`` equal groups of ``size`` rows, one by one, each to the lightest fold (the first of equally light ones).
 
-    The greedy fold is sequential over the sizes, not the rows. Groups of equal size form runs; within a run the order is the
-    group's. Sizes and names of groups are one array in one task, the single unavoidable sequential part of this operator.
+    Fold f takes a group at the loads L, L + size, L + 2 size and so on, so groups go to these places in their order. Between two
+    neighbouring loads of the sorted folds only the lighter ones have places, each one in every stretch of ``size``, so there the
+    folds take turns in a fixed order. Returns where each such phase starts, in numbers of groups, and its order; ``loads``
+    is brought up to date.
     """
-    sizes = rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    listed = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "g"))).alias("a"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<struct<g:string,fold:int>>").alias("out"))
+    sorted_loads, was, left = sorted(set(loads)), list(loads), count
+    starts, orders = [], []
+    for i, low in enumerate(sorted_loads):
+        high = sorted_loads[i + 1] if i + 1 < len(sorted_loads) else None
+        first = {f: was[f] - (was[f] - low) // size * size for f in range(len(was)) if was[f] <= low}  # its first place from low on
+        order = sorted(first, key=lambda f: (first[f], f))
+        places = [left if high is None else max(0, -((first[f] - high) // size)) for f in order]
+        taken = min(left, sum(places))
+        starts.append(count - left)
+        orders.append(order)
+        for turn, f in enumerate(order):
+            loads[f] += size * (taken // len(order) + (turn < taken % len(order)))
+        left -= taken
+        if not left:
+            break
+    return starts, orders
+
 
-    def step(acc, x):
-        lightest = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda v, i: F.when(i == lightest - 1, v - x["m"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(acc["out"], F.struct(x["g"].alias("g"), (lightest - 1).alias("fold"))).alias("out"))
+def group_folds(rows: DataFrame, k: int = 5, group: str = "group") -> DataFrame:
+    """(group, fold): groups by falling size, by name among equal ones, each to the lightest fold.
 
-    return listed.select(F.explode(F.aggregate("a", start, step)["out"]).alias("x")).select(F.col("x.g").alias(group), F.col("x.fold").alias("fold"))
+    The greedy order is followed over runs of equal sizes only: a few numbers a run say which ranks go where (``fill``), and a
+    group finds its fold by its rank in the run, which comes from ``ordered.running``. The driver gets one row per distinct size;
+    the sum of n different sizes is n * (n + 1) / 2 rows at least, so there are fewer than the root of twice the rows.
+    """
+    spark = rows.sparkSession
+    sizes = saved(rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")), "groups")
+    loads, plan = [0] * k, []
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect():
+        plan.append((r["n"], *fill(loads, r["n"], r["c"])))
+    runs = spark.createDataFrame(plan, "n long, starts array<long>, orders array<array<int>>")
+    ranked = running(sizes.withColumn("one", F.lit(1)), ["n"], "g", ["one"]).select("n", "g", (F.col("one_upto") - 1).alias("rank"))
+    phase = F.size(F.filter("starts", lambda x: x <= F.col("rank"))) - 1
+    order, turn = F.get("orders", phase), F.col("rank") - F.get("starts", phase)
+    placed = ranked.join(F.broadcast(runs) if len(plan) <= SMALL else runs, "n")
+    return placed.select(F.col("g").alias(group), F.get(order, F.pmod(turn, F.size(order)).cast("int")).alias("fold"))
 
 
 def stratified_folds(rows: DataFrame, k: int = 5, seed: str = "42", by: str = "label") -> DataFrame:
