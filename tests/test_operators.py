@@ -276,7 +276,7 @@ def test_sentence_vocabulary_has_all_terms(spark):
     rows = [(d, " ".join(" ".join(f"w{(d * 55 + u) * 50 + i}" for i in range(50)) + "." for u in range(55)), d % 2) for d in range(50)]
     df = spark.createDataFrame(rows, "id int, text string, label int")
     terms = sentence.units_of(df, ["id"]).select(F.explode("tokens")).distinct().count()
-    assert len(sentence.fit(df, min_df=1).counter.vocabulary) == terms > 1 << 18
+    assert sentence.vocabulary_of(sentence.units_of(df, ["id"]), 1).count() == terms > 1 << 18
 
 
 def test_corrupt_keeps_all_words(spark):
