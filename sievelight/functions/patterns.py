@@ -31,27 +31,41 @@ NONE = "no known injection patterns found"
 #: What a text must have, in lower case, for the pattern of that place to occur; plain searches that spare most texts the expressions.
 NEEDED = [["instructions"], ["you are now"], ["system"], ["disable"], ["send"], ["polic"], ["do not"], ["as an ai"], ["default"], ["hardcod", "preconfigur"], ["your", "assistant"]]
 #: Letters that equal ASCII ones without regard to case but aren't in lower case; a text with one is always tested.
-FOLDED = "[\u017f\u0131\u0130\u212a]"
+FOLDED = ["\u017f", "\u0131", "\u0130", "\u212a"]
+#: Put before an expression that would look back at every place of a text: the letters that it can begin with.
+BEGINS = {10: "(?=[yt])"}
+
+
+def bound(text: Column, make) -> Column:
+    """``make`` of struct(text, low, odd): the text, in lower case, and whether it has a letter of ``FOLDED``; each is made once a row."""
+    odd = F.lit(False)
+    for letter in FOLDED:
+        odd = odd | text.contains(letter)
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"), odd.alias("odd"))), make)[0]
+
+
+def found(x: Column, place: int) -> Column:
+    may = x["odd"]
+    for word in NEEDED[place]:
+        may = x["low"].contains(word) | may
+    return may & x["text"].rlike("(?iU)" + BEGINS.get(place, "") + PATTERNS[place][0])
 
 
 def occurs(text: Column, place: int) -> Column:
     """Whether the pattern of that place occurs in the text."""
-    low = F.lower(text)
-    may = text.rlike(FOLDED)
-    for word in NEEDED[place]:
-        may = low.contains(word) | may
-    return may & text.rlike("(?iU)" + PATTERNS[place][0])
+    return bound(text, lambda x: found(x, place))
 
 
 def matched(text: Column) -> Column:
-    """Array of struct(weight, reason) of the patterns that occur, strongest first, in the bank's order among equals."""
-    tested = F.array(*(F.when(occurs(text, i), F.struct(F.lit(w).alias("weight"), F.lit(r).alias("reason"), F.lit(-i).alias("place"))) for i, (_, w, r) in enumerate(PATTERNS)))
-    return F.sort_array(F.transform(F.array_compact(tested), lambda x: F.struct(x["weight"].alias("weight"), x["place"].alias("place"), x["reason"].alias("reason"))), asc=False)
+    """Array of struct(weight, place, reason) of the patterns that occur, strongest first, in the bank's order among equals."""
+    kind = lambda i, w, r: F.struct(F.lit(w).alias("weight"), F.lit(-i).alias("place"), F.lit(r).alias("reason"))
+    tested = bound(text, lambda x: F.array(*(F.when(found(x, i), kind(i, w, r)) for i, (_, w, r) in enumerate(PATTERNS))))
+    return F.sort_array(F.array_compact(tested), asc=False)
 
 
 def pattern_score(text: Column) -> Column:
     """The largest weight of the patterns that occur, 0 without any; null text has none."""
-    return F.greatest(F.lit(0.0), *(F.when(occurs(text, i), F.lit(w)).otherwise(F.lit(0.0)) for i, (_, w, _) in enumerate(PATTERNS)))
+    return bound(text, lambda x: F.greatest(F.lit(0.0), *(F.when(found(x, i), F.lit(w)).otherwise(F.lit(0.0)) for i, (_, w, _) in enumerate(PATTERNS))))
 
 
 def pattern_result(text: Column) -> Column:

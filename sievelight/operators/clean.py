@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import strip
 from sievelight.operators.ordered import at_rank, counted, quantiles
+from sievelight.shared import saved
+
+
+def _key() -> Column:
+    return F.sha2(strip(F.col("text")), 256).alias("_key")
+
+
+def _judged(keyed: DataFrame, order: str) -> DataFrame:
+    per = keyed.groupBy("_key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min(order).alias("_first"))
+    fate = F.when(F.col("_lo") < F.col("_hi"), "conflict").when(F.col(order) == F.col("_first"), "kept").otherwise("dup")
+    return keyed.join(per, "_key").withColumn("fate", fate).drop("_key", "_lo", "_hi", "_first")
 
 
 def dedupe(rows: DataFrame, order: str = "id") -> DataFrame:
     """Adds ``fate``: ``conflict`` if the stripped text has two labels, else ``kept`` for the first of (text, label), else ``dup``.
 
-    Texts are compared by the SHA-256 of the stripped text, so the shuffle moves digests. The first row and the labels of a
+    Texts are compared by the SHA-256 of the stripped text, so groups are made of digests. The first row and the labels of a
     text are aggregates, combined before the shuffle; a text that a third of all rows share is one group of them.
     """
-    keyed = rows.withColumn("_key", F.sha2(strip(F.col("text")), 256))
-    per = keyed.groupBy("_key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min(order).alias("_first"))
-    return (
-        keyed.join(per, "_key")
-        .withColumn("fate", F.when(F.col("_lo") < F.col("_hi"), "conflict").when(F.col(order) == F.col("_first"), "kept").otherwise("dup"))
-        .drop("_key", "_lo", "_hi", "_first")
-    )
+    return _judged(rows.select("*", _key()), order)
+
+
+def fates(rows: DataFrame, order: str = "id") -> DataFrame:
+    """(order, label, fate) of each row, as ``dedupe`` has it: texts are read once for their digests, which are written, and no text moves."""
+    return _judged(saved(rows.select(order, "label", _key()), "digests"), order)
 
 
 def repeated_ids(rows: DataFrame, key: str = "id") -> DataFrame:

@@ -54,8 +54,9 @@ p AS (SELECT *, min(label) OVER w AS lo, max(label) OVER w AS hi, min(id) OVER w
 SELECT CASE WHEN lo < hi THEN 'conflict' WHEN id = first THEN 'kept' ELSE 'dup' END AS fate, count(*) AS n, sum(id)::BIGINT AS ids FROM p GROUP BY 1""")
 def pool_dedupe_conflict(spark, d):
     p = pool(spark, d).select("id", "label", "text")
-    doubled = p.unionByName(p.where("id % 14 = 0").select((F.col("id") + 100000000).alias("id"), (1 - F.col("label")).alias("label"), "text"))
-    return clean.dedupe(doubled).groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    once, again = F.struct("id", "label"), F.struct((F.col("id") + 100000000).alias("id"), (1 - F.col("label")).alias("label"))
+    doubled = p.select(F.explode(F.when(F.col("id") % 14 == 0, F.array(once, again)).otherwise(F.array(once))).alias("x"), "text").select("x.id", "x.label", "text")
+    return clean.fates(doubled).groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 @query(f"""WITH {POOL} SELECT source, round(median(length) FILTER (label = 0), 6) AS clean_median, round(median(length) FILTER (label = 1), 6) AS poisoned_median,
