@@ -22,8 +22,8 @@ def unit_thresholds(train: DataFrame, stages: list[str], budget: float, units: i
     return q.select(*(F.col(s).alias(f"thr_{s}") for s in stages))
 
 
-def choose_split(train: DataFrame, stages: list[str], budget: float, units: int = 10) -> DataFrame:
-    """The split with the highest training recall; ties to the lower false-alarm rate, then to more budget earlier.
+def rated_splits(train: DataFrame, stages: list[str], budget: float, units: int = 10) -> DataFrame:
+    """(u1, u2, ..., recall, fpr): every split of the units with its training rates.
 
     A document matters only by the smallest number of units at which each stage flags it, so documents are first counted by
     that vector (at most (units + 2)^stages counts), and only those counts meet the splits.
@@ -38,12 +38,17 @@ def choose_split(train: DataFrame, stages: list[str], budget: float, units: int
         hit = hit | (F.col(f"u{i}") >= F.col(f"l_{s}"))
     us = [f"u{i}" for i in range(1, len(stages) + 1)]
     pos = F.col("label") == 1
-    scored = counted.crossJoin(F.broadcast(splits)).groupBy(*us).agg(
+    return counted.crossJoin(F.broadcast(splits)).groupBy(*us).agg(
         F.coalesce(F.try_divide(F.sum(F.when(pos & hit, F.col("k")).otherwise(0)), F.sum(F.when(pos, F.col("k")))), F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(F.sum(F.when(~pos & hit, F.col("k")).otherwise(0)), F.sum(F.when(~pos, F.col("k")))), F.lit(0.0)).alias("fpr"),
     )
+
+
+def choose_split(train: DataFrame, stages: list[str], budget: float, units: int = 10) -> DataFrame:
+    """The split with the highest training recall; ties to the lower false-alarm rate, then to more budget earlier."""
+    us = [f"u{i}" for i in range(1, len(stages) + 1)]
     best = F.max(F.struct("recall", (-F.col("fpr")).alias("low"), *us)).alias("b")
-    return scored.agg(best).select(*(F.col(f"b.{u}").alias(u) for u in us), F.col("b.recall").alias("train_recall"), (-F.col("b.low")).alias("train_fpr"))
+    return rated_splits(train, stages, budget, units).agg(best).select(*(F.col(f"b.{u}").alias(u) for u in us), F.col("b.recall").alias("train_recall"), (-F.col("b.low")).alias("train_fpr"))
 
 
 def _above(score: Column):
