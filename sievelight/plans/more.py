@@ -220,7 +220,13 @@ def style_control(spark, d):
     return r6(metrics.roc_auc(out.select(F.lit("style").alias("method"), "label", F.round("score", 9).alias("score")), ["method"]), "auc")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POOL}, t AS (SELECT id, length, row_number() OVER (ORDER BY length, id::VARCHAR) AS i FROM pool WHERE label = 1 AND source = 'src0'),
+c AS (SELECT list({{'n': length, 'k': id::VARCHAR}} ORDER BY length, id::VARCHAR) AS left_ FROM pool WHERE label = 0 AND source = 'src1'),
+f(i, left_, target, matched) AS (
+  SELECT 0::BIGINT, left_, NULL::BIGINT, NULL::VARCHAR FROM c UNION ALL
+  SELECT i, list_filter(left_, lambda x: x.k <> pick.k), id, pick.k FROM (
+    SELECT t.i, f.left_, t.id, list_sort(list_transform(f.left_, lambda x: {{'d': abs(x.n - t.length), 'n': x.n, 'k': x.k}}))[1] AS pick FROM f JOIN t ON t.i = f.i + 1 WHERE len(f.left_) > 0))
+SELECT target, matched::BIGINT AS matched FROM f WHERE i > 0""")
 def length_match(spark, d):
     """Greedy nearest-length matching of clean documents to the poisoned rows of one source."""
     p = pool(spark, d).where("source in ('src0', 'src1')")
