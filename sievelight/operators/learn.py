@@ -1,11 +1,11 @@
-"""TF-IDF, balanced logistic regression and out-of-fold scores on Spark ML."""
+"""TF-IDF, logistic regression over a few columns by Newton's method in aggregates, out-of-fold scores."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.shared import saved
@@ -42,37 +42,85 @@ def term_document_frequency(rows: DataFrame, least: int = 3) -> DataFrame:
     return out.where(F.col("clean") + F.col("poisoned") >= least)
 
 
-def fit_logistic(rows: DataFrame, features: list[str] | str, c: float = 1.0, balanced: bool = True, label: str = "label", iterations: int = 200, tol: float = 1e-10) -> LogisticRegressionModel:
-    """The L2 logistic regression of strength 1 / C on the sum of losses, optionally with class weights n / (2 n_c)."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    if len(counts) < 2:
-        raise ValueError("both labels are needed")
-    weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])) if balanced else F.lit(1.0)
-    ready = assembled(rows, features).withColumn("_weight", weight)
-    total = float(n)  # both weightings sum to n
-    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=tol).fit(ready)
-
+@dataclass(frozen=True)
+class Logistic:
+    """A fitted regression over named columns."""
 
-def assembled(rows: DataFrame, features: list[str] | str) -> DataFrame:
-    if isinstance(features, str):
-        return rows.withColumn("_features", F.col(features))
-    return VectorAssembler(inputCols=features, outputCol="_features").transform(rows)
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
 
+    def probability(self) -> Column:
+        z = F.lit(self.intercept)
+        for name, w in zip(self.features, self.weights, strict=True):
+            z = z + F.col(name).cast("double") * w
+        return 1 / (1 + F.exp(-z))
 
-def predict(model: LogisticRegressionModel, rows: DataFrame, features: list[str] | str, name: str = "score") -> DataFrame:
-    out = model.transform(assembled(rows, features))
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
+def fit_many(rows: DataFrame, features: list[str], groups: Column, c: float = 1.0, balanced: bool = True, label: str = "label", steps: int = 50, tol: float = 1e-10) -> dict[object, Logistic]:
+    """A model per element of the array ``groups``, fitted on the rows that have it: the least of the (class-weighted) losses plus |w|^2 / (2 c).
 
-def out_of_fold(rows: DataFrame, features: list[str] | str, folds: int = 5, name: str = "score") -> DataFrame:
-    """Scores of each fold by the model fitted on the others; rows have ``fold``."""
-    out = None
-    for k in range(folds):
-        model = fit_logistic(rows.where(F.col("fold") != k), features)
-        part = predict(model, rows.where(F.col("fold") == k), features, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    All models take Newton's steps together: a step is one aggregate over slim written rows that gives each model's gradient and
+    second derivatives, a few numbers for few features. Class weights are n / (2 n_c). ValueError where a model lacks a label.
+    """
+    m, xs = len(features), [f"x{i}" for i in range(len(features))]
+    slim = saved(rows.select(F.explode(groups).alias("g"), F.col(label).cast("double").alias("y"), *(F.col(f).cast("double").alias(x) for f, x in zip(features, xs, strict=True))), "training")
+    n = {r["g"]: (r["n0"], r["n1"]) for r in slim.groupBy("g").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).collect()}  # a row per model
+    if not n or not all(a and b for a, b in n.values()):
+        raise ValueError("both labels are needed")
+    weight = {g: [(a + b) / (2 * a), (a + b) / (2 * b)] if balanced else [1.0, 1.0] for g, (a, b) in n.items()}
+    kind, pen = dict(slim.dtypes)["g"], np.append(np.full(m, 1 / c), 0.0)
+    at, step, loss, open_ = {g: np.zeros(m + 1) for g in n}, {g: np.zeros(m + 1) for g in n}, dict.fromkeys(n, np.inf), set(n)
+    x = [*map(F.col, xs), F.lit(1.0)]
+    z = sum((x[i] * F.get("w", F.lit(i)) for i in range(m + 1)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-F.col("z")))
+    cost = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z")
+    pairs = [(i, j) for i in range(m + 1) for j in range(i + 1)]
+    for _ in range(steps):
+        now = slim.sparkSession.createDataFrame([(g, at[g].tolist(), *weight[g]) for g in open_], f"g {kind}, w array<double>, c0 double, c1 double")
+        rated = slim.join(F.broadcast(now), "g").withColumn("z", z).withColumn("c", F.when(F.col("y") == 1, F.col("c1")).otherwise(F.col("c0"))).withColumn("p", p)
+        curve = F.col("c") * F.col("p") * (1 - F.col("p"))
+        sums = rated.groupBy("g").agg(F.sum(F.col("c") * cost).alias("loss"), *(F.sum(F.col("c") * (F.col("p") - F.col("y")) * x[i]).alias(f"g{i}") for i in range(m + 1)), *(F.sum(curve * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs))
+        for r in sums.collect():
+            g, w = r["g"], at[r["g"]]
+            total = r["loss"] + pen @ (w * w) / 2
+            if total > loss[g] * (1 + 1e-12) + 1e-12 and np.abs(step[g]).max() > tol:  # too far: half the step
+                step[g] = step[g] / 2
+                at[g] = w + step[g]  # w is the place after the whole step
+                continue
+            h = np.diag(pen)
+            for i, j in pairs:
+                h[i, j] += r[f"h{i}_{j}"]
+                h[j, i] = h[i, j]
+            loss[g], step[g] = total, np.linalg.lstsq(h, np.array([r[f"g{i}"] for i in range(m + 1)]) + pen * w, rcond=None)[0]
+            at[g] = w - step[g]
+            if np.abs(step[g]).max() <= tol:
+                open_.discard(g)
+        if not open_:
+            break
+    return {g: Logistic(tuple(features), tuple(w[:m].tolist()), float(w[m])) for g, w in at.items()}
+
+
+def fit_logistic(rows: DataFrame, features: list[str], c: float = 1.0, balanced: bool = True, label: str = "label") -> Logistic:
+    return fit_many(rows, features, F.array(F.lit(0)), c, balanced, label)[0]
+
+
+def predict(model: Logistic, rows: DataFrame, name: str = "score") -> DataFrame:
+    return rows.withColumn(name, model.probability())
+
+
+def predict_many(models: dict[object, Logistic], rows: DataFrame, group: str, name: str = "score") -> DataFrame:
+    """Each row by the model of its ``group``; null without one."""
+    out = F.lit(None).cast("double")
+    for g, model in models.items():
+        out = F.when(F.col(group) == g, model.probability()).otherwise(out)
+    return rows.withColumn(name, out)
+
+
+def out_of_fold(rows: DataFrame, features: list[str], folds: int = 5, name: str = "score") -> DataFrame:
+    """Scores of each fold by the model fitted on the others; rows have ``fold``. The models are fitted in the same passes."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold").cast("int"))
+    return predict_many(fit_many(rows, features, others), rows, "fold", name)
 
 
 def standardise(rows: DataFrame, columns: list[str], fitted_on: DataFrame) -> DataFrame:

@@ -121,3 +121,44 @@ SIGNALS = (
     + f", CASE WHEN {draw_sql(chr(39) + 'role' + chr(39), 'grp')} % 10 < 6 THEN 'train' ELSE 'val' END AS role FROM pool)"
 )
 SCORES = SIGNALS + ",\nscores AS (" + " UNION ALL ".join(f"SELECT id, label, source, attack_type, domain, grp, role, '{m}' AS method, {m} AS score FROM signals" for m in METHODS) + ")"
+
+
+def _minor(rows: list[int], columns: list[int], h) -> str:
+    if not rows:
+        return "1.0"
+    parts = [f"{'-' if k % 2 else '+'} ({h(rows[0], j)}) * ({_minor(rows[1:], columns[:k] + columns[k + 1:], h)})" for k, j in enumerate(columns)]
+    return "(" + " ".join(parts) + ")"
+
+
+def logistic_sql(name: str, rows: str, groups: str, member: str, features: list[str], balanced: bool = True, steps: int = 25) -> str:
+    """Common table expressions that end in ``name`` (g, k, w0, w1, ..., the intercept last): the regression of each g of the table ``groups``, fitted on
+    the rows r of ``rows`` with ``member``, by Newton's steps whose equations are solved by Cramer's rule."""
+    m = len(features)
+    ws, every = [f"w{i}" for i in range(m + 1)], list(range(m + 1))
+    x = [f"x{i}" for i in range(m)] + ["1.0::DOUBLE"]
+    weight = "CASE WHEN label = 1 THEN (n0 + n1) / (2 * n1) ELSE (n0 + n1) / (2 * n0) END" if balanced else "1.0::DOUBLE"
+    h = lambda i, j: f"h{max(i, j)}_{min(i, j)}"
+    det = _minor(every, every, h)
+    moved = [f"w{i} - {_minor(every, every, lambda r, c, i=i: f'g{r}' if c == i else h(r, c))} / det" for i in every]
+    pen = lambda i: f" + {ws[i]}" if i < m else ""
+    sums = [f"sum(c * (p - y) * {x[i]}) AS s{i}" for i in every] + [f"sum(c * p * (1 - p) * {x[i]} * {x[j]}) AS q{i}_{j}" for i in every for j in range(i + 1)]
+    full = [f"s{i}{pen(i)} AS g{i}" for i in every] + [f"q{i}_{j}{' + 1.0' if i == j and i < m else ''} AS h{i}_{j}" for i in every for j in range(i + 1)]
+    return f"""{name}_m AS (SELECT gr.g, r.label::INT AS label, {', '.join(f'r.{f}::DOUBLE AS x{i}' for i, f in enumerate(features))} FROM {groups} gr JOIN {rows} r ON {member}),
+{name}_n AS (SELECT g, count(*) FILTER (label = 1)::DOUBLE AS n1, count(*) FILTER (label = 0)::DOUBLE AS n0 FROM {name}_m GROUP BY g),
+{name}_d AS MATERIALIZED (SELECT g, label::DOUBLE AS y, {weight} AS c, {', '.join(f'x{i}' for i in range(m))} FROM {name}_m JOIN {name}_n USING (g)),
+{name}_it(g, k, {', '.join(ws)}) AS (SELECT g, 0, {', '.join('0.0::DOUBLE' for _ in ws)} FROM {name}_n UNION ALL
+  SELECT g, k + 1, {', '.join(moved)} FROM (SELECT *, {det} AS det FROM (SELECT g, k, {', '.join(ws)}, {', '.join(full)} FROM (
+    SELECT g, k, {', '.join(ws)}, {', '.join(sums)} FROM (SELECT d.*, k, {', '.join(ws)}, 1 / (1 + exp(-({' + '.join(f'{a} * {b}' for a, b in zip(ws, x, strict=True))}))) AS p FROM {name}_it JOIN {name}_d d USING (g))
+    WHERE k < {steps} GROUP BY g, k, {', '.join(ws)})))),
+{name} AS (SELECT * FROM {name}_it WHERE k = {steps})"""
+
+
+def logistic_score_sql(features: list[str]) -> str:
+    """The score of a row that is joined with its model."""
+    return "1 / (1 + exp(-(" + " + ".join([f"w{i} * {f}" for i, f in enumerate(features)] + [f"w{len(features)}"]) + ")))"
+
+
+def auc_of_sql(rows: str, by: str) -> str:
+    """AUC per ``by`` of (label, score), ties one half."""
+    return f"""SELECT {by}, round(sum(u) / nullif(sum(p)::DOUBLE * sum(n), 0), 6) AS auc FROM (
+  SELECT {by}, p, n, p * (sum(n) OVER (PARTITION BY {by} ORDER BY score) - n + n / 2.0::DOUBLE) AS u FROM (SELECT {by}, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {rows} GROUP BY ALL)) GROUP BY {by}"""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import fusion, text as T
 from sievelight.functions.patterns import NONE, pattern_result
-from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, similarity, split, threshold
-from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, draw_sql, pattern_list_sql, pool, scores, signals, table, unit, written
+from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, ordered, similarity, split, threshold
+from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, auc_of_sql, draw_sql, logistic_score_sql, logistic_sql, pattern_list_sql, pool, scores, signals, table, unit, written
 from sievelight.schema import draw, length_bucket, parse_meta
 from sievelight.streaming import incremental
 
@@ -549,33 +549,59 @@ def _folded(spark, d):
     return written(spark, d, "folded", lambda s, x: split.stratified_folds(signals(s, x)).withColumn("label", F.col("label").cast("double")))  # slim rows, read once per fold
 
 
-@query()
+FOLDED = f"{SIGNALS}, folded AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1) % 5 AS fold FROM signals), folds AS (SELECT unnest(range(5)) AS g)"
+RAW = ["pattern", "embedding", "perplexity"]
+SETS = {"F0": RAW, "F1": METHODS, "F2": ["sentence"]}
+
+
+@query(f"WITH RECURSIVE {FOLDED}, {logistic_sql('lr', 'folded', 'folds', 'r.fold <> gr.g', RAW)} SELECT id, round({logistic_score_sql(RAW)}, 6) AS score FROM folded JOIN lr ON g = fold")
 def lr_scores_oof(spark, d):
-    out = learn.out_of_fold(_folded(spark, d), ["pattern", "embedding", "perplexity"])
-    return out.select("id", F.round("score", 6).alias("score"))
+    """Balanced regression out of fold (L1, L4)."""
+    return learn.out_of_fold(_folded(spark, d), RAW).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOLDED}, {', '.join(logistic_sql(f'lr_{n}', 'folded', 'folds', 'r.fold <> gr.g', f) for n, f in SETS.items())},
+scored AS ({' UNION ALL '.join(f"SELECT '{n}' AS features, label, round({logistic_score_sql(f)}, 9) AS score FROM folded JOIN lr_{n} ON g = fold" for n, f in SETS.items())}) {auc_of_sql('scored', 'features')}""")
 def lr_auc_by_features(spark, d):
     """Out-of-fold AUC of three feature sets."""
-    base = _folded(spark, d)
-    out = None
-    for name, cols in (("F0", ["pattern", "embedding", "perplexity"]), ("F1", [*METHODS]), ("F2", ["sentence"])):
+    base, out = _folded(spark, d), None
+    for name, cols in SETS.items():
         part = learn.out_of_fold(base, cols).select(F.lit(name).alias("features"), "label", F.round("score", 9).alias("score"))
         out = part if out is None else out.unionByName(part)
     return r6(metrics.roc_auc(out, ["features"]), "auc")
 
 
-@query()
+HELD = ["src0", "src1", "src2"]
+SOLO = {"fused": METHODS, "sentence": ["sentence"], "embedding": ["embedding"], "raw": RAW}
+_LOSO = f"""WITH RECURSIVE {SIGNALS}, held AS (SELECT unnest({HELD}) AS g), {', '.join(logistic_sql(f'lr_{n}', 'signals', 'held', 'r.source <> gr.g', f) for n, f in SOLO.items())},
+loso AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{n}' AS method, g AS held, id, label, role, attack_type, source = g AS out_, round({logistic_score_sql(f)}, 9) AS score FROM signals, lr_{n}" for n, f in SOLO.items())})"""
+
+
+@query(f"{_LOSO}, o AS (SELECT held || '|' || method AS cell, label, score FROM loso WHERE out_), a AS ({auc_of_sql('o', 'cell')}) SELECT split_part(cell, '|', 1) AS held, split_part(cell, '|', 2) AS method, auc FROM a")
 def loso_transfer(spark, d):
-    """AUC of a model fitted without a source on that source."""
-    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
-    out = None
-    for held in ("src0", "src1", "src2"):
-        model = learn.fit_logistic(s.where(F.col("source") != held), METHODS)
-        part = learn.predict(model, s.where(F.col("source") == held), METHODS).select(F.lit(held).alias("held"), "label", F.round("score", 9).alias("score"))
+    """AUC of four models, each fitted without a source, on that source."""
+    return r6(metrics.roc_auc(_left_out(spark, d).where(F.col("source") == F.col("held")), ["held", "method"]), "auc")
+
+
+def _left_out(spark, d) -> DataFrame:
+    """Scores of all rows by the models of each held-out source: (held, method, id, label, source, attack_type, score)."""
+    s, out = signals(spark, d), None
+    held = F.array(*map(F.lit, HELD))
+    for name, cols in SOLO.items():
+        models = learn.fit_many(s, cols, F.filter(held, lambda h: h != F.col("source")))
+        part = learn.predict_many(models, s.withColumn("held", F.explode(held)), "held").select("held", F.lit(name).alias("method"), "id", "label", "source", "attack_type", F.round("score", 9).alias("score"))
         out = part if out is None else out.unionByName(part)
-    return r6(metrics.roc_auc(out, ["held"]), "auc")
+    return out
+
+
+@query(f"""{_LOSO}, t AS (SELECT held, method, quantile_cont(score, 0.95) AS thr FROM loso WHERE NOT out_ AND label = 0 GROUP BY ALL)
+SELECT held, method, count(*) FILTER (label = 1) AS attacks, round(coalesce(avg((score > thr)::INT) FILTER (label = 1), 0), 6) AS recall, round(coalesce(avg((score > thr)::INT) FILTER (label = 0), 0), 6) AS fpr FROM loso JOIN t USING (held, method) WHERE out_ GROUP BY held, method""")
+def loso_rates(spark, d):
+    """Rates on the held-out source at thresholds of 5 per cent false alarms on the others."""
+    s = _left_out(spark, d)
+    thr = ordered.quantiles(s.where((F.col("source") != F.col("held")) & (F.col("label") == 0)), ["held", "method"], "score", [0.95]).select("held", "method", F.col("q")[0].alias("thr"))
+    flagged = s.where(F.col("source") == F.col("held")).join(F.broadcast(thr), ["held", "method"]).withColumn("flag", F.col("score") > F.col("thr"))
+    return r6(threshold.confusion(flagged, ["held", "method"]).select("held", "method", (F.col("tp") + F.col("fn")).alias("attacks"), "recall", "fpr"), "recall", "fpr")
 
 
 # --- cascades, caches -------------------------------------------------------------------------------------------------

@@ -188,7 +188,7 @@ def _seven(spark, d) -> tuple[DataFrame, object, list[str]]:
     out, models = None, {}
     for name, columns in (("lr_raw", raw), ("lr_calibrated", [f"cal_{c}" for c in raw])):
         models[name] = learn.fit_logistic(s.where("role = 'train'"), columns), columns
-        part = learn.out_of_fold(train, columns, name=name).select("id", name).unionByName(learn.predict(models[name][0], s.where("role <> 'train'"), columns, name).select("id", name))
+        part = learn.out_of_fold(train, columns, name=name).select("id", name).unionByName(learn.predict(models[name][0], s.where("role <> 'train'"), name).select("id", name))
         out = part if out is None else out.join(part, "id")
     return written_part(spark, s.join(out, "id")), models, [*raw, "naive", "calibrated", "lr_raw", "lr_calibrated"]
 
@@ -208,7 +208,7 @@ def consistency_check(spark, d):
     rows, models, _ = _seven(spark, d)
     out = None
     for name, (model, columns) in models.items():
-        again = learn.predict(model, rows.where("role = 'val'"), columns, "again")
+        again = learn.predict(model, rows.where("role = 'val'"), "again")
         part = again.agg(F.lit(name).alias("method"), (F.max(F.abs(F.col(name) - F.col("again"))) <= 1e-9).alias("consistent"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -233,6 +233,6 @@ def adaptation_attacks(spark, d):
         added = held.where("label = 0").join(clean, "group", "left_semi").unionByName(held.where("label = 1").join(drawn, "group", "left_semi"))
         model = learn.fit_logistic(s.where("domain <> 'fr'").unionByName(added.select(*s.columns)), METHODS)
         rest = held.join(clean.unionByName(drawn), "group", "left_anti")
-        part = metrics.roc_auc(learn.predict(model, rest, METHODS).select(F.lit(k).alias("k"), "label", F.round("score", 9).alias("score")), ["k"])
+        part = metrics.roc_auc(learn.predict(model, rest).select(F.lit(k).alias("k"), "label", F.round("score", 9).alias("score")), ["k"])
         out = part if out is None else out.unionByName(part)
     return r6(out, "auc")

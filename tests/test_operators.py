@@ -176,7 +176,11 @@ def test_logistic_against_newton(spark):
         p = 1 / (1 + np.exp(-z @ w))
         g = z.T @ (weight * (p - y)) + np.array([w[0], w[1], 0])
         w -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1, 1, 0]), g)
-    assert np.allclose([*model.coefficients, model.intercept], w, atol=1e-4)
+    assert np.allclose([*model.weights, model.intercept], w, atol=1e-9)
+    both = learn.fit_many(df, ["a", "b"], F.array(F.lit("one"), F.when(F.col("a") > 0, "two")), balanced=False)
+    assert both["one"] == learn.fit_logistic(df, ["a", "b"], balanced=False) and set(both) == {"one", "two", None}
+    with pytest.raises(ValueError, match="both labels"):
+        learn.fit_logistic(df.where("label = 1"), ["a"])
 
 
 def test_match_lengths_equals_naive():
