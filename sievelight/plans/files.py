@@ -12,8 +12,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.operators import learn, metrics, split, threshold
-from sievelight.plans.base import METHODS, SCALE, draw_sql, signals, table, unit, written, written_part
+from sievelight.operators import learn, metrics, models, ordered, split, threshold
+from sievelight.plans.base import METHODS, SCALE, SIGNALS, auc_of_sql, draw_sql, logistic_score_sql, logistic_sql, signals, table, unit, written, written_part
 from sievelight.plans.catalog import query, r6
 from sievelight.schema import ROW, make_rows
 from sievelight.shared import shared_folder
@@ -175,64 +175,130 @@ def one_shot_results(spark, d):
 # --- fitted methods ---------------------------------------------------------------------------------------------------
 
 
-def _seven(spark, d) -> tuple[DataFrame, object, list[str]]:
-    """All seven methods for every document (L5, L7): training rows out of fold, others by the model fitted on all training rows."""
-    raw = ["pattern", "embedding", "perplexity"]
-    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
-    bounds = s.where("role = 'train'").agg(*(x for c in raw for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
-    scale = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - bounds[f"lo_{c}"]) / ((bounds[f"hi_{c}"] - bounds[f"lo_{c}"]) or 1.0)))
-    s = s.withColumns({f"cal_{c}": scale(c) for c in raw})
-    s = s.withColumn("naive", sum((F.col(c) for c in raw), F.lit(0.0)) / 3).withColumn("calibrated", sum((F.col(f"cal_{c}") for c in raw), F.lit(0.0)) / 3)
+RAW = ["pattern", "embedding", "perplexity"]
+CAL = [f"cal_{c}" for c in RAW]
+SEVEN = [*RAW, "naive", "calibrated", "lr_raw", "lr_calibrated"]
+
+
+def _fitted(spark, d) -> tuple[DataFrame, dict[str, models.Method]]:
+    """Rows with all seven methods (L5, L7), and the two learned ones: training rows out of fold, others by the model of all training rows."""
+    s = signals(spark, d)
+    train = s.where("role = 'train'")
+    low_high = train.agg(*(x for c in RAW for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
+    bounds = {c: (low_high[f"lo_{c}"], low_high[f"hi_{c}"]) for c in RAW}
+    s = s.withColumns({f"cal_{c}": models.scaled(c, *bounds[c]) for c in RAW})
+    s = s.withColumn("naive", sum((F.col(c) for c in RAW), F.lit(0.0)) / 3).withColumn("calibrated", sum((F.col(c) for c in CAL), F.lit(0.0)) / 3)
+    folds = split.stratified_folds(train).select("id", F.col("fold").cast("int").alias("fold"))
+    s = written_part(spark, s.join(folds, "id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1))))
+    others = F.filter(F.sequence(F.lit(-1), F.lit(4)), lambda k: k != F.col("fold"))
+    kept = {}
+    for name, columns in (("lr_raw", RAW), ("lr_calibrated", CAL)):
+        made = learn.fit_many(s.where("role = 'train'"), columns, others)
+        s = learn.predict_many(made, s, "fold", name)
+        whole = learn.Logistic(tuple(RAW), made[-1].weights, made[-1].intercept)
+        kept[name] = models.Method(whole, bounds if columns is CAL else {}, 0.0)
     s = written_part(spark, s)
-    train = written_part(spark, split.stratified_folds(s.where("role = 'train'")))
-    out, models = None, {}
-    for name, columns in (("lr_raw", raw), ("lr_calibrated", [f"cal_{c}" for c in raw])):
-        models[name] = learn.fit_logistic(s.where("role = 'train'"), columns), columns
-        part = learn.out_of_fold(train, columns, name=name).select("id", name).unionByName(learn.predict(models[name][0], s.where("role <> 'train'"), name).select("id", name))
-        out = part if out is None else out.join(part, "id")
-    return written_part(spark, s.join(out, "id")), models, [*raw, "naive", "calibrated", "lr_raw", "lr_calibrated"]
+    thr = ordered.wide_quantiles(s.where("role = 'val' and label = 0"), list(kept), [0.95]).first()
+    return s, {n: models.Method(m.model, m.bounds, thr[n][0]) for n, m in kept.items()}
 
 
-@query()
+_LO_HI = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in RAW)
+_CAL = ", ".join(f"greatest(0, least(1, ({c} - lo_{c}) / CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1 END)) AS cal_{c}" for c in RAW)
+FITTED = f"""{SIGNALS}, lohi AS (SELECT {_LO_HI} FROM signals WHERE role = 'train'), fo AS (SELECT id, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1) % 5 AS fold FROM signals WHERE role = 'train'),
+cal AS MATERIALIZED (SELECT signals.*, coalesce(fold, -1) AS fold, {_CAL} FROM signals CROSS JOIN lohi LEFT JOIN fo USING (id)), six AS (SELECT unnest(range(-1, 5)) AS g),
+{logistic_sql('lra', 'cal', 'six', "r.role = 'train' AND r.fold <> gr.g", RAW)}, {logistic_sql('lrb', 'cal', 'six', "r.role = 'train' AND r.fold <> gr.g", CAL)},
+fit_a AS (SELECT id, {logistic_score_sql(RAW)} AS lr_raw FROM cal JOIN lra ON g = fold), fit_b AS (SELECT id, {logistic_score_sql(CAL)} AS lr_calibrated FROM cal JOIN lrb ON g = fold),
+fitted AS MATERIALIZED (SELECT cal.*, ({' + '.join(RAW)}) / 3 AS naive, ({' + '.join(CAL)}) / 3 AS calibrated, lr_raw, lr_calibrated FROM cal JOIN fit_a USING (id) JOIN fit_b USING (id)),
+each AS ({' UNION ALL '.join(f"SELECT id, label, role, attack_type, '{m}' AS method, round({m}, 9) AS score FROM fitted" for m in SEVEN)})"""
+
+
+def _each(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    pair = F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("method", "score")
+    return rows.select("label", *more, pair).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH RECURSIVE {FITTED}, v AS (SELECT * FROM each WHERE role = 'val') {auc_of_sql('v', 'method')}")
 def fitted_methods(spark, d):
     """Validation AUC of the seven methods."""
-    rows, _, names = _seven(spark, d)
-    val = rows.where("role = 'val'")
-    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("method", "score")
-    return r6(metrics.roc_auc(val.select("label", each).withColumn("score", F.round("score", 9)), ["method"]), "auc")
+    rows, _ = _fitted(spark, d)
+    return r6(metrics.roc_auc(_each(rows.where("role = 'val'"), SEVEN), ["method"]), "auc")
 
 
-@query("SELECT unnest(['lr_raw', 'lr_calibrated']) AS method, true AS consistent")
+@query(f"""WITH {SIGNALS}, v AS (SELECT count(*) AS n FROM signals WHERE role <> 'train'), m AS (SELECT unnest(['lr_raw', 'lr_calibrated']) AS method)
+SELECT method, 'as written' AS file, n, 'PASS' AS status FROM v, m UNION ALL SELECT method, 'altered', n, CASE method WHEN 'lr_raw' THEN 'CHECK' ELSE 'PASS' END FROM v, m""")
 def consistency_check(spark, d):
-    """Kept models give the scores that were written with them, to 1e-9."""
-    rows, models, _ = _seven(spark, d)
-    out = None
-    for name, (model, columns) in models.items():
-        again = learn.predict(model, rows.where("role = 'val'"), "again")
-        part = again.agg(F.lit(name).alias("method"), (F.max(F.abs(F.col(name) - F.col("again"))) <= 1e-9).alias("consistent"))
+    """Kept models, read in another session, give the scores that were written with them, to 1e-9; one altered weight is noticed."""
+    rows, methods = _fitted(spark, d)
+    path, scores = fresh(spark, "models"), fresh(spark, "scores")
+    models.keep(spark, methods, path, {"seed": 42})
+    rows.where("role <> 'train'").select("id", *RAW, *methods).write.parquet(scores)
+    raw = methods["lr_raw"]
+    bent = models.Method(learn.Logistic(raw.model.features, (raw.model.weights[0] + 1e-6, *raw.model.weights[1:]), raw.model.intercept), raw.bounds, raw.threshold)
+    models.keep(spark, methods | {"lr_raw": bent}, f"{path}-altered", {"seed": 42})
+    other, out = spark.newSession(), None
+    for file, at in (("as written", path), ("altered", f"{path}-altered")):
+        part = models.checked(spark.read.parquet(scores), models.read(other, at, {"seed": 42})).select("method", F.lit(file).alias("file"), "n", "status")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query()
+_GRID = """grid AS (SELECT method, i, count(*) FILTER (label = 1 AND floor(score * 20 + 1e-9) >= i) AS tp, count(*) FILTER (label = 0 AND floor(score * 20 + 1e-9) >= i) AS fp, count(*) FILTER (label = 1) AS pos FROM rated, range(1, 20) g(i) GROUP BY ALL),
+best_cut AS (SELECT method, arg_max(i, (f1, -i)) / 20.0::DOUBLE AS thr, max(f1) AS f1 FROM (SELECT method, i, round(coalesce(2.0::DOUBLE * tp / nullif(tp + fp + pos, 0), 0), 12) AS f1 FROM grid) GROUP BY method)"""
+_PLAIN = f"""{SIGNALS}, lohi AS (SELECT {_LO_HI} FROM signals WHERE role = 'train'), cal AS MATERIALIZED (SELECT signals.*, {_CAL} FROM signals CROSS JOIN lohi), one AS (SELECT 0 AS g),
+{logistic_sql('pa', 'cal', 'one', "r.role = 'train'", RAW, balanced=False)}, {logistic_sql('pb', 'cal', 'one', "r.role = 'train'", CAL, balanced=False)},
+rated AS MATERIALIZED (SELECT label, attack_type, 'raw' AS method, round({logistic_score_sql(RAW)}, 9) AS score FROM cal, pa WHERE role = 'val' UNION ALL SELECT label, attack_type, 'scaled', round({logistic_score_sql(CAL)}, 9) FROM cal, pb WHERE role = 'val'), {_GRID}"""
+
+
+def _plain(spark, d) -> tuple[dict[str, models.Method], DataFrame]:
+    """The unweighted fusion on raw and on scaled signals (L2): models of the training rows, and validation scores."""
+    s = signals(spark, d)
+    train = s.where("role = 'train'")
+    low_high = train.agg(*(x for c in RAW for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
+    bounds = {c: (low_high[f"lo_{c}"], low_high[f"hi_{c}"]) for c in RAW}
+    out = {}
+    for name, used in (("raw", {}), ("scaled", bounds)):
+        columns = [(models.scaled(c, *used[c]) if used else F.col(c)).alias(c) for c in RAW]
+        out[name] = models.Method(learn.fit_logistic(train.select("label", *columns), RAW, balanced=False), used, 0.0)
+    return out, _each(s.where("role = 'val'").withColumns({n: m.score() for n, m in out.items()}), list(out), "attack_type")
+
+
+@query(f"""WITH RECURSIVE {_PLAIN} SELECT method, round(w0, 5) AS w_pattern, round(w1, 5) AS w_embedding, round(w2, 5) AS w_perplexity, round(w3, 5) AS intercept, thr, round(f1, 6) AS f1 FROM best_cut JOIN (SELECT 'raw' AS method, * FROM pa UNION ALL SELECT 'scaled', * FROM pb) USING (method)""")
 def learned_fusion(spark, d):
-    """Best grid F1 of fusion fitted on raw and on scaled signals, out of fold."""
-    rows, _, _ = _seven(spark, d)
-    each = F.explode(F.map_from_arrays(F.array(F.lit("raw"), F.lit("scaled")), F.array("lr_raw", "lr_calibrated"))).alias("method", "score")
-    return r6(threshold.grid_sweep(rows.where("role = 'train'").select(F.col("label").cast("int").alias("label"), each)), "f1")
+    """Unweighted learned fusion, raw and scaled: coefficients and the best grid F1 on validation rows."""
+    made, rows = _plain(spark, d)
+    found = [(n, *m.model.weights, m.model.intercept) for n, m in made.items()]
+    best = threshold.grid_sweep(rows)
+    return spark.createDataFrame(found, "method string, w_pattern double, w_embedding double, w_perplexity double, intercept double").join(best, "method").select("method", *(F.round(c, 5).alias(c) for c in ("w_pattern", "w_embedding", "w_perplexity", "intercept")), "thr", F.round("f1", 6).alias("f1"))
+
+
+@query(f"""WITH RECURSIVE {_PLAIN} SELECT method, attack_type, count(*) AS n, count(*) FILTER (floor(score * 20 + 1e-9) / 20 < thr) AS missed FROM rated JOIN best_cut USING (method) WHERE label = 1 GROUP BY ALL""")
+def learned_failures(spark, d):
+    """Attacks that the learned fusion misses at its best cut, by type."""
+    _, rows = _plain(spark, d)
+    cut = threshold.grid_sweep(rows).select("method", "thr")
+    missed = F.floor(F.col("score") * 20 + 1e-9) / 20 < F.col("thr")
+    return rows.where("label = 1").join(F.broadcast(cut), "method").groupBy("method", "attack_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(missed).alias("missed"))
 
 
-@query()
+_ADDED = "{0} AS (SELECT grp, sum(n) OVER (ORDER BY md5('42|' || grp), grp) - n AS {0} FROM (SELECT grp, count(*) AS n FROM signals WHERE domain = 'fr' AND label = {1} GROUP BY grp))"
+
+
+@query(f"""WITH RECURSIVE {SIGNALS}, {_ADDED.format('cb', 0)}, {_ADDED.format('ab', 1)}, ks AS (SELECT unnest([0, 5, 10, 20, 40]) AS g),
+s AS MATERIALIZED (SELECT signals.*, coalesce(cb, 1000000000) AS cb, coalesce(ab, 1000000000) AS ab FROM signals LEFT JOIN cb USING (grp) LEFT JOIN ab USING (grp)),
+{logistic_sql('lr', 's', 'ks', "r.domain <> 'fr' OR (r.label = 0 AND r.cb < 20) OR (r.label = 1 AND r.ab < gr.g)", METHODS)},
+rest AS (SELECT g AS k, label, round({logistic_score_sql(METHODS)}, 9) AS score FROM s, lr WHERE domain = 'fr' AND cb >= 20 AND ab >= g) {auc_of_sql('rest', 'k')}""")
 def adaptation_attacks(spark, d):
     """A held-out domain with 20 of its clean documents and k of its attacks added to training (L12): AUC on the rest."""
-    s = signals(spark, d).withColumn("label", F.col("label").cast("double"))
-    held, out = s.where("domain = 'fr'"), None
-    clean = split.draw_groups(held.where("label = 0"), 20).select("group")
-    for k in (0, 5, 10, 20, 40):
-        drawn = split.draw_groups(held.where("label = 1"), k).select("group") if k else clean.limit(0)
-        added = held.where("label = 0").join(clean, "group", "left_semi").unionByName(held.where("label = 1").join(drawn, "group", "left_semi"))
-        model = learn.fit_logistic(s.where("domain <> 'fr'").unionByName(added.select(*s.columns)), METHODS)
-        rest = held.join(clean.unionByName(drawn), "group", "left_anti")
-        part = metrics.roc_auc(learn.predict(model, rest).select(F.lit(k).alias("k"), "label", F.round("score", 9).alias("score")), ["k"])
-        out = part if out is None else out.unionByName(part)
-    return r6(out, "auc")
+    s, ks = signals(spark, d), [0, 5, 10, 20, 40]
+    held = s.where("domain = 'fr'")
+    drawn = split.draw_groups(held.where("label = 0"), 20).select("group", F.array(*map(F.lit, ks)).alias("_c"))
+    taken = None
+    for k in ks[1:]:
+        part = split.draw_groups(held.where("label = 1"), k).select("group", F.lit(k).alias("k"))
+        taken = part if taken is None else taken.unionByName(part)
+    added = taken.groupBy("group").agg(F.collect_list("k").alias("_a"))  # at most four numbers a group
+    none = F.array().cast("array<int>")
+    s = written_part(spark, s.join(drawn, "group", "left").join(added, "group", "left").withColumn("_c", F.when(F.col("domain") == "fr", F.coalesce("_c", none))).withColumn("_a", F.when(F.col("domain") == "fr", F.coalesce("_a", none))))
+    made = learn.fit_many(s, METHODS, F.when(F.col("domain") != "fr", F.array(*map(F.lit, ks))).when(F.col("label") == 0, F.col("_c")).otherwise(F.col("_a")))
+    rest = s.where("domain = 'fr'").withColumn("k", F.explode(F.array_except(F.array(*map(F.lit, ks)), F.array_union("_c", "_a"))))
+    return r6(metrics.roc_auc(learn.predict_many(made, rest, "k").select("k", "label", F.round("score", 9).alias("score")), ["k"]), "auc")
