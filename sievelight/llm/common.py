@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import os
@@ -115,6 +117,28 @@ def spread_join(left: DataFrame, keyed: DataFrame, key: str, rows: int, count: s
     return left.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(left.where(~is_hot).join(keyed.where(~is_hot), key))
 
 
+def same_columns(docs: DataFrame, text: str, make) -> DataFrame:
+    """``docs`` by ``mapInArrow`` with ``make`` of the text column's name; columns are numbered meanwhile, so they may have any name."""
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*named)
+    return plain.mapInArrow(make(named[docs.columns.index(text)]), plain.schema).toDF(*docs.columns)
+
+
+def lean(run):
+    """A ``mapInArrow`` function that returns to the system what its task has freed, since workers live on for the next task."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -124,8 +148,9 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 
 
 def fresh(name: str, taken) -> str:
-    """``name``, or with underscores before it one that isn't taken."""
-    while name in taken:
+    """``name``, or with underscores before it one that isn't taken, in any case of its letters."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
         name = "_" + name
     return name
 

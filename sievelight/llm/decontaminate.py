@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches
+from sievelight.llm.common import bounded_batches, same_columns
 from sievelight.llm.textkit import Grams, U, Words, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -304,5 +304,6 @@ def without_benchmark(docs: DataFrame, items: DataFrame, text: str = "text") ->
     spark = docs.sparkSession
     bounded_batches(spark)
     for index in passes(items):
-        docs = docs.mapInArrow(_without(spark.sparkContext.broadcast(index), text), docs.schema)
+        shared = spark.sparkContext.broadcast(index)
+        docs = same_columns(docs, text, lambda name, shared=shared: _without(shared, name))
     return docs

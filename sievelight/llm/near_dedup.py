@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches, drop, partitions, save, spread_join
+from sievelight.llm.common import bounded_batches, drop, lean, partitions, save, spread_join
 from sievelight.llm.components import components
 from sievelight.llm.textkit import KEY, Grams, U, gram_starts, mix, words
 
@@ -261,7 +261,7 @@ def _confirm_spokes(stars: DataFrame, source: DataFrame, num: int, den: int, key
     centres = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"))
     dealt, dealt_path = save(spokes.unionByName(centres), "dealt")
     met = dealt.hint("shuffle_hash").join(source, "doc_id").repartition(n, "hub", "block").sortWithinPartitions("hub", "block").select("doc_id", "text", "hub", "block")
-    out, links_path = save(met.mapInArrow(_spokes(num, den, key), "a long, b long"), "links")
+    out, links_path = save(met.mapInArrow(lean(_spokes(num, den, key)), "a long, b long"), "links")
     drop(spark, path, dealt_path)
     return out, links_path
 
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", num
     bounded_batches(spark)
     n, key = partitions(spark), secrets.token_bytes(16)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    signed, signed_path = save(source.mapInArrow(_sign, "doc_id long, n_shingles long, same_set binary, bands array<long>, sign binary"), "signed")
+    signed, signed_path = save(source.mapInArrow(lean(_sign), "doc_id long, n_shingles long, same_set binary, bands array<long>, sign binary"), "signed")
     reps, reps_path = save(signed.where("n_shingles > 0").groupBy("same_set").agg(F.min("doc_id").alias("rep")).select("same_set", "rep"), "classes")
     slim, slim_path = save(signed.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "same_set"], "left_semi").dropDuplicates(["doc_id", "same_set"]).drop("same_set"), "signatures")
 

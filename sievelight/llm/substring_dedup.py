@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.automaton import SuffixAutomaton
-from sievelight.llm.common import bounded_batches, drop, fresh, partitions, save, spread_join
+from sievelight.llm.common import bounded_batches, drop, fresh, lean, partitions, save, spread_join
 from sievelight.llm.textkit import Grams, Words, mix, words
 
 SPAN, GRAM = 50, 16
@@ -205,7 +205,7 @@ def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> tuple
     shards, path = save(shards.select("anchor", "n", F.col("n").alias("segments")), "shards")
     sized = spread_join(distinct, shards, "anchor", distinct.count()).select("anchor", "print", "doc", "last", "words", "segments")
     small = sized.where(f"segments <= {SHARD_SEGMENTS}").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "print", "doc", "words")
-    by_shard = small.mapInArrow(_shards(span), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner")).where("owner is not null")
+    by_shard = small.mapInArrow(lean(_shards(span)), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner")).where("owner is not null")
     large = sized.where(f"segments > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "last", "words")
     if again:
         parts, parts_path = save(large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary"), "parts")
@@ -238,13 +238,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     bounded_batches(spark)
     n = partitions(spark)
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    places, places_path = save(source.mapInArrow(_places(span, gram), "doc_id long, anchor long, first long"), "places")
+    places, places_path = save(source.mapInArrow(lean(_places(span, gram)), "doc_id long, anchor long, first long"), "places")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", "n")
     shared, shared_path = save(shared, "shared")
     wanted, wanted_path = save(spread_join(places, shared, "anchor", places.count()).groupBy("doc_id").agg(F.collect_set("first").alias("firsts")), "wanted")
     drop(spark, places_path, shared_path)
 
-    cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(_segments(span, gram), "doc_id long, first long, anchor long, print binary, windows long, words binary")
+    cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(lean(_segments(span, gram)), "doc_id long, first long, anchor long, print binary, windows long, words binary")
     segments, segments_path = save(cut, "segments")
     distinct = segments.groupBy("anchor", "print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
     distinct, distinct_path = save(distinct, "distinct")
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     bounded_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     last = "kept_sha256 string" if digest else "kept string"
-    return rows.mapInArrow(_cut(digest), f"doc_id long, n_words long, n_removed long, {last}")
+    return rows.mapInArrow(lean(_cut(digest)), f"doc_id long, n_words long, n_removed long, {last}")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

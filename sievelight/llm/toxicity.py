@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import bounded_batches
+from sievelight.llm.common import bounded_batches, same_columns
 from sievelight.llm.textkit import Grams, U, mix
 
 LENGTH, SPAN, DECAY, LANDMARKS = 4, 7, 0.85, 320
@@ -542,7 +542,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str =
     """Fits on at most ``rows`` labels, those with the smallest hashes, and the first ``LEAST`` of each class by hash.
 
     The texts have at most ``FIT_CHARS`` characters in all (see ``fitting``). With ``held_out`` rows whose crc32(id) mod 5 is 0
-    are never used. Null ids, labels and texts are left out. ValueError if the texts of one of two classes don't fit.
+    are never used. Null ids, labels and texts are left out. ValueError if the texts of one of two classes don't fit, or
+    if no labelled text is clean.
     """
     usable = labels.select(F.col(id).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
@@ -556,6 +557,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str =
     left = fitting([r.n for r in found], [r.copies for r in found], [r.toxic > 0 for r in found])
     if len({r.toxic > 0 for r in found}) != len({r.toxic > 0 for r, k in zip(found, left, strict=True) if k}):
         raise ValueError(f"the texts of a class have more than {FIT_CHARS} characters each")
+    if found and all(r.toxic > 0 for r in found):
+        raise ValueError("no labelled text is clean: everything would be toxic")
     place = {(r.doc_id, r.n): i for i, r in enumerate(found) if left[i]}
     got = []
     if place:
@@ -591,4 +594,5 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: s
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    return docs.mapInArrow(_kept(spark.sparkContext.broadcast(model), text, threshold), docs.schema)
+    shared = spark.sparkContext.broadcast(model)
+    return same_columns(docs, text, lambda name: _kept(shared, name, threshold))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from sievelight.llm import merkle, pigeonring, queries, vector_codes
+from sievelight.llm import decontaminate, merkle, pigeonring, queries, substring_dedup, toxicity, vector_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,3 +239,24 @@ def test_links_at_every_length(spark, limit, monkeypatch):
     for i in range(len(own)):
         for j in np.flatnonzero(np.bitwise_count(own ^ own[i]) <= 4).tolist():
             assert top(prints[i]) == top(prints[j])
+
+
+# filters of the pipeline
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """Names with a dot, and names that differ from those used inside by case alone."""
+    words = " ".join(f"w{i}" for i in range(60))
+    ddl = "doc_id long, text string, `a.b` string, Kept string, C0 string"
+    docs = spark.createDataFrame([(1, words, "x", "y", "z"), (2, f"Start {words} end", None, "y", None), (3, None, "x", None, "z")], ddl)
+    model = toxicity.fit(["an awful zorkface speaks"] * 3 + ["a kind word"] * 3, np.array([1, 1, 1, 0, 0, 0]))
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    for out, n in ((toxicity.without_toxic(docs, model), 3), (decontaminate.without_benchmark(docs, items), 1), (substring_dedup.without_repeats(docs), 3)):
+        assert out.columns == docs.columns and out.count() == n
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()} == {1: words, 2: "Start end", 3: None}
+
+
+def test_training_without_a_clean_text_is_refused(spark):
+    docs = spark.createDataFrame([(1, "bad words"), (2, None)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="no labelled text is clean"):
+        toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), held_out=False)
