@@ -59,9 +59,12 @@ def mcnemar(rows: DataFrame, a: Column, b: Column) -> DataFrame:
 
     p is erfc(sqrt(statistic / 2)); without a difference the statistic is 0 and p is 1.
     """
-    out = rows.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
+    return with_statistic(rows.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c")))
+
+
+def with_statistic(counts: DataFrame) -> DataFrame:
     n = F.col("b") + F.col("c")
-    return out.withColumn("statistic", F.when(n == 0, 0.0).otherwise(F.try_divide(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)), F.lit(2)), n))).withColumn("p", chi_square_p(F.col("statistic")))
+    return counts.withColumn("statistic", F.when(n == 0, 0.0).otherwise(F.try_divide(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)), F.lit(2)), n))).withColumn("p", chi_square_p(F.col("statistic")))
 
 
 #: The rational approximation of the complementary error function for x >= 0, off by 1.5e-7 at most.

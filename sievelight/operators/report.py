@@ -7,8 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.operators import metrics, split, threshold
+from sievelight.operators import bootstrap, metrics, split, threshold
 from sievelight.operators.ordered import quantiles, wide_quantiles
+from sievelight.shared import saved
 
 #: How far a rounded printed number may be from the computed one.
 ROUNDING = 0.0051
@@ -33,6 +34,47 @@ def protocol_table(scores: DataFrame, fitted: str = "val", role: str = "test", b
     return out.withColumn("alarms", alarms_text(F.col("fpr"), F.col("fp") + F.col("tn")))
 
 
+def protocol_report(scores: DataFrame, methods: list[str], fitted: str = "train", role: str = "val", budget: float = 0.05, against: str = "naive", weights: dict[str, dict[str, float]] | None = None, reps: int = 1000) -> DataFrame:
+    """(section, method, cell, value): a whole protocol in one result.
+
+    ``scores`` has (id, label, source, attack_type, position, role, method, score). Per method: the threshold at the budget on clean
+    ``fitted`` rows; on ``role`` rows counts, precision, recall, F1 with its interval over resampled sources, false-alarm rate, AUC,
+    the best recall within the budget, how often it alone or ``against`` alone is right, with the corrected statistic and p;
+    detection by source, attack and position; ``weights``; and what flagging everything gives.
+    """
+    thr = saved(threshold.at_budgets(scores.where(F.col("role") == fitted), [budget]), "thresholds")
+    rows = scores.where(F.col("role") == role)
+    flagged = saved(rows.join(F.broadcast(thr), "method").withColumn("flag", F.col("score") > F.col("thr")), "flagged")
+
+    def long(section: str, df: DataFrame, columns: list[str], cell: Column | None = None) -> DataFrame:
+        """``columns`` of ``df`` as rows; the cell is the column's name, or ``cell`` where there is one column."""
+        each = F.explode(F.array(*(F.struct((F.lit(c) if cell is None else cell.cast("string")).alias("cell"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")
+        return df.select(F.lit(section).alias("section"), "method", each).select("section", "method", "x.cell", "x.value")
+
+    counts = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr"]
+    parts = [long("threshold", thr, ["thr"]), long("rates", threshold.confusion(flagged, ["method"]), counts), long("auc", metrics.roc_auc(rows, ["method"]), ["auc"]), long("best", metrics.best_case_recall(rows, budget), ["recall"])]
+    for m in methods:
+        stats = bootstrap.group_statistics(flagged.where(F.col("method") == m), "source")
+        found = bootstrap.intervals(bootstrap.with_f1(bootstrap.replicates(stats, reps)), ["f1"])
+        parts.append(long("interval", found.withColumn("method", F.lit(m)), ["f1_lo", "f1_hi"]))
+    right = flagged.select("id", "method", (F.col("flag") == (F.col("label") == 1)).alias("right"))
+    base = right.where(F.col("method") == against).select("id", F.col("right").alias("base"))
+    pairs = right.where(F.col("method") != against).join(base, "id").groupBy("method").agg(F.count_if(F.col("right") & ~F.col("base")).alias("b"), F.count_if(~F.col("right") & F.col("base")).alias("c"))
+    parts.append(long(f"against {against}", metrics.with_statistic(pairs), ["b", "c", "statistic", "p"]))
+    for by in ("source", "attack_type", "position"):
+        share = flagged.where((F.col("label") == 1) & (F.col(by) != "")).groupBy("method", by).agg(F.avg(F.col("flag").cast("int")).alias("recall"))
+        parts.append(long(f"recall by {by}", share, ["recall"], F.col(by)))
+    if weights:
+        listed = [("weight", m, f, float(w)) for m, by in weights.items() for f, w in by.items()]
+        parts.append(scores.sparkSession.createDataFrame(listed, "section string, method string, cell string, value double"))
+    one = rows.dropDuplicates(["id"]).select(F.lit("flag all").alias("method"), "label", F.lit(True).alias("flag"))
+    parts.append(long("rates", threshold.confusion(one, ["method"]), counts))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def compare_runs(dry: DataFrame, final: DataFrame, column: str, most: float = 0.05) -> DataFrame:
     """(method, dry, final, change, status): a dry run's figure beside the final one's; PASS if it fell by ``most`` at the most."""
     both = dry.select("method", F.col(column).alias("dry")).join(final.select("method", F.col(column).alias("final")), "method", "full")

@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.operators import learn, metrics, models, ordered, split, threshold
+from sievelight.operators import learn, metrics, models, ordered, report, split, threshold
 from sievelight.plans.base import METHODS, SCALE, SIGNALS, auc_of_sql, draw_sql, logistic_score_sql, logistic_sql, signals, table, unit, written, written_part
 from sievelight.plans.catalog import query, r6
 from sievelight.schema import ROW, make_rows
@@ -224,6 +224,45 @@ def fitted_methods(spark, d):
     return r6(metrics.roc_auc(_each(rows.where("role = 'val'"), SEVEN), ["method"]), "auc")
 
 
+_COUNTS = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr"]
+_RATES = """coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0) AS fpr"""
+_TALLY = "count(*) FILTER (label = 1 AND flag) AS tp, count(*) FILTER (label = 0 AND flag) AS fp, count(*) FILTER (label = 1 AND NOT flag) AS fn, count(*) FILTER (label = 0 AND NOT flag) AS tn"
+
+
+def _unpivot(section: str, rows: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, method, '{c}' AS cell, {c}::DOUBLE AS value FROM {rows}" for c in columns)
+
+
+_WEIGHTS = " UNION ALL ".join(f"SELECT 'weight', '{m}', '{f}', w{i} FROM {t} WHERE g = -1" for m, t in (("lr_raw", "lra"), ("lr_calibrated", "lrb")) for i, f in enumerate([*RAW, "intercept"]))
+
+
+@query(f"""WITH RECURSIVE {FITTED}, thr AS (SELECT method, quantile_cont(score, 0.95) AS thr FROM each WHERE role = 'train' AND label = 0 GROUP BY method),
+val AS (SELECT each.*, source, regexp_extract(meta, 'position=([^|]*)', 1) AS position FROM each JOIN signals USING (id) WHERE each.role = 'val'),
+flagged AS MATERIALIZED (SELECT val.*, thr, score > thr AS flag FROM val JOIN thr USING (method)),
+rates AS (SELECT *, {_RATES} FROM (SELECT method, {_TALLY} FROM flagged GROUP BY method)), every AS (SELECT 'flag all' AS method, *, {_RATES} FROM (SELECT {_TALLY} FROM (SELECT label, true AS flag FROM cal WHERE role = 'val'))),
+au AS ({auc_of_sql('flagged', 'method')}), ns AS (SELECT method, count(*) FILTER (label = 1)::DOUBLE AS np, count(*) FILTER (label = 0)::DOUBLE AS nn FROM flagged GROUP BY method),
+curve AS (SELECT method, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM (SELECT method, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM flagged GROUP BY ALL) WINDOW w AS (PARTITION BY method ORDER BY score DESC)),
+best AS (SELECT method, coalesce(max(tp / np) FILTER (fp / nn <= 0.05), 0) AS recall FROM curve JOIN ns USING (method) GROUP BY method),
+gs AS (SELECT method, source, row_number() OVER (PARTITION BY method ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY method) AS total, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, count(*) FILTER (label = 1 AND flag) AS f_pos, count(*) FILTER (label = 0 AND flag) AS f_neg FROM flagged GROUP BY method, source),
+dr AS (SELECT method, rep, {draw_sql("'0'", "rep", "place")} % total AS i FROM (SELECT method, max(total) AS total FROM gs GROUP BY method), range(1000) r(rep), range(1000000) q(place) WHERE place < total),
+boot AS (SELECT method, rep, sum(n_pos) AS np, sum(n_neg) AS nn, sum(f_pos) AS fp, sum(f_neg) AS fn FROM dr JOIN gs USING (method, i) GROUP BY method, rep HAVING sum(n_pos) > 0 AND sum(n_neg) > 0),
+ci AS (SELECT method, quantile_cont(f1, 0.025) AS f1_lo, quantile_cont(f1, 0.975) AS f1_hi FROM (SELECT method, coalesce(2.0::DOUBLE * fp / nullif(fp + fn + np, 0), 0) AS f1 FROM boot) GROUP BY method),
+hit AS (SELECT id, method, flag = (label = 1) AS ok FROM flagged), mc AS (SELECT a.method, count(*) FILTER (a.ok AND NOT b.ok) AS b, count(*) FILTER (NOT a.ok AND b.ok) AS c FROM hit a JOIN hit b ON a.id = b.id AND b.method = 'naive' WHERE a.method <> 'naive' GROUP BY a.method),
+ms AS (SELECT *, CASE WHEN b + c = 0 THEN 0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END AS statistic FROM mc),
+mp AS (SELECT *, ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x) AS p FROM (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM (SELECT *, sqrt(statistic / 2) AS x FROM ms))),
+report AS ({_unpivot('threshold', 'thr', ['thr'])} UNION ALL {_unpivot('rates', 'rates', _COUNTS)} UNION ALL {_unpivot('rates', 'every', _COUNTS)} UNION ALL {_unpivot('auc', 'au', ['auc'])} UNION ALL {_unpivot('best', 'best', ['recall'])}
+UNION ALL {_unpivot('interval', 'ci', ['f1_lo', 'f1_hi'])} UNION ALL {_unpivot('against naive', 'mp', ['b', 'c', 'statistic', 'p'])}
+UNION ALL {' UNION ALL '.join(f"SELECT 'recall by {by}', method, {by}, avg(flag::INT) FROM flagged WHERE label = 1 AND {by} <> '' GROUP BY ALL" for by in ('source', 'attack_type', 'position'))} UNION ALL {_WEIGHTS})
+SELECT section, method, cell, round(value, 5) AS value FROM report""")
+def protocol_report(spark, d):
+    """All sections of the protocol for the seven methods: thresholds of training rows, everything else on validation rows."""
+    rows, methods = _fitted(spark, d)
+    rows = rows.withColumn("position", F.regexp_extract("meta", "position=([^|]*)", 1))
+    weights = {n: dict(zip(m.model.features, m.model.weights, strict=True)) | {"intercept": m.model.intercept} for n, m in methods.items()}
+    out = report.protocol_report(_each(rows, SEVEN, "id", "source", "attack_type", "position", "role"), SEVEN, weights=weights)
+    return out.withColumn("value", F.round("value", 5))
+
+
 @query(f"""WITH {SIGNALS}, v AS (SELECT count(*) AS n FROM signals WHERE role <> 'train'), m AS (SELECT unnest(['lr_raw', 'lr_calibrated']) AS method)
 SELECT method, 'as written' AS file, n, 'PASS' AS status FROM v, m UNION ALL SELECT method, 'altered', n, CASE method WHEN 'lr_raw' THEN 'CHECK' ELSE 'PASS' END FROM v, m""")
 def consistency_check(spark, d):
