@@ -18,7 +18,7 @@ from sievelight.plans.catalog import query, r6
 from sievelight.schema import ROW, make_rows
 from sievelight.shared import shared_folder
 from sievelight.sources import external, readers
-from sievelight.streaming import tables
+from sievelight.streaming import content, tables
 
 
 def fresh(spark, name: str) -> str:
@@ -172,6 +172,20 @@ def one_shot_results(spark, d):
     return spark.createDataFrame(out, "run string, written boolean, n long")
 
 
+@query("""WITH a AS (SELECT doc_id, coalesce(length(text), 0)::DOUBLE AS score FROM documents WHERE doc_id % 10 <> 9), b AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN length(text) + 8 ELSE length(text) END, 0)::DOUBLE AS score FROM documents WHERE doc_id % 10 <> 7)
+SELECT 'first' AS run, 0 AS kept, count(*) AS scored, 0 AS removed, sum(score) AS total FROM a UNION ALL SELECT 'again', count(*), 0, 0, sum(score) FROM a
+UNION ALL SELECT 'changed', count(*) FILTER (doc_id % 10 <> 9 AND doc_id % 3 <> 0), count(*) FILTER (doc_id % 10 = 9 OR doc_id % 3 = 0), (SELECT count(*) FROM a WHERE doc_id % 10 = 7 OR doc_id % 3 = 0), sum(score) FROM b""")
+def content_cache(spark, d):
+    """Scores by content (I2): all documents but some, the same again, then a third of the texts changed, some gone and some new."""
+    path, out = fresh(spark, "content"), []
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    changed = docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    for run, rows in (("first", docs.where("id % 10 <> 9")), ("again", docs.where("id % 10 <> 9")), ("changed", changed.where("id % 10 <> 7"))):
+        done = content.refresh(rows, path, lambda df: df.select("id", F.length(F.coalesce("text", F.lit(""))).alias("score")))
+        out.append((run, done["kept"], done["scored"], done["removed"], content.cached(spark, path).agg(F.sum("score")).first()[0]))
+    return spark.createDataFrame(out, "run string, kept long, scored long, removed long, total double")
+
+
 # --- fitted methods ---------------------------------------------------------------------------------------------------
 
 
