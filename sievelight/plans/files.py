@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from sievelight.plans.base import METHODS, SCALE, SIGNALS, auc_of_sql, draw_sql,
 from sievelight.plans.catalog import query, r6
 from sievelight.schema import ROW, make_rows
 from sievelight.shared import shared_folder
-from sievelight.sources import external, readers
+from sievelight.sources import external, readers, zipped  # noqa: F401  external registers sources
 from sievelight.streaming import content, tables
 
 
@@ -122,11 +121,22 @@ def source_registry(spark, d):
 @query("""WITH n AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS nth FROM benchmark) SELECT nth, md5(text) AS digest FROM n WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) BETWEEN 100 AND 300 AND nth < 150 ORDER BY nth LIMIT 12""")
 def zip_scan(spark, d):
     """Lines of a member of a zip file, in a band of lengths, with an early stop."""
-    path = fresh(spark, "corpus").removeprefix("file://")
-    rows = table(spark, d, "benchmark").orderBy("item_id").collect()
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("set/corpus.jsonl", "".join(json.dumps({"_id": r.item_id, "text": r.text}) + "\n" for r in rows))
-    return external.scan_zip(spark, [path], "set/corpus.jsonl", 100, 300, 12, 150).select("nth", F.md5("text").alias("digest"))
+    path = fresh(spark, "corpus")
+    zipped.register(spark)
+    lines = table(spark, d, "benchmark").orderBy("item_id").coalesce(1).select(F.col("item_id").alias("_id"), "text")  # one archive, as the corpus has it
+    lines.write.format("zip_jsonl").mode("append").option("path", path).option("member", "set/corpus.jsonl").save()
+    read = spark.read.format("zip_jsonl").options(path=path, member="set/corpus.jsonl", low=100, high=300, want=12, most=150).load()
+    return read.select("nth", F.md5("text").alias("digest"))
+
+
+@query("""SELECT substr(md5(text), 1, 1) AS shelf, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) BETWEEN 200 AND 5000 GROUP BY 1""")
+def zip_folder(spark, d):
+    """All documents written as zip files, one a task, and read back as one source with a band of lengths."""
+    path = fresh(spark, "folder")
+    zipped.register(spark)
+    table(spark, d, "documents").select("doc_id", "text").write.format("zip_jsonl").mode("append").option("path", path).option("member", "docs.jsonl").save()
+    read = spark.read.format("zip_jsonl").options(path=path, member="docs.jsonl", low=200, high=5000).load()
+    return read.groupBy(F.substring(F.md5("text"), 1, 1).alias("shelf")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("""WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), s AS (SELECT text, unnest(['combine', 'ignore']) AS strategy FROM t)

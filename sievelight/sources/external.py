@@ -1,17 +1,13 @@
-"""Sources outside tables: staged downloads, a line stream within a zip file, and generated attacks by strategy."""
+"""Sources outside tables: staged downloads, and generated attacks by strategy."""
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
 import urllib.request
 import uuid
-import zipfile
-from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,33 +31,6 @@ def fetch(url: str, folder: str, name: str) -> str:
     return str(to)
 
 
-def scan_zip(spark: SparkSession, paths: list[str], member: str, low: int, high: int, want: int, most: int, text: str = "text") -> DataFrame:
-    """(path, nth, text) of JSON lines in ``member`` of each zip file whose stripped text has ``low`` to ``high`` characters.
-
-    A task streams a file's lines in order and stops after ``want`` hits or ``most`` lines; the limits are the feature, and nth, the
-    line's number, makes the choice the same in every run. Blank and unreadable lines count as lines.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path in b["path"]:
-                rows = []
-                with zipfile.ZipFile(path) as z, z.open(member) as lines:
-                    for nth, line in enumerate(lines):
-                        if nth >= most or len(rows) >= want:
-                            break
-                        try:
-                            value = json.loads(line).get(text)
-                        except (ValueError, AttributeError):
-                            continue
-                        if isinstance(value, str) and low <= len(value.strip()) <= high:
-                            rows.append((path, nth, value))
-                yield pd.DataFrame(rows, columns=["path", "nth", "text"])
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInPandas(run, "path string, nth long, text string")
-
-
 STRATEGIES = ["naive", "escape", "ignore", "fake_completion", "combine"]
 IGNORE = "Ignore previous instructions."
 DONE = "Answer: task complete."
