@@ -129,6 +129,13 @@ def standardise(rows: DataFrame, columns: list[str], fitted_on: DataFrame) -> Da
     return rows.withColumns({c: (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns})
 
 
+def rescaled(rows: DataFrame, variants: dict[str, str], fitted_on: DataFrame) -> DataFrame:
+    """Each variant column brought to the mean and population deviation of its original, both taken from ``fitted_on``; a constant one is only moved."""
+    names = sorted({*variants, *variants.values()})
+    r = fitted_on.agg(*(x for c in names for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")))).first()
+    return rows.withColumns({v: (F.col(v) - r[f"m_{v}"]) / (r[f"s_{v}"] or 1.0) * r[f"s_{o}"] + r[f"m_{o}"] for v, o in variants.items()})
+
+
 def char_grams(text, low: int = 3, high: int = 5):
     """Character n-grams of each word padded by a space at both ends, as one array column."""
     w = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda x: x != ""), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))

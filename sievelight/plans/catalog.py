@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import fusion, text as T
 from sievelight.functions.patterns import NONE, pattern_result
-from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, ordered, similarity, split, threshold
+from sievelight.operators import bootstrap, cascade, clean, learn, metrics, neighbours, ordered, report, similarity, split, threshold
 from sievelight.plans.base import METHODS, POOL, SCORES, SIGNALS, auc_of_sql, draw_sql, logistic_score_sql, logistic_sql, pattern_list_sql, pool, scores, signals, table, unit, written
 from sievelight.schema import draw, length_bucket, parse_meta
 from sievelight.streaming import incremental
@@ -545,13 +545,28 @@ def neighbour_density(spark, d):
     return neighbours.neighbour_density(learn.tfidf(docs, min_df=3), docs).withColumn("density", F.round("density", 6))
 
 
+VARIANTS = {"embedding_v": "embedding", "sentence_v": "sentence"}
+
+
 def _folded(spark, d):
-    return written(spark, d, "folded", lambda s, x: split.stratified_folds(signals(s, x)).withColumn("label", F.col("label").cast("double")))  # slim rows, read once per fold
+    """Slim rows with folds, and with a variant of two signals (their squares) rescaled to the original's training mean and deviation."""
+
+    def make(spark, d):
+        s = signals(spark, d)
+        s = s.withColumns({v: F.col(o) * F.col(o) for v, o in VARIANTS.items()})
+        return split.stratified_folds(learn.rescaled(s, VARIANTS, s.where("role = 'train'"))).withColumn("label", F.col("label").cast("double"))
 
+    return written(spark, d, "folded", make)
 
-FOLDED = f"{SIGNALS}, folded AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1) % 5 AS fold FROM signals), folds AS (SELECT unnest(range(5)) AS g)"
+
+_MOMENTS = ", ".join(f"avg({o}) AS m_{o}, stddev_pop({o}) AS s_{o}, avg({o} * {o}) AS m_{v}, stddev_pop({o} * {o}) AS s_{v}" for v, o in VARIANTS.items())
+FOLDED = f"""{SIGNALS}, moments AS (SELECT {_MOMENTS} FROM signals WHERE role = 'train'), folds AS (SELECT unnest(range(5)) AS g),
+folded AS MATERIALIZED (SELECT signals.*, {', '.join(f'({o} * {o} - m_{v}) / s_{v} * s_{o} + m_{o} AS {v}' for v, o in VARIANTS.items())}, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1) % 5 AS fold FROM signals, moments)"""
 RAW = ["pattern", "embedding", "perplexity"]
-SETS = {"F0": RAW, "F1": METHODS, "F2": ["sentence"]}
+#: Raw signals; all four; the classifier alone; all four with one variant, with the other, with both.
+SETS = {"F0": RAW, "F1": METHODS, "F2": ["sentence"], "F3": ["pattern", "embedding_v", "perplexity", "sentence"], "F4": ["pattern", "embedding", "perplexity", "sentence_v"], "F5": ["pattern", "embedding_v", "perplexity", "sentence_v"]}
+_SETS = f"""WITH RECURSIVE {FOLDED}, {', '.join(logistic_sql(f'lr_{n}', 'folded', 'folds', 'r.fold <> gr.g', f) for n, f in SETS.items())},
+scored AS ({' UNION ALL '.join(f"SELECT '{n}' AS features, label, round({logistic_score_sql(f)}, 9) AS score FROM folded JOIN lr_{n} ON g = fold" for n, f in SETS.items())}), sets AS ({auc_of_sql('scored', 'features')})"""
 
 
 @query(f"WITH RECURSIVE {FOLDED}, {logistic_sql('lr', 'folded', 'folds', 'r.fold <> gr.g', RAW)} SELECT id, round({logistic_score_sql(RAW)}, 6) AS score FROM folded JOIN lr ON g = fold")
@@ -560,10 +575,7 @@ def lr_scores_oof(spark, d):
     return learn.out_of_fold(_folded(spark, d), RAW).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {FOLDED}, {', '.join(logistic_sql(f'lr_{n}', 'folded', 'folds', 'r.fold <> gr.g', f) for n, f in SETS.items())},
-scored AS ({' UNION ALL '.join(f"SELECT '{n}' AS features, label, round({logistic_score_sql(f)}, 9) AS score FROM folded JOIN lr_{n} ON g = fold" for n, f in SETS.items())}) {auc_of_sql('scored', 'features')}""")
-def lr_auc_by_features(spark, d):
-    """Out-of-fold AUC of three feature sets."""
+def set_aucs(spark, d) -> DataFrame:
     base, out = _folded(spark, d), None
     for name, cols in SETS.items():
         part = learn.out_of_fold(base, cols).select(F.lit(name).alias("features"), "label", F.round("score", 9).alias("score"))
@@ -571,6 +583,18 @@ def lr_auc_by_features(spark, d):
     return r6(metrics.roc_auc(out, ["features"]), "auc")
 
 
+@query(f"{_SETS} SELECT features, auc FROM sets")
+def lr_auc_by_features(spark, d):
+    """Out-of-fold AUC of the six feature sets."""
+    return set_aucs(spark, d)
+
+
+@query(f"{_SETS}, t AS (SELECT *, max(auc) OVER () AS top FROM sets) SELECT features, auc FROM t WHERE round(top - auc, 9) < 0.005 ORDER BY list_position(['F0', 'F1', 'F2', 'F3', 'F5', 'F4'], features) LIMIT 1")
+def feature_choice(spark, d):
+    """The best feature set by the AUC of its fitted regressions, ties by preference."""
+    return report.choose_features(set_aucs(spark, d))
+
+
 HELD = ["src0", "src1", "src2"]
 SOLO = {"fused": METHODS, "sentence": ["sentence"], "embedding": ["embedding"], "raw": RAW}
 _LOSO = f"""WITH RECURSIVE {SIGNALS}, held AS (SELECT unnest({HELD}) AS g), {', '.join(logistic_sql(f'lr_{n}', 'signals', 'held', 'r.source <> gr.g', f) for n, f in SOLO.items())},

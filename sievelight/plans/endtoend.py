@@ -188,12 +188,6 @@ def _feature_aucs(spark, d) -> DataFrame:
     return metrics.roc_auc(signals(spark, d).select("label", F.explode(each).alias("features", "score")), ["features"])
 
 
-@query(f"WITH {_AUCS}, t AS (SELECT *, max(auc) OVER () AS top FROM auc) SELECT features, round(auc, 6) AS auc FROM t WHERE round(top - auc, 9) < 0.005 ORDER BY list_position(['F0', 'F1', 'F2', 'F3', 'F5', 'F4'], features) LIMIT 1")
-def feature_choice(spark, d):
-    """The best feature set by AUC, ties by preference (T13); each signal stands for a set here."""
-    return r6(report.choose_features(_feature_aucs(spark, d)), "auc")
-
-
 @query(f"WITH {_AUCS}, b AS (SELECT max({{'auc': auc, 'variant': features}}) AS b, max(auc) FILTER (features = 'F0') AS o FROM auc) SELECT CASE WHEN b.auc - o >= 0.03 THEN b.variant ELSE 'F0' END AS variant, round(CASE WHEN b.auc - o >= 0.03 THEN b.auc ELSE o END, 6) AS auc FROM b")
 def variant_choice(spark, d):
     """The best variant if it gains enough on the original."""
