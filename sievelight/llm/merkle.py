@@ -18,8 +18,8 @@ from sievelight.llm.common import drop, partitions, save
 
 FAN, DEPTH = 8, 3
 BLOCK = FAN**DEPTH
-#: A table of at most so many slim rows is broadcast to those it meets; a larger one is shuffled with them.
-SMALL = 65_536
+#: A table of at most so many rows, of a few kilobytes each, is broadcast to those it meets; a larger one is shuffled with them.
+SMALL = 8_192
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
