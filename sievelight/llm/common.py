@@ -66,15 +66,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+def save(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here. ``zstd`` is for tables of texts.
 
     Any executor can reread the table, so a lost executor costs nothing that was saved. Returns the table and its path,
     for ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievelight/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _left.add(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path), path

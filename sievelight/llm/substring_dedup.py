@@ -208,7 +208,7 @@ def _owners(distinct: DataFrame, span: int, n: int, again: bool = True) -> tuple
     by_shard = small.mapInArrow(lean(_shards(span)), "anchor long, print binary, owners array<long>").select("anchor", "print", F.posexplode("owners").alias("nth", "owner")).where("owner is not null")
     large = sized.where(f"segments > {SHARD_SEGMENTS}").select("anchor", "print", "doc", "last", "words")
     if again:
-        parts, parts_path = save(large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary"), "parts")
+        parts, parts_path = save(large.mapInArrow(_recut(span, span * 4 // 5), "parent long, whole binary, at long, doc long, last long, anchor long, print binary, words binary"), "parts", "zstd")
         whole = parts.groupBy("anchor", "print").agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.any_value("words").alias("words"))
         whole, whole_path = save(whole, "whole")
         found, paths = _owners(whole, span, n, again=False)
@@ -245,9 +245,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", span
     drop(spark, places_path, shared_path)
 
     cut = source.join(wanted, "doc_id").select("doc_id", "text", "firsts").mapInArrow(lean(_segments(span, gram)), "doc_id long, first long, anchor long, print binary, windows long, words binary")
-    segments, segments_path = save(cut, "segments")
+    segments, segments_path = save(cut, "segments", "zstd")
     distinct = segments.groupBy("anchor", "print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
-    distinct, distinct_path = save(distinct, "distinct")
+    distinct, distinct_path = save(distinct, "distinct", "zstd")
     by_place, paths = _owners(distinct, span, n)
     by_owner = by_place.groupBy("anchor", "print", "owner").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
     # consecutive windows of one owner are one run, so that what follows has a row per run and not per window
