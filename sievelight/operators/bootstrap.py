@@ -68,18 +68,21 @@ def _drawn(weights: list[int], n: int, reps: int, seed: int):
     """(rep, sums of the statistics) over the draws that fall to a task's rows (part, k, statistics)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, left, rest, rng = np.zeros((reps, len(STATS)), np.int64), None, 0, None
+        sums, part, left, rest, rng = np.zeros((reps, len(STATS)), np.int64), None, None, 0, None
         for b in batches:
-            for lo in range(0, b.num_rows, DRAWN_ROWS):
-                rows = b.slice(lo, DRAWN_ROWS)
-                k = rows.column(1).to_numpy()
-                if left is None:
-                    part = rows.column(0)[0].as_py()
-                    left, rest, rng = share(np.array(weights), n, part, reps, seed), weights[part], np.random.default_rng([seed, part])
-                own = int(k.sum())
-                here = rng.binomial(left, own / rest)
-                sums += rng.multinomial(here, k / own) @ np.stack([rows.column(2 + i).to_numpy() for i in range(len(STATS))], axis=1)
-                left, rest = left - here, rest - own
+            parts = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), b.num_rows]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                for lo in range(first, end, DRAWN_ROWS):
+                    rows = b.slice(lo, min(DRAWN_ROWS, end - lo))
+                    k = rows.column(1).to_numpy()
+                    if parts[lo] != part:
+                        part = int(parts[lo])
+                        left, rest, rng = share(np.array(weights), n, part, reps, seed), weights[part], np.random.default_rng([seed, part])
+                    own = int(k.sum())
+                    here = rng.binomial(left, own / rest)
+                    sums += rng.multinomial(here, k / own) @ np.stack([rows.column(2 + i).to_numpy() for i in range(len(STATS))], axis=1)
+                    left, rest = left - here, rest - own
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), *(pa.array(sums[:, i]) for i in range(len(STATS)))], names=["rep", *STATS])
 
     return run
@@ -88,17 +91,20 @@ def _drawn(weights: list[int], n: int, reps: int, seed: int):
 def resample(stats: DataFrame, reps: int = 1000, seed: int = 0) -> DataFrame:
     """The same as ``replicates`` for any number of groups, however unlike, by one pass over them.
 
-    Groups with equal statistics are interchangeable and counted first. A replicate is a multinomial draw over what is left: its
-    numbers for the partitions come from a tree of binomial draws, then each task draws for its own rows and returns one sum
-    per replicate. Only the partitions' weights come to the driver.
+    Groups with equal statistics are interchangeable and counted first. A replicate is a multinomial draw over what is left, dealt
+    by hash to as many parts as there are shuffle partitions: the parts' numbers come from a tree of binomial draws, then each task draws for
+    its own rows, in their order, and returns one sum per replicate. Equal seeds and numbers of partitions give equal draws. Only
+    the parts' weights come to the driver.
     """
     spark = stats.sparkSession
-    cells = saved(stats.groupBy(*STATS).agg(F.count(F.lit(1)).alias("k")), "cells").select(F.spark_partition_id().alias("part"), "k", *STATS)
-    per = {r["part"]: r["k"] for r in cells.groupBy("part").agg(F.sum("k").alias("k")).collect()}  # a number per partition
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = stats.groupBy(*(F.col(c).cast("long").alias(c) for c in STATS)).agg(F.count(F.lit(1)).alias("k"))
+    cells = saved(cells.select(F.pmod(F.xxhash64(*STATS), F.lit(tasks)).cast("int").alias("part"), "k", *STATS), "cells")
+    per = {r["part"]: r["k"] for r in cells.groupBy("part").agg(F.sum("k").alias("k")).collect()}  # a number per part
     if not per:
         return _rates(spark.createDataFrame([], "rep long, n_pos long, n_neg long, f_pos long, f_neg long"))
     weights = [per.get(p, 0) for p in range(max(per) + 1)]
-    sums = cells.mapInArrow(_drawn(weights, sum(weights), reps, seed), ", ".join(f"{c} long" for c in ("rep", *STATS)))
+    sums = cells.repartition(tasks, "part").sortWithinPartitions("part", *STATS).mapInArrow(_drawn(weights, sum(weights), reps, seed), ", ".join(f"{c} long" for c in ("rep", *STATS)))
     return _rates(sums.groupBy("rep").agg(*(F.sum(c).alias(c) for c in STATS)))
 
 
