@@ -81,12 +81,32 @@ def perplexity_score(p: Column, low: float = 20.0, high: float = 150.0) -> Colum
     return F.when(p.isNull() | F.isnan(p), 0.0).when(p < low, F.least(F.lit(1.0), (low - p) / low)).when(p > high, F.least(F.lit(1.0), (p - high) / high)).otherwise(0.0)
 
 
+#: Letters whose full upper case is several letters, and the one letter that each has alone; sharp s has a capital.
+EXPANDED = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+ALONE = ["\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in EXPANDED]
+
+
+def lower_alone(x: Column) -> Column:
+    """Each letter by itself in lower case, as SQL has it: no final sigma, and a dotted capital I is an i."""
+    return F.lower(F.translate(x, "\u03a3\u0130", "\u03c3i"))
+
+
+def upper_alone(letter: Column) -> Column:
+    """A letter's upper case of one letter."""
+    return F.when(F.length(F.upper(letter)) > 1, F.translate(letter, "".join(EXPANDED), "".join(ALONE))).otherwise(F.upper(letter))
+
+
 def corrupt(text: Column, seed: str, drop: list[str], size: int = 3) -> Column:
-    """Words shuffled within windows of ``size``, listed function words dropped by a fair draw, ended by a full stop."""
+    """Words shuffled within windows of ``size``, listed function words dropped by a fair draw, ended by a full stop; null if no word is left."""
     w = words(text)
     keyed = F.transform(w, lambda x, i: F.struct(F.floor(i / size).alias("window"), F.md5(F.concat(F.lit(seed), F.lit("|"), i.cast("string"), F.lit("|"), x)).alias("key"), x.alias("word")))
-    kept = F.filter(F.array_sort(keyed), lambda x: ~(F.lower(x["word"]).isin(drop) & (F.substring(x["key"], 1, 1) < "8")))
-    return F.concat(F.initcap(F.element_at(F.transform(kept, lambda x: x["word"]), 1)), F.lit(" "), F.array_join(F.slice(F.transform(kept, lambda x: x["word"]), F.lit(2), F.size(kept)), " "), F.lit("."))
+    kept = F.transform(F.filter(F.array_sort(keyed), lambda x: ~(lower_alone(x["word"]).isin(drop) & (F.substring(x["key"], 1, 1) < "8"))), lambda x: x["word"])
+
+    def said(k: Column) -> Column:
+        first = F.get(k, F.lit(0))
+        return F.concat(upper_alone(F.substring(first, 1, 1)), lower_alone(F.substring(first, 2, 1 << 30)), F.lit(" "), F.array_join(F.slice(k, F.lit(2), F.size(k)), " "), F.lit("."))
+
+    return F.transform(F.array(kept), said)[0]  # bound, so made once a text
 
 
 def clipped_display(text: Column, most: int = 200) -> Column:

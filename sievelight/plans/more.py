@@ -124,7 +124,7 @@ SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '\S+'))::INT AS n_wor
 def corrupt_words(spark, d):
     """Word-window corruption."""
     t = T.corrupt(F.col("text"), "7", ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for"])
-    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), F.size(T.words(t)).alias("n_words"))
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("digest"), F.size(T.words(F.col("t"))).alias("n_words"))
 
 
 @query()

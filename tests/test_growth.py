@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from sievelight.functions import text as T
 from sievelight.operators.inject import insert
 from sievelight.plans.base import TASK_ROWS, table
 
@@ -42,3 +44,16 @@ def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(held) == n and max(held) <= TASK_ROWS
+
+
+def test_corruption_has_the_letters_of_sql(spark):
+    """Sharp s has a capital, letters stand alone, and a text of dropped words alone has no result."""
+    rows = spark.createDataFrame([(1, "\xdfber"), (2, "ǆABC"), (3, "ﬁXΣ"), (4, "İTİ"), (5, "the"), (6, "")], "id long, text string")
+    duck = duckdb.connect()
+    for r in rows.select("id", "text", T.corrupt(F.col("text"), "7", ["the"]).alias("t")).collect():
+        head = duck.execute("SELECT upper(?[1]) || lower(?[2:]) || ' .'", [r.text, r.text]).fetchone()[0]
+        if r.id == 5:
+            dropped = duck.execute("SELECT md5('7|0|the') < '8'").fetchone()[0]
+            assert r.t == (None if dropped else "The .")
+        else:
+            assert r.t == (head if r.text else None)
