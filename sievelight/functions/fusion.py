@@ -46,11 +46,16 @@ def staged_verdict(pattern: Column, embedding: Column, perplexity: Column) -> Co
     )
 
 
+def round_even(x: Column, n: int) -> Column:
+    """``n`` digits as DuckDB's round_even makes them: the product by 10^n, a double, goes to the nearest integer, to the even one from halfway."""
+    return F.rint(x * 10.0**n) / 10.0**n
+
+
 def explain(pattern: Column, pattern_reason: Column, embedding: Column, perplexity: Column, perplexity_kind: Column) -> Column:
     """One sentence: the detectors over their cut-offs, strongest first."""
 
     def two(x: Column) -> Column:
-        return F.format_string("%.2f", F.bround(x, 2))
+        return F.format_string("%.2f", round_even(x, 2))
 
     parts = F.array(
         F.when(pattern > 0.5, F.struct(pattern.alias("s"), F.lit(0).alias("i"), F.regexp_replace(pattern_reason, "^flagged: ", "").alias("t"))),

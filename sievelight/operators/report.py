@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.functions.fusion import round_even
 from sievelight.operators import bootstrap, metrics, split, threshold
 from sievelight.operators.ordered import quantiles, wide_quantiles
 from sievelight.shared import saved
@@ -18,7 +19,7 @@ PREFERENCE = ["F0", "F1", "F2", "F3", "F5", "F4"]
 
 def alarms_text(fpr: Column, n_clean: Column) -> Column:
     """False alarms per 10,000 clean documents; without any, the rule-of-three bound."""
-    return F.when(n_clean == 0, "no clean documents").when(fpr == 0, F.concat(F.lit("at most "), F.format_string("%.1f", F.bround(F.lit(30000.0) / n_clean, 1)))).otherwise(F.format_string("%.1f", F.bround(metrics.false_alarms_per_10k(fpr), 1)))
+    return F.when(n_clean == 0, "no clean documents").when(fpr == 0, F.concat(F.lit("at most "), F.format_string("%.1f", round_even(F.lit(30000.0) / n_clean, 1)))).otherwise(F.format_string("%.1f", round_even(metrics.false_alarms_per_10k(fpr), 1)))
 
 
 def protocol_table(scores: DataFrame, fitted: str = "val", role: str = "test", budget: float = 0.05) -> DataFrame:
@@ -99,7 +100,7 @@ def stage_order(latency: DataFrame, order: list[str]) -> DataFrame:
 
 def conclusions(designs: DataFrame) -> DataFrame:
     """A sentence for each cascade design: its rates, cost and saving."""
-    two = lambda c: F.when(c.isNull(), "no").otherwise(F.format_string("%.2f", F.bround(c, 2)))
+    two = lambda c: F.when(c.isNull(), "no").otherwise(F.format_string("%.2f", round_even(c, 2)))
     saving = F.lit(100.0) * (1 - F.col("ms_clean") / F.col("ms_all"))
     text = F.concat(
         F.lit("Design "), "design", F.lit(" finds "), two(F.lit(100.0) * F.col("tpr")), F.lit("% of poisoned documents with "), two(F.lit(100.0) * F.col("fpr")),

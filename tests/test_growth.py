@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
+from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
 from sievelight.plans.base import TASK_ROWS, table
 
@@ -57,3 +58,11 @@ def test_corruption_has_the_letters_of_sql(spark):
             assert r.t == (None if dropped else "The .")
         else:
             assert r.t == (head if r.text else None)
+
+
+def test_two_digits_are_those_of_sql(spark):
+    shares = [k / 1000 for k in range(100_000)]
+    found = spark.createDataFrame([(x,) for x in shares], "x double").select("x", F.format_string("%.2f", round_even(F.col("x"), 2)).alias("two")).collect()
+    duck = duckdb.connect()
+    wanted = dict(duck.execute("SELECT k / 1000.0::DOUBLE, printf('%.2f', round_even(k / 1000.0::DOUBLE, 2)) FROM range(100000) r(k)").fetchall())
+    assert [(r.x, r.two) for r in found if wanted[r.x] != r.two] == []
