@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
+from sievelight.operators import learn
 from sievelight.plans.base import TASK_ROWS, table
+from sievelight.plans.catalog import QUERIES
 
 
 def plan_of(df) -> str:
@@ -66,3 +68,13 @@ def test_two_digits_are_those_of_sql(spark):
     duck = duckdb.connect()
     wanted = dict(duck.execute("SELECT k / 1000.0::DOUBLE, printf('%.2f', round_even(k / 1000.0::DOUBLE, 2)) FROM range(100000) r(k)").fetchall())
     assert [(r.x, r.two) for r in found if wanted[r.x] != r.two] == []
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    """Only texts and what is left of their words' counts move: no exchange by document and word."""
+    rows = spark.createDataFrame([(1, "a bb bb"), (2, "bb cc")], "id long, text string")
+    assert plan_of(learn.term_frequencies(rows)).count("Exchange hashpartitioning(id") == 1
+    assert "hashpartitioning(id#" in plan_of(learn.term_frequencies(rows)) and ", term#" not in "".join(x for x in plan_of(learn.term_frequencies(rows)).splitlines() if "Exchange" in x)
+    assert {(r.id, r.term, r.tf) for r in learn.term_frequencies(rows).collect()} == {(1, "bb", 2), (1, "bb bb", 1), (2, "bb", 1), (2, "cc", 1), (2, "bb cc", 1)}
+    exchanges = [x for x in plan_of(QUERIES["ngram_lm_perplexity"](spark, "/root/testdata/sf0.001")).splitlines() if "Exchange hashpartitioning(doc_id" in x]
+    assert not any(", w#" in x for x in exchanges)
