@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
-from sievelight.operators import learn
+from sievelight.operators import learn, segmented
 from sievelight.plans.base import TASK_ROWS, table
 from sievelight.plans.catalog import QUERIES
 
@@ -78,3 +78,16 @@ def test_words_are_counted_where_their_text_is(spark):
     assert {(r.id, r.term, r.tf) for r in learn.term_frequencies(rows).collect()} == {(1, "bb", 2), (1, "bb bb", 1), (2, "bb", 1), (2, "cc", 1), (2, "bb cc", 1)}
     exchanges = [x for x in plan_of(QUERIES["ngram_lm_perplexity"](spark, "/root/testdata/sf0.001")).splitlines() if "Exchange hashpartitioning(doc_id" in x]
     assert not any(", w#" in x for x in exchanges)
+
+
+def test_equal_segments_are_encoded_once(spark):
+    seen = []
+
+    def encoder(rows):
+        seen.append(rows.count())
+        return segmented.hashed_encoder(rows)
+
+    docs = spark.createDataFrame([(i, "One two three. Four five six.") for i in range(5)] + [(9, "One two three. Seven eight nine ten.")], "id long, text string")
+    out = {r.id: r for r in segmented.segmented_anomaly(docs, docs.where("id = 0"), encoder).collect()}
+    assert seen == [3, 1]
+    assert all(r.segments == 2 for r in out.values()) and out[0].max_score == out[4].max_score and out[9].worst == "Seven eight nine ten."
