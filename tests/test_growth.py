@@ -6,6 +6,7 @@ import io
 from contextlib import redirect_stdout
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
-from sievelight.operators import learn, segmented
+from sievelight.operators import learn, segmented, similarity
 from sievelight.plans.base import TASK_ROWS, table
 from sievelight.plans.catalog import QUERIES
 
@@ -91,3 +92,34 @@ def test_equal_segments_are_encoded_once(spark):
     out = {r.id: r for r in segmented.segmented_anomaly(docs, docs.where("id = 0"), encoder).collect()}
     assert seen == [3, 1]
     assert all(r.segments == 2 for r in out.values()) and out[0].max_score == out[4].max_score and out[9].worst == "Seven eight nine ten."
+
+
+def test_products_are_made_in_pieces_of_one_thread(spark):
+    """Numpy gives larger products threads of its own, which wait for each other where every core has a task."""
+    rng = np.random.default_rng(1)
+    for n, m, dim in ((5, 3, 64), (300, 1500, 64), (70, 65, 3), (10, 10, 2000)):
+        x, y = rng.random((n, dim)), rng.random((m, dim))
+        one, two = similarity._pieces(x), similarity._pieces(y)
+        assert one.shape[1] * two.shape[1] * dim <= similarity.PIECE
+        assert np.allclose(similarity._flat(similarity._dots(one, two), np.arange(n), m), x @ y.T, atol=1e-12)
+    docs, base = -rng.random((700, 16)), rng.random((1100, 16))
+    made = lambda v: spark.createDataFrame([(i, r.tolist(), "") for i, r in enumerate(v)], "id long, embedding array<double>, domain string")
+    found = {r.id: r.top for r in similarity.top_similarities(made(docs), made(base), most=700).collect()}
+    assert np.allclose([found[i][0] for i in range(700)], (docs @ base.T).max(axis=1), atol=1e-14, rtol=0)
+
+
+def test_words_are_placed_as_sql_places_them(spark):
+    rows = spark.createDataFrame([(1, "Größe x größe — ab_1 ǅx"), (2, ""), (3, None), (4, "a b c")], "id long, text string")
+    duck = duckdb.connect()
+    for r in segmented.hashed_encoder(rows).collect():
+        words = {1: ["größe", "größe", "ab_1", "ǆx"]}.get(r.id, [])
+        places = [duck.execute("SELECT ('0x' || substr(md5(?), 1, 7))::BIGINT % 64", [w]).fetchone()[0] for w in words]
+        counts = np.bincount(places, minlength=64) if words else np.zeros(64)
+        assert r.embedding == (counts / (np.sqrt((counts * counts).sum()) or 1.0)).tolist()
+
+
+def test_segments_are_cut_once(spark):
+    texts = ["One two three. Four five. Six seven eight nine!", "no", "", "  a b c", "x" * 200_000, None, "a b c. d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.segments(F.col("text")).alias("s"))
+    assert plan_of(rows).count("split(") == 1
+    assert [r.s for r in rows.orderBy("id").collect()] == [["One two three.", "Six seven eight nine!"], ["no"], [""], ["a b c"], ["x" * 200_000], [None], ["a b c."]]
