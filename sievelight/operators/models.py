@@ -60,13 +60,18 @@ def read(spark: SparkSession, path: str, facts: dict[str, float] | None = None)
     return out
 
 
+#: What two ways to the same score may differ by.
+DIGITS = 4e-16
+
+
 def checked(rows: DataFrame, methods: dict[str, Method], most: float = 1e-9) -> DataFrame:
     """(method, n, differing, status): scores of ``rows`` under the methods' names against those that the methods give now; PASS or CHECK.
 
-    A row that lacks a score counts as differing.
+    A score is the same to ``most`` of the smaller of it and what it lacks to 1 (and to the last digits of a double), so a change of
+    the model is noticed however sure the model is of its rows. A row that lacks a score counts as differing.
     """
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("method"), F.col(n).alias("was"), m.score().alias("now")) for n, m in methods.items()))).alias("x")
-    same = F.abs(F.col("was") - F.col("now")) <= most
+    same = F.abs(F.col("was") - F.col("now")) <= most * F.least(F.col("now"), 1 - F.col("now")) + DIGITS
     out = rows.select(each).select("x.*").groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
     return out.withColumn("status", F.when(F.col("differing") == 0, "PASS").otherwise("CHECK"))
 

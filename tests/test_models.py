@@ -26,3 +26,12 @@ def test_kept_models(spark, tmp_path):
     got = {r["method"]: (r["n"], r["differing"], r["status"]) for r in models.checked(rows, made).collect()}
     assert got == {"plain": (3, 1, "CHECK"), "scaled": (3, 1, "CHECK")}
     assert {r["status"] for r in models.checked(rows.limit(1), made).collect()} == {"PASS"}
+
+
+def test_an_altered_weight_is_noticed_by_a_sure_model(spark):
+    """With more rows the penalty counts for less and scores come nearer to 0 and 1, where a weight moves them by under 1e-9."""
+    kept = {"m": models.Method(Logistic(("a",), (24.0,), -12.0), {}, 0.5)}
+    bent = {"m": models.Method(Logistic(("a",), (24.0 + 1e-6,), -12.0), {}, 0.5)}
+    rows = spark.createDataFrame([(float(a),) for a in (0, 1, 1)], "a double").withColumn("m", kept["m"].score())
+    assert [(r["n"], r["differing"], r["status"]) for r in models.checked(rows, kept).collect()] == [(3, 0, "PASS")]
+    assert [(r["n"], r["differing"], r["status"]) for r in models.checked(rows, bent).collect()] == [(3, 2, "CHECK")]
