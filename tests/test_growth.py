@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
-from sievelight.operators import learn, segmented, similarity
+from sievelight.operators import learn, segmented, sentence, similarity
 from sievelight.plans.base import TASK_ROWS, table
 from sievelight.plans.catalog import QUERIES
 
@@ -122,4 +122,13 @@ def test_segments_are_cut_once(spark):
     texts = ["One two three. Four five. Six seven eight nine!", "no", "", "  a b c", "x" * 200_000, None, "a b c. d"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.segments(F.col("text")).alias("s"))
     assert plan_of(rows).count("split(") == 1
-    assert [r.s for r in rows.orderBy("id").collect()] == [["One two three.", "Six seven eight nine!"], ["no"], [""], ["a b c"], ["x" * 200_000], [None], ["a b c."]]
+    assert [r.s for r in rows.orderBy("id").collect()] == [["One two three.", "Six seven eight nine!"], ["no"], [""], ["a b c"], ["x" * 200_000], None, ["a b c."]]
+
+
+def test_equal_units_are_one_row_of_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sentence.sparse, "fit", lambda rows, tol: seen.append({(round(r.label, 9), round(r.weight, 9)) for r in rows.collect()}) or (rows.select("row"), 0.0, 0))
+    docs = spark.createDataFrame([(i, "One two three. Four five six.", 0) for i in range(3)] + [(9, "One two three. Seven eight.", 1)], "id long, text string, label int")
+    sentence.fit(docs, min_df=1)
+    # of 6 clean units each weighs 8 / 12, of 2 poisoned ones 2; three clean ones and a poisoned one are the same
+    assert seen == [{(0.5, 4.0), (0.0, 2.0), (1.0, 2.0)}]
