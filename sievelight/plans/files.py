@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,15 +25,27 @@ def fresh(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+FOLDERS = 1_024
+
+
 def write_text_files(rows: DataFrame, path: str) -> None:
-    """One .txt file per row (name, text) under ``path``, written by the tasks; a file that is written again is the same."""
+    """One .txt file per row (name, text) under ``path``, in ``FOLDERS`` folders by the hash of its name, so that no listing has them all.
+
+    Tasks write the files; a file that is written again is the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(path)
+        made = set()
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with filesystem.open_output_stream(f"{base}/{name}.txt", compression=None) as out:
-                    out.write((text or "").encode())
+            for name, text in zip(b.column(0), b.column(1), strict=True):
+                name = name.as_py()
+                at = f"{base}/{readers.FOLDER}{zlib.crc32(name.encode()) % FOLDERS:04}"
+                if at not in made:
+                    filesystem.create_dir(at, recursive=True)
+                    made.add(at)
+                with filesystem.open_output_stream(f"{at}/{name}.txt", compression=None) as out:
+                    out.write((text.as_py() or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     filesystem, base = fs.FileSystem.from_uri(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,56 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
+#: How the folders are named in which a folder of texts may have its files, as those of a partitioned table are. Tasks that read one.
+FOLDER, READ_TASKS = "part=", 256
+#: Bytes of texts that a task holds, about.
+READ_BYTES = 4_000_000
+
+
+def _entries(folder: str) -> Iterator[fs.FileInfo]:
+    """Text files that aren't empty, and folders of them, in order; names that begin with _ or a dot are passed over."""
+    filesystem, base = fs.FileSystem.from_uri(folder)
+    for f in sorted(filesystem.get_file_info(fs.FileSelector(base)), key=lambda f: f.base_name):
+        if f.type == fs.FileType.Directory and f.base_name.startswith(FOLDER) or f.type == fs.FileType.File and f.size and f.base_name.endswith(".txt") and f.base_name[0] not in "_.":
+            yield f
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            found = [(folder, f.base_name, f.type == fs.FileType.Directory) for f in _entries(folder)]
+            for lo in range(0, len(found), 4_096):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found[lo : lo + 4_096], strict=True)], names=["folder", "name", "inner"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, value) of files, and of those in folders."""
+    names, values, held = [], [], 0
+    for b in batches:
+        for r in b.to_pylist():
+            at = f"{r['folder'].rstrip('/')}/{r['name']}"
+            for folder, name in ((at, f.base_name) for f in _entries(at) if f.type == fs.FileType.File) if r["inner"] else [(r["folder"], r["name"])]:
+                filesystem, base = fs.FileSystem.from_uri(folder)
+                with filesystem.open_input_stream(f"{base}/{name}", compression=None) as raw:
+                    value = raw.read()
+                names.append(name.removesuffix(".txt"))
+                values.append(value)
+                held += len(value)
+                if held >= READ_BYTES or len(names) == 4_096:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], names=["name", "value"])
+                    names, values, held = [], [], 0
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], names=["name", "value"])
+
+
 def read_text_dir(spark: SparkSession, path: str, label: int, source: str) -> DataFrame:
-    """One row per .txt file; the attack type is the file name's prefix, ``clean`` for label 0."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    """One row per .txt file that isn't empty; the attack type is the file name's prefix, ``clean`` for label 0.
+
+    Files may be in the folder or in its folders ``part=...``. Tasks list and read them, so no name reaches the driver and the number of tasks
+    doesn't grow with that of files.
+    """
+    found = spark.createDataFrame([(path,)], "folder string").mapInArrow(_listed, "folder string, name string, inner boolean").repartition(READ_TASKS)
+    files = found.mapInArrow(_texts, "name string, value binary").select("name", F.col("value").cast("string").alias("value"))
     kind = F.lit("clean") if label == 0 else F.substring_index("name", "_", 1)
     return make_rows(files.select(F.concat(F.lit(f"{source}/"), "name").alias("id"), F.col("value").alias("text"), F.lit(label).alias("label"), F.lit(source).alias("source"), kind.alias("attack_type"), F.lit("").alias("domain"), F.lit(0).alias("length"), F.lit("").alias("group"), F.lit("").alias("meta")))
 

@@ -16,7 +16,9 @@ from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
 from sievelight.operators import learn, segmented, sentence, similarity
 from sievelight.plans.base import TASK_ROWS, table
+from sievelight.plans import files
 from sievelight.plans.catalog import QUERIES
+from sievelight.sources import readers
 
 
 def plan_of(df) -> str:
@@ -132,3 +134,19 @@ def test_equal_units_are_one_row_of_the_fit(spark, monkeypatch):
     sentence.fit(docs, min_df=1)
     # of 6 clean units each weighs 8 / 12, of 2 poisoned ones 2; three clean ones and a poisoned one are the same
     assert seen == [{(0.5, 4.0), (0.0, 2.0), (1.0, 2.0)}]
+
+
+def test_tasks_of_a_folder_of_texts_do_not_grow_with_its_files(spark, tmp_path):
+    """Files lie in folders that tasks list; files beside them are read as well, hidden ones, empty ones and other folders are not."""
+    rows = spark.createDataFrame([(f"corpus_{i} é%20", f"text é {i}\r\n") for i in range(700)] + [("corpus_empty", "")], "name string, text string")
+    files.write_text_files(rows, f"file://{tmp_path}/d")
+    assert max(len(list(p.iterdir())) for p in (tmp_path / "d").iterdir()) < 20
+    (tmp_path / "d/injection_x.txt").write_bytes(b"beside")
+    for hidden in ("_no.txt", ".no.txt", "no.md"):
+        (tmp_path / "d" / hidden).write_text("no")
+    (tmp_path / "d/other").mkdir()
+    (tmp_path / "d/other/no.txt").write_text("no")
+    for path in (f"file://{tmp_path}/d", f"{tmp_path}/d/"):
+        read = readers.read_text_dir(spark, path, 1, "s")
+        assert read.rdd.getNumPartitions() == readers.READ_TASKS
+        assert {(r.id, r.text, r.attack_type) for r in read.collect()} == {(f"s/corpus_{i} é%20", f"text é {i}\r\n", "corpus") for i in range(700)} | {("s/injection_x", "beside", "injection")}
