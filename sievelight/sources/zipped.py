@@ -16,12 +16,16 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "zip_jsonl"
+#: Rows and characters that a task holds as Python values at a time, about, whatever the size of Spark's batches.
+ROWS, CHARS = 256, 2_000_000
+COLUMNS = pa.schema({"path": pa.string(), "nth": pa.int64(), "text": pa.string()})
 
 
 def _listed(path: str) -> list[str]:
@@ -33,6 +37,10 @@ def _listed(path: str) -> list[str]:
     return [posixpath.join(path, f.base_name) for f in sorted(found, key=lambda f: f.base_name) if f.base_name.endswith(".zip") and f.base_name[0] not in "_."]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)
+
+
 @dataclass
 class File(InputPartition):
     path: str
@@ -45,7 +53,18 @@ class ZipReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [File(f) for p in self.options["path"].split(",") for f in _listed(p.strip())]
 
-    def read(self, partition: File | None) -> Iterator[tuple]:
+    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for row in self.rows(partition):
+            rows.append(row)
+            chars += len(row[2])
+            if len(rows) == ROWS or chars >= CHARS:
+                yield _batch(rows)
+                rows, chars = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def rows(self, partition: File | None) -> Iterator[tuple]:
         if partition is None:  # no file at all
             return
         o = self.options
@@ -72,20 +91,21 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-class ZipWriter(DataSourceWriter):
+class ZipWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.path, self.member, self.columns = options["path"], options["member"], columns
 
-    def write(self, iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, base = fs.FileSystem.from_uri(self.path)
         files.create_dir(base, recursive=True)
         staged, rows = f"_staged-{uuid.uuid4().hex}.zip", 0
         try:
             with files.open_output_stream(posixpath.join(base, staged)) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z, z.open(self.member, "w", force_zip64=True) as binary:
                 with io.TextIOWrapper(binary, encoding="utf-8") as out:
-                    for row in iterator:
-                        out.write(json.dumps(dict(zip(self.columns, row, strict=True)), ensure_ascii=False) + "\n")
-                        rows += 1
+                    for part in (b.slice(lo, ROWS) for b in iterator for lo in range(0, b.num_rows, ROWS)):
+                        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                            out.write(json.dumps(dict(zip(self.columns, row, strict=True)), ensure_ascii=False) + "\n")
+                        rows += part.num_rows
         except BaseException:
             files.delete_file(posixpath.join(base, staged))
             raise

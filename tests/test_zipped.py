@@ -40,3 +40,17 @@ def test_a_failed_write_leaves_nothing(spark, read, tmp_path):
     assert read(tmp_path / "out").count() == 0
     with pytest.raises(Exception, match="only appends"):
         bad.write.format("zip_jsonl").mode("overwrite").option("path", f"file://{tmp_path}/out").option("member", "m.jsonl").save()
+
+
+def test_tasks_hold_few_rows(spark, read, tmp_path, monkeypatch):
+    """Rows are read and written in batches of bounded size, however many Spark hands over."""
+    reader = zipped.ZipReader({"path": f"file://{tmp_path}/out", "member": "m.jsonl"})
+    df = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("é"), "id")).alias("text"), F.array("id").alias("more"))
+    df.write.format("zip_jsonl").mode("append").option("path", f"file://{tmp_path}/out").option("member", "m.jsonl").save()
+    (file,) = reader.partitions()
+    assert [b.num_rows for b in reader.read(file)] == [256, 244]
+    monkeypatch.setattr(zipped, "CHARS", 40)
+    assert max(b.num_rows for b in reader.read(file)) == 15 and sum(b.num_rows for b in reader.read(file)) == 500
+    with zipfile.ZipFile(file.path.removeprefix("file://")) as z:
+        assert [json.loads(line) for line in z.read("m.jsonl").splitlines()] == [{"id": i, "text": None if i % 2 else f"é{i}", "more": [i]} for i in range(1000)]
+    assert {(r["nth"], r["text"]) for r in read(tmp_path / "out").collect()} == {(i, f"é{i}") for i in range(0, 1000, 2)}
