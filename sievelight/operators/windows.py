@@ -28,10 +28,11 @@ def margin(logits: Column, label: Column | int) -> Column:
     return F.get(logits, F.lit(label)) - (top + F.ln(F.aggregate(others, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
-def document_margins(windows: DataFrame, key: str = "id") -> DataFrame:
-    """(key, margin, windows, probability): the largest window margin of each document and its clipped sigmoid."""
-    out = windows.groupBy(key).agg(F.max("margin").alias("margin"), F.count(F.lit(1)).alias("windows"))
-    return out.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.least("margin", F.lit(30.0)), F.lit(-30.0)))))
+def document_margins(windows: DataFrame, key: str = "id", *more: Column) -> DataFrame:
+    """(key, margin, windows, probability): the largest window margin of each document and its clipped sigmoid; then ``more`` aggregates."""
+    sigmoid = 1 / (1 + F.exp(-F.greatest(F.least("margin", F.lit(30.0)), F.lit(-30.0))))
+    out = windows.groupBy(key).agg(F.max("margin").alias("margin"), F.count(F.lit(1)).alias("windows"), *more)
+    return out.select(key, "margin", "windows", sigmoid.alias("probability"), *out.columns[3:])
 
 
 #: Accepted endings of detector names in a latency file.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.fusion import round_even
 from sievelight.operators.inject import insert
-from sievelight.operators import learn, segmented, sentence, similarity
+from sievelight.operators import fluency, learn, segmented, sentence, similarity
 from sievelight.plans.base import TASK_ROWS, table
 from sievelight.plans import files
 from sievelight.plans.catalog import QUERIES
@@ -150,3 +150,24 @@ def test_tasks_of_a_folder_of_texts_do_not_grow_with_its_files(spark, tmp_path):
         read = readers.read_text_dir(spark, path, 1, "s")
         assert read.rdd.getNumPartitions() == readers.READ_TASKS
         assert {(r.id, r.text, r.attack_type) for r in read.collect()} == {(f"s/corpus_{i} é%20", f"text é {i}\r\n", "corpus") for i in range(700)} | {("s/injection_x", "beside", "injection")}
+
+
+def test_a_text_is_cut_into_tokens_once(spark):
+    """A filter on a text's tokens is moved below the exchange that deals texts out and cuts them there too; so did a second pass for ``truncated``."""
+    seen = []
+
+    def model(windows):
+        seen.append(windows)
+        return windows.select("id", "window", F.array(F.lit(0.0), F.size("tokens").cast("double")).alias("value"))
+
+    sizes = [0, 1, 510, 511, 510 + 7 * 446, 511 + 7 * 446, 9_000]
+    rows = spark.createDataFrame([(n, " ".join(f"w{k}" for k in range(n))) for n in sizes] + [(-1, None), (-2, " \t")], "id long, text string")
+    out = fluency.classify(rows.repartition(3), model, ["safe", "INJECTION"])
+    assert plan_of(out).count("regexp_extract_all(") == 1
+    assert plan_of(QUERIES["windowed_classifier"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all(") == 2  # documents and twins
+    duck = duckdb.connect()
+    for r in out.collect():
+        want = duck.execute("SELECT least(8, 1 + greatest(0, ceil((n - 510) / 446.0::DOUBLE)))::BIGINT, (n > 510 + 7 * 446)::INT FROM (SELECT ?::BIGINT AS n)", [r.id]).fetchone()
+        assert (r.windows, r.truncated, r.margin) == (*want, float(min(r.id, 510)))
+    assert sorted(r.id for r in out.collect()) == sizes[1:]
+    assert seen[0].columns == ["id", "window", "tokens"]
