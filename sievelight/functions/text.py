@@ -14,12 +14,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 
 
-def sentence_units(text: Column, cap: int = 300) -> Column:
-    """Stripped sentences of stripped lines, at most ``cap``; the text itself if there is none."""
+def sentence_units(text: Column, cap: int | None = 300) -> Column:
+    """Stripped sentences of stripped lines, the first ``cap`` (None: all); the text itself if there is none."""
     lines = F.transform(F.split(text, "\n"), strip)
     parts = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, ENDS), strip)))
     kept = F.filter(parts, lambda x: x != "")
-    return F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, F.array(text)).otherwise(F.slice(k, 1, cap)))[0]  # bound, so made once a text
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, F.array(text)).otherwise(k if cap is None else F.slice(k, 1, cap)))[0]  # bound, so made once a text
 
 
 def segments(text: Column, least: int = 3) -> Column:
@@ -65,12 +65,12 @@ def style_features(text: Column) -> dict[str, Column]:
     }
 
 
-def token_windows(tokens: Column, size: int = 510, overlap: int = 64, most: int = 8) -> Column:
-    """Overlapping windows of a token array: at most ``most`` of ``size`` tokens, ``size - overlap`` apart."""
+def token_windows(tokens: Column, size: int = 510, overlap: int = 64, most: int | None = 8) -> Column:
+    """Overlapping windows of a token array: the first ``most`` (None: all) of ``size`` tokens, ``size - overlap`` apart."""
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(step))
     needed = F.filter(starts, lambda s: (s == 0) | (s - step + size < F.size(tokens)))
-    return F.transform(F.slice(needed, 1, most), lambda s: F.slice(tokens, s + 1, size))
+    return F.transform(needed if most is None else F.slice(needed, 1, most), lambda s: F.slice(tokens, s + 1, size))
 
 
 def windows_truncated(tokens: Column, size: int = 510, overlap: int = 64, most: int = 8) -> Column:

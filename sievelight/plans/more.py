@@ -16,14 +16,14 @@ from sievelight.sources import readers
 @query(rf"""WITH {SIGNALS}, wrong AS (SELECT id, source, CASE WHEN label = 0 THEN 'false alarm' ELSE 'miss' END AS error FROM signals WHERE (label = 0) = (sentence > 0.55)),
 chosen AS (SELECT id, source, error FROM (SELECT *, row_number() OVER (PARTITION BY error, source ORDER BY md5('42|' || id), id) AS r FROM wrong) WHERE error = 'false alarm' OR r <= 5),
 e0 AS (SELECT chosen.id, chosen.source, error, text, list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: list_transform(string_split(regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')))), lambda s: s <> '') AS u FROM chosen JOIN pool USING (id)),
-e1 AS (SELECT id, source, error, unnest(CASE WHEN len(u) = 0 THEN [text] ELSE u[1:300] END) AS s, unnest(range(CASE WHEN len(u) = 0 THEN 1 ELSE least(len(u), 300) END)) AS pos FROM e0),
+e1 AS (SELECT id, source, error, unnest(CASE WHEN len(u) = 0 THEN [text] ELSE u END) AS s, unnest(range(CASE WHEN len(u) = 0 THEN 1 ELSE len(u) END)) AS pos FROM e0),
 e2 AS (SELECT *, (right(s, 1) = '?')::INT + regexp_matches(lower(s), '\b(you|your)\b')::INT + regexp_matches(lower(s), '\b(please|ensure|make sure|must|should|kindly|do not|don''t)\b')::INT + regexp_matches(lower(s), '\b(response|answer|reply|output|implementation)\b')::INT + contains(s, '```')::INT AS score FROM e1)
 SELECT id, source, error, arg_max(md5(s), (score, -pos)) AS sentence, max(score) AS score FROM e2 GROUP BY ALL""")
 def error_report(spark, d):
-    """Every false alarm and five misses of each source, each with the sentence that asks most of its reader."""
+    """Every false alarm and five misses of each source, each with the one of all its sentences that asks most of its reader."""
     wrong = neighbours.error_rows(signals(spark, d).withColumn("score", F.col("sentence")), 0.55).select("id", "source", "error")
     chosen = wrong.where("error = 'false alarm'").unionByName(split.capped_sample(wrong.where("error = 'miss'"), ["source"], 5).drop("rank"))
-    units = pool(spark, d).select("id", "text").join(chosen, "id").select("id", "source", "error", F.posexplode(T.sentence_units(F.col("text"))).alias("pos", "unit"))
+    units = pool(spark, d).select("id", "text").join(chosen, "id").select("id", "source", "error", F.posexplode(T.sentence_units(F.col("text"), None)).alias("pos", "unit"))
     hand = T.hand_features(F.col("unit"))
     asks = sum((hand[k].cast("int") for k in ("question", "you", "modal", "output", "fence")), F.lit(0))
     best = F.max(F.struct(asks.alias("score"), (-F.col("pos")).alias("first"), F.md5("unit").alias("sentence"))).alias("b")
