@@ -59,17 +59,18 @@ class UnigramModel:
         return each.join(self.counts, "w", "left").groupBy("id", "window").agg((-F.sum(F.col("m") * logp) / F.sum("m")).alias("value"))
 
 
-def classify(docs: DataFrame, model: Model, names: list[str], text: str = "text", key: str = "id", size: int = 510, overlap: int = 64, most: int = 8) -> DataFrame:
+def classify(docs: DataFrame, model: Model, names: list[str], text: str = "text", key: str = "id", size: int = 510, overlap: int = 64, most: int | None = 8) -> DataFrame:
     """(key, margin, windows, probability, truncated): a classifier with classes ``names`` on overlapping windows of tokens.
 
     Documents without a token give no row: there is nothing to classify. A text is cut into tokens once; its windows are numbered from 0,
-    those of a truncated document from ``most``, which tells them apart when only (id, window, value) has come back from the model.
+    those of a truncated document from ``most``, which tells them apart when only (id, window, value) has come back from the model. With
+    ``most`` None all windows of a text are classified and no document is truncated.
     """
     cut = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("all"))
-    first = F.when(windows_truncated(F.col("all"), size, overlap, most), most).otherwise(0)
+    first = F.lit(0) if most is None else F.when(windows_truncated(F.col("all"), size, overlap, most), most).otherwise(0)
     windows = cut.select("id", first.alias("first"), F.posexplode(token_windows(F.col("all"), size, overlap, most)).alias("window", "tokens"))
     # asked of the windows: a filter of documents would be moved to where their table is scanned and cut each text there as well
     some = windows.where("size(tokens) > 0").select("id", (F.col("first") + F.col("window")).alias("window"), "tokens")
     scored = model(some).withColumn("margin", margin(F.col("value"), injection_label(names)))
-    truncated = (F.max("window") >= most).cast("int").alias("truncated")
+    truncated = (F.lit(0) if most is None else (F.max("window") >= most).cast("int")).alias("truncated")
     return document_margins(scored, "id", truncated).withColumnRenamed("id", key)

@@ -120,18 +120,18 @@ def e2e_rates(spark, d):
     return r6(metrics.rates_by(flagged), "precision", "recall", "f1", "fpr")
 
 
-@query(f"""WITH {POOL}, w AS (SELECT id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f\\v]+') AS w FROM pool), c AS (SELECT id, w, least(8, 1 + greatest(0, ceil((len(w) - 510) / 446.0::DOUBLE)))::BIGINT AS windows, (len(w) > 510 + 7 * 446)::INT AS truncated FROM w WHERE len(w) > 0),
-x AS (SELECT id, windows, truncated, w[446 * k + 1 : 446 * k + 510] AS t FROM c, range(8) r(k) WHERE k < windows),
+@query(f"""WITH {POOL}, w AS (SELECT id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f\\v]+') AS w FROM pool), c AS (SELECT id, w, (1 + greatest(0, ceil((len(w) - 510) / 446.0::DOUBLE)))::BIGINT AS windows, 0 AS truncated FROM w WHERE len(w) > 0),
+x AS (SELECT id, windows, truncated, unnest(list_transform(range(windows), lambda k: w[446 * k + 1 : 446 * k + 510])) AS t FROM c),
 l AS (SELECT id, windows, truncated, {draw_sql("'a'", "t[1]", "len(t)")} / 268435456.0::DOUBLE * 4 AS a, {draw_sql("'b'", "t[1]", "len(t)")} / 268435456.0::DOUBLE * 4 AS b, {draw_sql("'c'", "t[1]", "len(t)")} / 268435456.0::DOUBLE * 4 AS c FROM x),
 m AS (SELECT id, max(windows) AS windows, max(truncated) AS truncated, max(b - ln(exp(a) + exp(c))) AS m FROM l GROUP BY id) SELECT id, round(m, 6) AS margin, windows, round(1 / (1 + exp(-m)), 6) AS probability, truncated FROM m""")
 def windowed_classifier(spark, d):
-    """The windowed classifier with a stand-in model that is fed the token windows."""
+    """The windowed classifier with a stand-in model that is fed all token windows of every text (D8); so no text is truncated."""
 
     def model(windows: DataFrame) -> DataFrame:
         value = F.array(*(draw(F.lit(k), F.element_at("tokens", 1), F.size("tokens").cast("string")) / float(1 << 28) * 4 for k in "abc"))
         return windows.select("id", "window", value.alias("value"))
 
-    out = fluency.classify(pool(spark, d), model, ["safe", "INJECTION", "other"])
+    out = fluency.classify(pool(spark, d), model, ["safe", "INJECTION", "other"], most=None)
     return r6(out, "margin", "probability")
 
 
