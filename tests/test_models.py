@@ -3,8 +3,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from sievelight.operators import models
+from sievelight.operators import learn, models
 from sievelight.operators.learn import Logistic
 
 
@@ -35,3 +36,14 @@ def test_an_altered_weight_is_noticed_by_a_sure_model(spark):
     rows = spark.createDataFrame([(float(a),) for a in (0, 1, 1)], "a double").withColumn("m", kept["m"].score())
     assert [(r["n"], r["differing"], r["status"]) for r in models.checked(rows, kept).collect()] == [(3, 0, "PASS")]
     assert [(r["n"], r["differing"], r["status"]) for r in models.checked(rows, bent).collect()] == [(3, 2, "CHECK")]
+
+
+def test_frequencies_move_once_to_their_term(spark):
+    """They were written, moved to be counted, moved again to meet the counts, and moved to their rows for the totals."""
+    rows = spark.createDataFrame([(i, "aa bb cc " * (i + 1)) for i in range(5)], "id long, text string")
+    plan = learn.tfidf_totals(rows)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum("term" in line for line in moves) == 1 and len(moves) == 3
+    want = learn.tfidf(rows).groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("top"), F.sum("weight").alias("total")).orderBy("id").collect()
+    for a, b in zip(learn.tfidf_totals(rows).orderBy("id").collect(), want, strict=True):
+        assert (a.id, a.terms) == (b.id, b.terms) and abs(a.top - b.top) < 1e-12 and abs(a.total - b.total) < 1e-12
